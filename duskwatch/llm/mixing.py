@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .shared import stored
 
@@ -25,7 +26,7 @@ SEED = 17
 MAX_SOURCES = 1_000_000
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_count(text: pd.Series) -> pd.Series:
     """Number of runs outside space and the control characters 9 to 13; null: 0."""
     return pd.Series([0 if t is None else len(t.encode().split()) for t in text], dtype="int64")

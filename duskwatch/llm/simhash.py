@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .components import components
 from .shared import stored
@@ -46,7 +47,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprint_column(words: int = SHINGLE_WORDS):
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def simhash(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, words) for t in text], dtype="int64")
 
