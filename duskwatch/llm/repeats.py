@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, stored
+from .shared import drop, release, stored
 
 LENGTH = 400
 GRAM = 32
@@ -131,7 +131,7 @@ def _parse(length: int, gram: int, window: int, id_type: pa.DataType):
 
 
 def _open(length: int):
-    """Strings of the phrases asked for: (class, offset, name1, name2)."""
+    """Strings of the phrases asked for: (class, offset, copies of the phrase, name1, name2)."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +143,9 @@ def _open(length: int):
                 of = np.concatenate([np.full(w["high"] - w["low"] + 1, w["class"]) for w in wanted])
                 at = np.concatenate([np.arange(w["low"], w["high"] + 1) for w in wanted])
                 off = np.concatenate([np.arange(w["high"] - w["low"] + 1) for w in wanted]).astype(np.int32)
+                times = np.concatenate([np.full(w["high"] - w["low"] + 1, w["n"]) for w in wanted])
                 names = [r.names(p, at, at + length).view(np.int64) for r, p in ((_FIRST, first), (_SECOND, second))]
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(off), *map(pa.array, names)], names=["class", "off", "name1", "name2"])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(off), pa.array(times), *map(pa.array, names)], names=["class", "off", "n", "name1", "name2"])
 
     return strings
 
@@ -207,23 +208,24 @@ def remove_repeats(
     cores = parsed.groupBy("core").agg(F.count("*").alias("n"), F.min("name1").alias("least"), F.max("name1").alias("most"))
     again = cores.filter("n > 1").select("core", (F.col("least") == F.col("most")).alias("alike"))
     shared = stored(parsed.join(again, "core"), "shared_phrases")
-    release(spark)
+    drop(parsed)
     keys = ["core", "name1", "name2"]
     classes = shared.filter("not alike").groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "low", "high")).alias("one")
     )
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     asked = classes.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark")).agg(
-        F.collect_list(F.struct("class", "one.low", "one.high")).alias("asked")
+        F.collect_list(F.struct("class", "n", "one.low", "one.high")).alias("asked")
     )
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.mark") == F.col("b.mark")]
     sources = base.alias("a").join(asked.alias("b"), same).select("data", "asked")
-    strings = sources.mapInArrow(_open(length), "class long, off int, name1 long, name2 long")
-    strings = stored(strings.distinct().join(classes.select("class", "n"), "class"), "strings")
+    strings = sources.mapInArrow(_open(length), "class long, off int, n long, name1 long, name2 long")
+    strings = stored(strings.distinct(), "strings")
     release(spark)
     repeated = strings.groupBy("name1", "name2").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
     hit = strings.join(repeated, ["name1", "name2"]).select("class", "off")
-    hits = hit.groupBy("class").agg(F.array_sort(F.collect_list("off")).alias("offs"))
+    hits = stored(hit.groupBy("class").agg(F.array_sort(F.collect_list("off")).alias("offs")), "hits")
+    drop(strings)
     found = classes.join(hits, "class").select(*keys, "offs")
     whole = shared.filter("alike").select("doc_id", "mark", "low", "high")
     runs = F.expr(
@@ -241,6 +243,8 @@ def remove_repeats(
         ).alias("high"),
     )
     spans = whole.unionByName(part).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = stored(spans, "spans")
+    drop(shared)
     joined = base.alias("a").join(spans.alias("b"), same, "left").select("a.doc_id", "a.data", "b.spans")
     schema = pa.schema(
         [("doc_id", arrow_kind), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()),

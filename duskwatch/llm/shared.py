@@ -40,6 +40,13 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that stored() wrote and nothing reads any more, and free finished shuffles."""
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, path)
+    release(table.sparkSession)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this driver wrote."""
     jvm = spark.sparkContext._jvm
