@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.plans import registry
+from duskwatch.plans import learning_queries, registry, relational_queries, stream_queries, telemetry_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,5 +33,5 @@ def token_matches(left: DataFrame, key: str, text: str, words: DataFrame, word:
 
 def lookup(events: DataFrame, feed: DataFrame, left: Column, right: Column, columns: dict[str, str]) -> DataFrame:
     """Left join to a feed on normalised keys; no row is lost, unmatched columns are null."""
-    slim = feed.groupBy(right.alias("__key")).agg(*[F.min(c).alias(n) for n, c in columns.items()])
+    slim = feed.groupBy(right.alias("__key")).agg(*[F.min(source).alias(out) for source, out in columns.items()])
     return events.join(slim, left == F.col("__key"), "left").drop("__key")

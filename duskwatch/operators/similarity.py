@@ -60,9 +60,9 @@ def planes(n: int, size: int, seed: int = 42) -> list[list[float]]:
 
 def lsh_candidates(rows: DataFrame, queries: DataFrame, key: str, vector: str, size: int, bits: int = 40, within: int = 8) -> DataFrame:
     """Pairs whose random-projection signatures differ in at most ``within`` bits."""
-    table = planes(bits, size)
-    signed = rows.select(key, V.sign_bits(V.doubles(F.col(vector)), table).alias("bits"))
-    q = _small(queries.select(F.col(key).alias("query"), V.sign_bits(V.doubles(F.col(vector)), table).alias("query_bits")))
+    signature = V.sign_bits(planes(bits, size))
+    signed = rows.select(key, signature(V.doubles(F.col(vector))).alias("bits"))
+    q = _small(queries.select(F.col(key).alias("query"), signature(V.doubles(F.col(vector))).alias("query_bits")))
     far = F.bit_count(F.col("bits").bitwiseXOR(F.col("query_bits")))
     return signed.join(q, (far <= within) & (F.col(key) != F.col("query"))).select("query", key, far.cast("int").alias("differing"))
 

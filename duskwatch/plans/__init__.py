@@ -1,0 +1 @@
+"""Registered queries; importing the package registers them all."""

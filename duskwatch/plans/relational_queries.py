@@ -1,0 +1,407 @@
+"""Queries over the business and text tables: joins, state of logs, metrics, JSON, text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from duskwatch.functions import scoring, text
+from duskwatch.functions.stats import f1, nearest_rank, ratio
+from duskwatch.functions.vectors import jaccard
+from duskwatch.operators import filters, intel, windows
+
+from .registry import register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@register(
+    "latency_percentiles",
+    """
+    WITH d AS (SELECT o_orderpriority AS priority, CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    g AS (SELECT priority, count(*) AS n, avg(days) AS mean, list_sort(list(days)) AS v FROM d WHERE days >= 0 GROUP BY priority)
+    SELECT priority, n, mean, v[least(CAST(floor(n * 0.5e0) AS BIGINT), n - 1) + 1] AS p50, v[least(CAST(floor(n * 0.9e0) AS BIGINT), n - 1) + 1] AS p90, v[least(CAST(floor(n * 0.95e0) AS BIGINT), n - 1) + 1] AS p95 FROM g
+    """,
+)
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank percentiles from counts per distinct value, so that no group's values are gathered."""
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")).cast("long")
+    rows = o.select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("priority")).join(li.select("l_orderkey", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
+    counts = rows.select("priority", days.alias("days")).filter("days >= 0").groupBy("priority", "days").agg(F.count("*").alias("c"))
+    up_to = Window.partitionBy("priority").orderBy("days")
+    ranked = counts.withColumn("upto", F.sum("c").over(up_to)).withColumn("n", F.sum("c").over(Window.partitionBy("priority")))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col("days")))
+    return ranked.groupBy("priority").agg(
+        F.max("n").alias("n"), (F.sum(F.col("days") * F.col("c")) / F.sum("c")).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95")
+    )
+
+
+@register(
+    "nearest_rank_small_groups",
+    """
+    WITH g AS (SELECT s_nationkey, count(*) AS n, list_sort(list(s_acctbal)) AS v FROM supplier GROUP BY s_nationkey)
+    SELECT s_nationkey, v[least(CAST(floor(n * 0.5e0) AS BIGINT), n - 1) + 1] AS median FROM g
+    """,
+)
+def nearest_rank_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(nearest_rank("s_acctbal", 0.5).alias("median"))
+
+
+_PRED = "CAST(d.n_chars > 1500 AS INT)"
+
+
+@register(
+    "detection_quality",
+    f"""
+    WITH p AS (SELECT l.toxic AS truth, {_PRED} AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+    c AS (SELECT count(*) FILTER (WHERE truth = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE truth = 0 AND pred = 1) AS fp,
+      count(*) FILTER (WHERE truth = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE truth = 0 AND pred = 0) AS tn FROM p)
+    SELECT tp, fp, fn, tn, tp / (tp + fp) AS prec, tp / (tp + fn) AS recall, 2e0 * tp / (2 * tp + fp + fn) AS f1, fp / (fp + tn) AS false_positive_rate, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c
+    """,
+)
+def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    truth, pred = F.col("toxic") == 1, F.col("n_chars") > 1500
+    c = joined.agg(
+        F.count_if(truth & pred).alias("tp"), F.count_if(~truth & pred).alias("fp"), F.count_if(truth & ~pred).alias("fn"), F.count_if(~truth & ~pred).alias("tn")
+    )
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    out = c.withColumn("prec", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn))
+    return out.select("*", f1(F.col("prec"), F.col("recall")).alias("f1"), ratio(fp, fp + tn).alias("false_positive_rate"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+
+
+@register(
+    "confusion_matrix",
+    f"SELECT d.lang, l.toxic AS truth, {_PRED} AS pred, count(*) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY ALL",
+)
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    return joined.groupBy("lang", F.col("toxic").alias("truth"), (F.col("n_chars") > 1500).cast("int").alias("pred")).agg(F.count("*").alias("n"))
+
+
+@register(
+    "feedback_statistics",
+    f"""
+    WITH p AS (SELECT d.lang, d.source, l.toxic = {_PRED} AS correct FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+    SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct, count(*) FILTER (WHERE correct) / count(*) AS accuracy
+    FROM p GROUP BY GROUPING SETS ((lang), (source), ())
+    """,
+)
+def feedback_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    rows = joined.select("lang", "source", (F.col("toxic") == (F.col("n_chars") > 1500).cast("int")).alias("correct"))
+    sets = rows.groupingSets([[F.col("lang")], [F.col("source")], []], F.col("lang"), F.col("source"))
+    return sets.agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct")).withColumn("accuracy", F.col("n_correct") / F.col("n"))
+
+
+@register(
+    "latest_state",
+    "SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
+)
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    return windows.latest(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).drop("o_orderdate")
+
+
+@register(
+    "status_transitions",
+    """
+    WITH s AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+    SELECT user_id, event_type AS status, count(*) FILTER (WHERE prev IS NULL OR prev <> event_type) AS transitions, count(*) AS records FROM s GROUP BY ALL
+    """,
+)
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = _t(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), F.lag("event_type").over(w).alias("prev"))
+    changed = F.col("prev").isNull() | (F.col("prev") != F.col("status"))
+    return rows.groupBy("user_id", "status").agg(F.count_if(changed).alias("transitions"), F.count("*").alias("records"))
+
+
+@register(
+    "settings_versions",
+    """
+    SELECT user_id AS setting, CAST(max(v) AS BIGINT) AS version, arg_max(event_type, v) AS current FROM
+      (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) GROUP BY user_id
+    """,
+)
+def settings_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events")
+    best = rows.groupBy(F.col("user_id").alias("setting")).agg(F.count("*").alias("version"), F.max(F.struct("ts", "event_id", "event_type")).alias("b"))
+    return best.select("setting", "version", F.col("b.event_type").alias("current"))
+
+
+@register(
+    "pattern_search_page",
+    "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'a') ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 25",
+)
+def pattern_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filters.search(_t(spark, sf_dir, "part"), {}, "A", ("p_name", "p_type"))
+    return filters.page(found, [F.desc("p_retailprice"), F.col("p_partkey")], 2, 25).select("p_partkey", "p_name", "p_brand")
+
+
+@register("pattern_page_count", "SELECT count(*) AS total, CAST(ceil(count(*) / 25e0) AS BIGINT) AS pages FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'a')")
+def pattern_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.page_count(filters.search(_t(spark, sf_dir, "part"), {}, "A", ("p_name", "p_type")), 25)
+
+
+@register(
+    "evidence_chain",
+    """
+    WITH o AS (SELECT c_custkey AS root, count(o_orderkey) AS n_orders, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+    l AS (SELECT o_custkey AS root, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+    SELECT o.root, n_orders, coalesce(n_lines, 0) AS n_lines, coalesce(n_suppliers, 0) AS n_suppliers, coalesce(n_returned, 0) AS n_returned,
+      CASE WHEN n_orders > 0 AND coalesce(n_lines, 0) > 0 AND coalesce(n_returned, 0) > 0 THEN 'PROVEN_CHAIN' WHEN n_orders > 0 THEN 'PARTIAL_CHAIN' ELSE 'INSUFFICIENT_EVIDENCE' END AS status
+    FROM o LEFT JOIN l ON o.root = l.root
+    """,
+)
+def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four stages by root; each side is aggregated to one row per root before it is joined."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), "o_orderkey")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    n_orders = orders.groupBy("root").agg(F.count("*").alias("n_orders"))
+    n_lines = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("root").agg(
+        F.count("*").alias("n_lines"), F.countDistinct("l_suppkey").alias("n_suppliers"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned")
+    )
+    roots = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"))
+    joined = roots.join(n_orders, "root", "left").join(n_lines, "root", "left").na.fill(0)
+    whole = (F.col("n_orders") > 0) & (F.col("n_lines") > 0) & (F.col("n_returned") > 0)
+    status = F.when(whole, "PROVEN_CHAIN").when(F.col("n_orders") > 0, "PARTIAL_CHAIN").otherwise("INSUFFICIENT_EVIDENCE")
+    return joined.withColumn("status", status)
+
+
+@register(
+    "campaign_timeline",
+    """
+    WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey)[1:5] AS ids FROM orders GROUP BY 1), e AS (SELECT o_custkey, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM c)
+    SELECT e.o_custkey, CAST(e.pos AS INT) AS pos, o.o_orderkey, o.o_totalprice FROM e JOIN orders o ON o.o_orderkey = e.id
+    """,
+)
+def campaign_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    ids = windows.first_n(orders.select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], 5)
+    lists = ids.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
+    asked = lists.select("o_custkey", F.posexplode("ids").alias("pos", "id"))
+    return asked.join(orders.select("o_orderkey", "o_totalprice"), F.col("id") == F.col("o_orderkey")).select("o_custkey", "pos", "o_orderkey", "o_totalprice")
+
+
+@register("customers_with_returns", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R')")
+def customers_with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
+    orders = _t(spark, sf_dir, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    return _t(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@register("customers_without_orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@register(
+    "response_latency",
+    """
+    SELECT o_orderpriority, avg(d) AS mean_days, count(*) AS n FROM (SELECT o_orderpriority, min(CAST(l_shipdate AS DATE)) - CAST(o_orderdate AS DATE) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+      WHERE l_linenumber = 1 GROUP BY o_orderkey, o_orderpriority, o_orderdate) WHERE d > 0 AND d <= 365 GROUP BY 1
+    """,
+)
+def response_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _t(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min(F.col("l_shipdate").cast("date")).alias("first"))
+    rows = _t(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"))
+    days = F.datediff("first", F.col("o_orderdate").cast("date"))
+    return rows.withColumn("d", days).filter("d > 0 and d <= 365").groupBy("o_orderpriority").agg(F.avg("d").alias("mean_days"), F.count("*").alias("n"))
+
+
+@register("region_rollup", "SELECT r_name, n_name, count(c_custkey) AS n, round(sum(c_acctbal), 2) AS balance FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey GROUP BY ROLLUP (r_name, n_name)")
+def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = _t(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.rollup("r_name", "n_name").agg(F.count("c_custkey").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@register("part_cube", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_size)")
+def part_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").cube("p_brand", "p_size").agg(F.count("*").alias("n"))
+
+
+@register("json_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) :: BIGINT AS total, count(json_extract(props, '$.missing')) AS missing FROM events GROUP BY 1")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k bigint, missing string")
+    return _t(spark, sf_dir, "events").select("event_type", parsed.alias("p")).groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("p.missing").alias("missing"))
+
+
+@register(
+    "settings_decode",
+    """
+    WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' ELSE 'string' END AS kind,
+      CASE event_id % 5 WHEN 0 THEN '17' WHEN 1 THEN '2.5' WHEN 2 THEN 'yes' WHEN 3 THEN 'x' ELSE '1' END AS v FROM events)
+    SELECT kind, v, count(*) AS n, max(CASE WHEN kind = 'int' AND v IN ('17', '1') THEN CAST(v AS BIGINT) END) AS i, max(CASE WHEN kind = 'float' THEN TRY_CAST(v AS DOUBLE) END) AS d,
+      max(CASE WHEN kind = 'bool' THEN CAST(v IN ('true', '1', 'yes') AS INT) END) AS b FROM s GROUP BY ALL
+    """,
+)
+def settings_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("CASE event_id % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' ELSE 'string' END")
+    value = F.expr("CASE event_id % 5 WHEN 0 THEN '17' WHEN 1 THEN '2.5' WHEN 2 THEN 'yes' WHEN 3 THEN 'x' ELSE '1' END")
+    rows = _t(spark, sf_dir, "events").select(kind.alias("kind"), value.alias("v"))
+    rows = rows.withColumn("t", text.typed_setting(F.col("v"), F.col("kind")))
+    return rows.groupBy("kind", "v").agg(F.count("*").alias("n"), F.max("t.i").alias("i"), F.max("t.d").alias("d"), F.max(F.col("t.b").cast("int")).alias("b"))
+
+
+@register(
+    "document_entropy",
+    """
+    WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), g AS (SELECT item_id, ch, count(*) AS n FROM c GROUP BY ALL),
+    t AS (SELECT item_id, sum(n) AS total FROM g GROUP BY 1)
+    SELECT g.item_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM g JOIN t ON g.item_id = t.item_id GROUP BY g.item_id
+    """,
+)
+def document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
+
+
+@register(
+    "redaction_counts",
+    """
+    WITH e AS (SELECT conv_id, turn, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g') AS t FROM conversations)
+    SELECT count(*) AS n, count(*) FILTER (WHERE contains(t, '[REDACTED_EMAIL]')) AS with_email FROM e
+    """,
+)
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = dict((r[0], r) for r in text.REDACTIONS)["email"]
+    put = F.regexp_replace("text", pattern[1], F.lit(pattern[2]))
+    return _t(spark, sf_dir, "conversations").agg(F.count("*").alias("n"), F.count_if(put.contains(pattern[2])).alias("with_email"))
+
+
+@register("redacted_texts")
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", text.redact(F.col("text")).alias("text"), F.array_join(text.redaction_hits(F.col("text")), ",").alias("rules"))
+
+
+@register("pattern_fingerprints", "SELECT p_partkey, upper(left(sha256(concat_ws('|', 'v1', p_brand, p_type, p_size)), 16)) AS fingerprint FROM part")
+def pattern_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", text.pattern_fingerprint("v1", F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("fingerprint"))
+
+
+@register(
+    "benchmark_jaccard",
+    """
+    WITH t AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark)
+    SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM t a JOIN t b ON a.item_id < b.item_id
+    WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.2
+    """,
+)
+def benchmark_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of benchmark items: candidates share a word, counted in one aggregation, so no pair is formed without cause."""
+    rows = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
+    words = rows.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = words.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "word"), words.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "word")
+    shared = a.join(b, "word").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return shared.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).filter("similarity >= 0.2")
+
+
+@register(
+    "sequence_jaccard",
+    """
+    WITH g AS (SELECT user_id, list_distinct(list(event_type)) AS t FROM events WHERE event_id % 7 = 0 GROUP BY 1), h AS (SELECT user_id, list_distinct(list(event_type)) AS t FROM events WHERE event_id % 7 = 1 GROUP BY 1)
+    SELECT g.user_id, len(list_intersect(g.t, h.t)) / len(list_distinct(list_concat(g.t, h.t))) AS similarity FROM g JOIN h ON g.user_id = h.user_id
+    """,
+)
+def sequence_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    part = lambda i, n: e.filter(F.col("event_id") % 7 == i).groupBy("user_id").agg(F.collect_set("event_type").alias(n))
+    return part(0, "a").join(part(1, "b"), "user_id").select("user_id", jaccard(F.col("a"), F.col("b")).alias("similarity"))
+
+
+@register(
+    "ioc_match",
+    """
+    WITH i(family, value, label, p) AS (VALUES ('domain', 'm.ththth.example.net', 'mirror', 0), ('path', '/en/25', 'landing', 1), ('domain', 'ththre.example.com', 'shop', 0)),
+    v AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+    h AS (SELECT page_id, family, value, label, row_number() OVER (PARTITION BY page_id ORDER BY p, value) AS rn FROM v JOIN i ON (family = 'domain' AND value = lower(domain)) OR (family = 'path' AND value = lower(path)))
+    SELECT page_id, family, value, label FROM h WHERE rn = 1
+    """,
+)
+def ioc_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = [("domain", "m.ththth.example.net", "mirror"), ("path", "/en/25", "landing"), ("domain", "ththre.example.com", "shop")]
+    indicators = spark.createDataFrame(known, "family string, value string, label string")
+    domain, path = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1)
+    return intel.match_by_priority(_t(spark, sf_dir, "pages"), "page_id", indicators, {"domain": domain, "path": path})
+
+
+@register(
+    "ioc_substring",
+    "SELECT d.doc_id, w.word FROM documents d JOIN (VALUES ('idiot'), ('trash'), ('license')) w(word) ON contains(lower(d.text), w.word)",
+)
+def ioc_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("idiot",), ("trash",), ("license",)], "word string")
+    return intel.containing(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", words, "word").select("doc_id", "word")
+
+
+@register(
+    "ioc_tokens",
+    "SELECT DISTINCT d.doc_id, w.word FROM documents d JOIN (VALUES ('idiot'), ('trash'), ('moron')) w(word) ON list_contains(regexp_split_to_array(lower(d.text), '[^\\p{L}\\p{N}_.]+'), w.word)",
+)
+def ioc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("idiot",), ("trash",), ("moron",)], "word string")
+    return intel.token_matches(_t(spark, sf_dir, "documents"), "doc_id", "text", words, "word")
+
+
+@register(
+    "feed_lookup",
+    "SELECT p_partkey, s_name AS feed_name FROM part LEFT JOIN supplier ON p_partkey = s_suppkey",
+)
+def feed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, feed = _t(spark, sf_dir, "part").select("p_partkey"), _t(spark, sf_dir, "supplier")
+    return intel.lookup(part, feed, F.col("p_partkey"), F.col("s_suppkey"), {"s_name": "feed_name"})
+
+
+@register(
+    "evidence_risk",
+    """
+    WITH g AS (SELECT o_custkey, list(o_totalprice / 10000) FILTER (WHERE o_orderstatus = 'F') AS sup, list(o_totalprice / 20000) FILTER (WHERE o_orderstatus <> 'F') AS con FROM orders GROUP BY 1),
+    r AS (SELECT o_custkey, round(greatest(0e0, least(100e0, 8 + coalesce(list_sum(sup), 0) - abs(coalesce(list_sum(con), 0)))), 4) AS risk FROM g)
+    SELECT o_custkey, risk, CASE WHEN risk <= 15 THEN 'LOW' WHEN risk <= 50 THEN 'MEDIUM' WHEN risk <= 80 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM r
+    """,
+)
+def evidence_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    g = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.collect_list(F.when(done, (F.col("o_totalprice") / 10000).cast("double"))).alias("sup"), F.collect_list(F.when(~done, (F.col("o_totalprice") / 20000).cast("double"))).alias("con")
+    )
+    r = g.select("o_custkey", F.round(scoring.evidence_risk(F.col("sup"), F.col("con")), 4).alias("risk"))
+    return r.withColumn("severity", scoring.evidence_severity(F.col("risk")))
+
+
+@register(
+    "residual_risk",
+    "SELECT l_orderkey, round(greatest(0.05e0, 1e0 - sum(CASE WHEN l_returnflag = 'R' THEN l_discount ELSE 0 END)), 6) AS residual FROM lineitem GROUP BY 1",
+)
+def residual_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reduction = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_discount").cast("double")).otherwise(0.0))
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.greatest(F.lit(0.05), 1 - reduction), 6).alias("residual"))
+
+
+@register(
+    "retention",
+    """
+    WITH r AS (SELECT p_partkey, p_retailprice, p_size, p_size > 45 AS keep FROM part), n AS (SELECT greatest(0, count(*) - 1500) AS excess FROM r),
+    low AS (SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rn FROM r WHERE NOT keep), n WHERE rn <= excess)
+    SELECT p_partkey FROM r WHERE p_partkey NOT IN (SELECT p_partkey FROM low)
+    """,
+)
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    return windows.retention(rows, [F.col("p_retailprice"), F.col("p_partkey")], F.col("p_size") > 45, 1500).select("p_partkey")
+
+
+@register("ranked_recommendations", "SELECT p_partkey, p_brand FROM part ORDER BY p_size, p_retailprice DESC, p_partkey LIMIT 10")
+def ranked_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").orderBy("p_size", F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey", "p_brand")
+
+
+@register("retraining_readiness", "SELECT count(*) AS n, count(*) >= 50 AS ready, count(*) FILTER (WHERE toxic = 1) / count(*) AS share FROM labels")
+def retraining_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels")
+    return labels.agg(F.count("*").alias("n"), (F.count("*") >= 50).alias("ready"), (F.count_if(F.col("toxic") == 1) / F.count("*")).alias("share"))
