@@ -4,8 +4,8 @@ A bit-sliced Bloom filter holds one bit per language in each row. One look-up of
 returns all languages that may hold it. The set bits are counted per language over all n-grams of a text, the
 expected number of false positives is taken off, and the language with the largest corrected share wins.
 
-The filter is fitted on at most ``FIT_DOCS`` documents of each language, the ones with the smallest hash of
-their id; its size is fixed. Prediction covers all rows and whole texts.
+The filter is fitted on about ``FIT_DOCS`` documents of each language, those whose hashed id lies below the
+share that gives as many; its size is fixed. Prediction covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -105,10 +105,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     languages = [x for x, _ in found]
     if not languages:
         return LanguageFilter([], np.zeros(ROWS, np.uint64), np.zeros(0), 0)
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("r", F.row_number().over(order))
-    chosen = keys.filter(F.col("r") <= fit_docs).select("doc_id")
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    share = F.element_at(F.create_map(*[F.lit(v) for x, n in found for v in (x, min(1.0, fit_docs / n))]), F.col("lang"))
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
+    sample = rows.filter(key < share).select("lang", "text")
     counted = sample.mapInPandas(_document_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     sizes = {x: min(n, fit_docs) for x, n in found}
     share = F.col("docs") / F.element_at(F.create_map(*[F.lit(v) for x in languages for v in (x, sizes[x])]), F.col("lang"))
