@@ -73,7 +73,9 @@ def token_counts(
     path = vocabulary_path or vocabulary()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    sample = base.select("text").limit(sample_rows).coalesce(1)
+    share = min(1.0, 1.5 * sample_rows / max(1, base.count()))
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 33) / F.lit(float(1 << 31))
+    sample = base.filter(key <= share).select("text").limit(sample_rows).coalesce(1)
     top = sample.mapInArrow(_frequent(path, table_units), "unit string, n int").collect()
     table = docs.sparkSession.sparkContext.broadcast({r.unit: r.n for r in top})
     kind = base.schema["doc_id"].dataType.simpleString()

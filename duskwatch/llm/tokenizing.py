@@ -2,9 +2,9 @@
 
 Where no white space follows a space, a byte-level pre-tokenizer never joins that space with what stands
 before it. So a text is the concatenation of units that start at spaces. Arrow finds the distinct units of a
-batch, a worker's cache knows the frequent ones, and only the others are encoded: a plain word by a byte pair
-core over the merges of the same vocabulary file, anything else by the library. Texts with a special string
-or with white space behind a space go to the library whole.
+batch, a worker's cache knows the frequent ones, and only the others are encoded: a plain unit by the library's
+model from its pre-tokens, anything else by the whole library. Texts with a special string or with white space
+behind a space, and all texts of other kinds of vocabulary, go to the library whole.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ _DOUBTFUL = r" [\s\x1c-\x1f\x85\p{Z}]"
 CACHE_UNITS = 1_000_000
 
 
-def _byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: itself if visible in Latin-1, else from 256 on."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible in Latin-1, else from 256 on."""
     seen = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
     rest = [b for b in range(256) if b not in seen]
-    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class UnitEncoder:
@@ -47,24 +47,13 @@ class UnitEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.core = self._merger(path)
-        self.units: dict[str, bytes] = {}
-        self.room = cache_units
-
-    def _merger(self, path: str):
-        """tiktoken's core if the file's merges stand in the order of their ids, as it takes them; else None."""
-        import tiktoken
-
+        self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, letters = spec["model"], _byte_letters()
-        added = {t["content"] for t in spec["added_tokens"]}
-        merged = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", ())]
-        ids = [model["vocab"].get(m.replace(" ", "", 1), -1) for m in merged]
-        if ids != sorted(set(ids)) or not ids or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
-            return None
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
-        return tiktoken.Encoding("units", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        step = spec["pre_tokenizer"] or {}
+        self.by_units = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"] and not spec["normalizer"]
+        self.units: dict[str, bytes] = {}
+        self.room = cache_units
 
     def pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -76,15 +65,20 @@ class UnitEncoder:
         """Packed ids of a text by the library alone."""
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", self.letters[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.library.model.tokenize(letters)]
+
     def _unit(self, unit: str) -> bytes:
-        if self.core is None:
-            return self.whole(unit)
         if _WORD.fullmatch(unit):
-            return self.pack(self.core.encode_single_piece(unit.encode()))
+            return self.pack(self._piece(unit))
         pieces = _PLAIN.findall(unit)
         if sum(map(len, pieces)) != len(unit):
             return self.whole(unit)
-        return self.pack([i for p in pieces for i in self.core.encode_single_piece(p.encode())])
+        return self.pack([i for p in pieces for i in self._piece(p)])
 
     def unit(self, unit: str) -> bytes:
         """Packed ids of a space and the unit behind it."""
@@ -101,7 +95,7 @@ class UnitEncoder:
         Number -1 - i stands for the first unit of text i, which has no space before it.
         """
         texts = texts.fill_null("")
-        odd = pc.match_substring_regex(texts, _DOUBTFUL)
+        odd = pc.match_substring_regex(texts, _DOUBTFUL) if self.by_units else pc.is_valid(texts)
         for special in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, special))
         whole = {int(i): self.whole(texts[int(i)].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
