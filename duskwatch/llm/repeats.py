@@ -7,7 +7,7 @@ cut at ``length`` bytes, are ordered as (phrase, what follows) pairs, and equal
 
 1. each phrase is named by what all its strings have in common (core) and by all that they cover (extent);
 2. a core that occurs once has no repeated string, a core with one extent that occurs again has only such;
-3. of other cores, one phrase for each extent is opened and its strings are named one by one.
+3. of other cores, one phrase for each extent is opened and the strings of a core are compared.
 
 Names are 128-bit polynomial hashes, cores 64 bits, where a clash only opens more phrases. Phrases stand for
 all their copies, so groups of copies of any size are counted before the shuffle and opened once.
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, release, stored
+from .shared import drop, release, slots, stored
 
 LENGTH = 400
 GRAM = 32
 WINDOW = 128
+#: Classes of one core that a task judges together.
+CORE_CLASSES = 50_000
 _U = np.uint64
 
 
@@ -130,22 +132,68 @@ def _parse(length: int, gram: int, window: int, id_type: pa.DataType):
     return parse
 
 
-def _open(length: int):
-    """Strings of the phrases asked for: (class, offset, copies of the phrase, name1, name2)."""
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the phrases asked for: (core, class, copies of the phrase, bytes that its strings cover)."""
+    for batch in batches:
+        rows = [
+            (w["core"], w["class"], w["n"], data[w["low"] : w["end"]])
+            for data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for w in asked
+        ]
+        for at in range(0, len(rows), 20_000):
+            columns = zip(*rows[at : at + 20_000])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["core", "class", "n", "data"])
+
+
+def _strings(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """class, offset, copies and both names of every string of (core, class, copies, data) rows."""
+    parts = []
+    for _, number, n, data in rows:
+        letters = np.frombuffer(data, dtype=np.uint8)
+        at = np.arange(len(letters) - length + 1)
+        names = [r.names(r.prefix(letters), at, at + length) for r in (_FIRST, _SECOND)]
+        parts.append((np.full(len(at), number), at.astype(np.int32), np.full(len(at), n), *names))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _within_core(length: int):
+    """Repeated offsets of each class from rows sorted by core; one core is one bounded run, which may span batches."""
+
+    def judged(rows: list[tuple]) -> pa.RecordBatch:
+        number, off, n, name1, name2 = _strings(rows, length)
+        order = np.lexsort((name2, name1))
+        fresh = np.append(True, (name1[order][1:] != name1[order][:-1]) | (name2[order][1:] != name2[order][:-1]))
+        group = np.cumsum(fresh) - 1
+        again = np.empty(len(number), bool)
+        again[order] = np.bincount(group, n[order])[group] > 1
+        where = np.flatnonzero(again)
+        cuts = np.flatnonzero(np.append(True, number[where][1:] != number[where][:-1])) if len(where) else where
+        offsets = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(where)), pa.int32()), pa.array(off[where]))
+        return pa.RecordBatch.from_arrays([pa.array(number[where][cuts]), offsets], names=["class", "offs"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run and row[0] != run[0][0]:
+                    yield judged(run)
+                    run = []
+                run.append(row)
+        if run:
+            yield judged(run)
+
+    return each
 
+
+def _one_by_one(length: int):
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, asked = batch.column(0), batch.column(1)
-            for i in range(len(batch)):
-                letters = np.frombuffer(data[i].as_py(), dtype=np.uint8)
-                first, second = _FIRST.prefix(letters), _SECOND.prefix(letters)
-                wanted = asked[i].as_py()
-                of = np.concatenate([np.full(w["high"] - w["low"] + 1, w["class"]) for w in wanted])
-                at = np.concatenate([np.arange(w["low"], w["high"] + 1) for w in wanted])
-                off = np.concatenate([np.arange(w["high"] - w["low"] + 1) for w in wanted]).astype(np.int32)
-                times = np.concatenate([np.full(w["high"] - w["low"] + 1, w["n"]) for w in wanted])
-                names = [r.names(p, at, at + length).view(np.int64) for r, p in ((_FIRST, first), (_SECOND, second))]
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(off), pa.array(times), *map(pa.array, names)], names=["class", "off", "n", "name1", "name2"])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for at in range(0, len(rows), 500):
+                columns = _strings(rows[at : at + 500], length)
+                arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["class", "off", "n", "name1", "name2"])
 
     return strings
 
@@ -214,18 +262,14 @@ def remove_repeats(
         F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "low", "high")).alias("one")
     )
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    asked = classes.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark")).agg(
-        F.collect_list(F.struct("class", "n", "one.low", "one.high")).alias("asked")
-    )
+    wanted = F.struct("core", "class", "n", "one.low", (F.col("one.high") + length).alias("end"))
+    asked = classes.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark")).agg(F.collect_list(wanted).alias("asked"))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.mark") == F.col("b.mark")]
     sources = base.alias("a").join(asked.alias("b"), same).select("data", "asked")
-    strings = sources.mapInArrow(_open(length), "class long, off int, n long, name1 long, name2 long")
-    strings = stored(strings.distinct(), "strings")
+    opened = stored(sources.mapInArrow(_open, "core long, class long, n long, data binary"), "opened")
     release(spark)
-    repeated = strings.groupBy("name1", "name2").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    hit = strings.join(repeated, ["name1", "name2"]).select("class", "off")
-    hits = stored(hit.groupBy("class").agg(F.array_sort(F.collect_list("off")).alias("offs")), "hits")
-    drop(strings)
+    hits = stored(_repeated(opened, classes, length), "hits")
+    drop(opened)
     found = classes.join(hits, "class").select(*keys, "offs")
     whole = shared.filter("alike").select("doc_id", "mark", "low", "high")
     runs = F.expr(
@@ -257,6 +301,34 @@ def remove_repeats(
     return out if with_text else out.drop("kept", "spans")
 
 
+def _repeated(opened: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """(class, offs): the offsets at which a repeated string starts.
+
+    Equal strings have equal cores, so the classes of a core are judged together in one run of rows. A core with
+    more than ``CORE_CLASSES`` classes has its strings named one by one and counted before the shuffle instead.
+    """
+    sizes = classes.groupBy("core").agg(F.count("*").alias("m"))
+    large = sizes.filter(F.col("m") > CORE_CLASSES).select("core")
+    opened = opened.dropDuplicates(["class"]) if _repeats_rows(classes, opened) else opened
+    few, many = opened, None
+    if not large.isEmpty():
+        few, many = opened.join(large, "core", "left_anti"), opened.join(large, "core", "left_semi")
+    runs = few.repartition(slots(opened.sparkSession), "core").sortWithinPartitions("core", "class")
+    hits = runs.mapInArrow(_within_core(length), "class long, offs array<int>")
+    if many is None:
+        return hits
+    strings = many.mapInArrow(_one_by_one(length), "class long, off int, n long, name1 long, name2 long")
+    strings = stored(strings, "strings")
+    repeated = strings.groupBy("name1", "name2").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
+    single = strings.join(repeated, ["name1", "name2"]).select("class", "off")
+    return hits.unionByName(single.groupBy("class").agg(F.array_sort(F.collect_list("off")).alias("offs")))
+
+
+def _repeats_rows(classes: DataFrame, opened: DataFrame) -> bool:
+    """Whether rows that repeat a document have opened a class twice."""
+    return opened.count() > classes.count()
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from duskwatch.llm import decontaminate, language_masks, near_copies, toxic_spans
+from duskwatch.llm import decontaminate, language_masks, near_copies, repeats, toxic_spans
 from duskwatch.llm.block_names import block_name_dedup
 from duskwatch.llm.mixing import mix, targets
 from duskwatch.llm.repeats import cut, remove_repeats
@@ -169,7 +169,9 @@ def test_damaged_store_is_noticed(docs):
         read_store(store)
 
 
-def test_repeats(docs, rows, empty):
+@pytest.mark.parametrize("core_classes", [50_000, 1])
+def test_repeats(docs, rows, empty, monkeypatch, core_classes):
+    monkeypatch.setattr(repeats, "CORE_CLASSES", core_classes)
     length = 60
     count = Counter()
     for _, t, *_ in rows:
