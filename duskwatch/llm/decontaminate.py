@@ -22,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices, small_batches
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 ITEMS_AT_ONCE = 2_000
 #: The longest text of an item in characters; a longer one is an error, as a block of items must stay small.
 ITEM_CHARS = 100_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
 
@@ -169,7 +171,7 @@ class ItemIndex:
 def _find(items, k: int, similarity: float, radius: int, id_type: pa.DataType, item_type: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items.value, k, similarity, radius)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(t)]
             columns = zip(*rows) if rows else [()] * 6
             kinds = (id_type, item_type, pa.float64(), pa.int32(), pa.int32(), pa.int32())
@@ -200,6 +202,7 @@ def contamination(
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
     kinds = base.schema["doc_id"].dataType, items.schema["item_id"].dataType

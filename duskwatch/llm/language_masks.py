@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 FIT_DOCS = 1_500
 GRAM = 4
 ROWS = 1 << 21
@@ -97,6 +99,7 @@ def _document_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> LanguageFilter:
     """Fit on rows with a language; at most ``MAX_LANGUAGES`` of them. Null languages are left out."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter("lang is not null")
     found = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .shared import stored
+from .shared import small_batches, stored
 
 #: Weights of the sources by code point, repeating, null last.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -67,6 +67,7 @@ def mix(
     an id share its key and are taken one after the other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),

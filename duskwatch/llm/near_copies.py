@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, stored
+from .shared import release, slices, small_batches, stored
 from .simhash import SEED, simhash_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -51,7 +51,7 @@ def segment_prints(hashes: np.ndarray) -> np.ndarray:
 
 def _segments(words: int):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [segment_prints(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "segments"])
 
@@ -78,6 +78,7 @@ def _similar(words: int, least: float):
 
 def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (u, v) between ids of near copies, enough to connect their groups."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
     found = stored(base.mapInArrow(_segments(words), "doc_id long, segments array<long>"), "segments")
     parts = found.select("doc_id", F.size("segments").alias("n"), F.explode("segments").alias("segment"))

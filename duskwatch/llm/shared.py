@@ -7,11 +7,19 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text that a task turns into Python objects at once; a longer text is one such piece by itself.
+TEXT_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python workers.
+BATCH_BYTES = 8 << 20
 
 _written: list[str] = []
 
@@ -92,5 +100,23 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``most`` bytes of text together, one row at least: all rows, bounded memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand Arrow batches of at most ``BATCH_BYTES`` to Python; a smaller setting stays as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(name).rstrip("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

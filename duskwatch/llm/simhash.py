@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .shared import stored
+from .shared import small_batches, stored
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -184,6 +184,7 @@ def simhash_components(
     give a row; a null id is never a component_id unless all ids of the component are null. An empty table
     gives an empty result. Other input columns are ignored.
     """
+    small_batches(docs.sparkSession)
     prints = docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(words)(F.col(f"`{text_col}`")).alias("print"))
     prints = stored(prints, "fingerprints")
     classes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices, small_batches
 from .tokenizing import encoder, vocabulary
 
 #: Rows that the table of frequent units is fitted on, and the most units it holds.
@@ -41,10 +42,8 @@ def _count(path: str, table):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, first_tier = encoder(path), table.value
         width = encode.dtype.itemsize
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = batch.column(1)
-            if not len(texts):
-                continue
             numbers, starts, units, firsts = encode.split(texts)
             known = map(first_tier.get, units)
             size = [n if n is not None else len(encode.unit(u)) // width for n, u in zip(known, units, strict=True)]
@@ -70,6 +69,7 @@ def token_counts(
     by default. Null and repeated ids are kept as they are, an empty table gives an empty result, and other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary_path or vocabulary()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_store, release, remove, slots, stored
+from .shared import new_path, open_store, release, remove, slices, slots, small_batches, stored
 from .tokenizing import encoder, vocabulary
 
 END_ID = 2
@@ -78,7 +78,7 @@ def _pack(path: str, end_id: int, folder: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, press = encoder(path), zstandard.ZstdCompressor(level=1)
         name, sink, at, seen = "", None, 0, {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             if sink is None:
                 files, where = open_store(folder)
@@ -220,6 +220,7 @@ def write_store(
     Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path, root = vocabulary_path or vocabulary(), root or new_path(spark, "token_store")
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()

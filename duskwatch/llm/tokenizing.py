@@ -27,7 +27,7 @@ _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _PLAIN = re.compile(_WORD.pattern + r"| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n(?!\n)")
 _DOUBTFUL = r" [\s\x1c-\x1f\x85\p{Z}]"
 #: Units kept by a worker; beyond it, new ones are encoded each time they come.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 150_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, open_store, slots, stored
+from .shared import new_path, open_store, slots, small_batches, stored
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 #: A revisit is worth it from so many payload bytes on.
@@ -213,6 +213,7 @@ def write_packages(
     are responses. Rows with a null id are responses. White space in urls becomes single spaces, null an empty
     string. An empty table writes nothing. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "packages")
     data = F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
