@@ -53,6 +53,17 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_slices_keep_all_rows_in_bounded_pieces():
+    import pyarrow as pa
+
+    from duskwatch.llm.shared import slices
+
+    batch = pa.RecordBatch.from_pydict({"i": [1, 2, 3, 4, 5], "t": ["aa", None, "b" * 11, "", "c"]})
+    cut_up = lambda b, most: [x.column(0).to_pylist() for x in slices(b, 1, most)]
+    assert cut_up(batch, 2) == [[1, 2], [3], [4, 5]] and cut_up(batch, 100) == [[1, 2, 3, 4, 5]]
+    assert cut_up(batch.slice(3), 1) == [[4, 5]] and cut_up(batch.slice(0, 0), 1) == []
+
+
 def test_block_names(docs, rows, empty):
     groups = defaultdict(list)
     for i, text, *_ in rows:
