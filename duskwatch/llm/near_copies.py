@@ -1,10 +1,18 @@
-"""Near copies by SimHash, verified: one document of each group stays.
+"""Near copies by SimHash and a complete prefix filter, verified: one document of each group stays.
 
-Candidates come from the SimHash operator over whole documents and, because a few edits move a 64-bit
-fingerprint by more bits than an index can search at scale, from SimHashes of segments: shingle hashes that end
-in zero bits cut a document at content-defined places, and near copies share most segments unchanged. Each
-document is paired with the smallest and the largest id that share a segment, which takes one aggregation and
-no pairs within a group. Candidates are verified by exact multiset Jaccard similarity of their word shingles.
+Texts with the same multiset of word shingles are one class, linked to its smallest id; one document of each class
+goes on. Two kinds of candidates follow, all verified by exact multiset Jaccard similarity.
+
+The first kind is fast and joins most groups: the SimHash operator over whole documents and, because a few edits move
+a 64-bit fingerprint by more bits than an index can search at scale, SimHashes of segments: shingle hashes that end in
+zero bits cut a document at content-defined places. Each document is paired with the smallest and the largest id that
+share a segment.
+
+The second kind is complete for the rest. Shingles are put in one order for all documents, frequent ones last. The
+first shingle in this order that two documents share, at places i and j (from 0) of a and b shingles, leaves them at
+most min(a - i, b - j) in common, and a similarity of s takes s / (1 + s) * (a + b). So every similar pair shares a
+shingle within the first (1 - s) * size + 1 of each, where this bound holds. Pairs that the first kind has put in one
+group already are not formed again.
 """
 
 from __future__ import annotations
@@ -15,18 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, slices, small_batches, stored
-from .simhash import SEED, simhash_components
+from .shared import drop, release, slices, slots, small_batches, stored
+from .simhash import SEED, _then_none, simhash_components
 
 WORDS, SIMILARITY = 5, 0.8
 #: A segment ends at one of 2 ** CUT_BITS shingles on average.
 CUT_BITS = 4
-#: The share of a document's segments that a candidate must hold; similarity 0.8 leaves about 0.6.
+#: The share of a document's segments that a candidate of the first kind must hold; pairs below it are left to the second kind.
 SHARE = 0.25
+#: Documents read to see which shingles are frequent, and so many frequent ones at most. They set the order only: any order finds all pairs.
+ORDER_DOCS, FREQUENT, LEAST_FREQUENT = 20_000, 100_000, 3
+#: Pairs of a run that are compared at once.
+_PAIRS = 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -49,13 +62,111 @@ def segment_prints(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.packbits(ones, axis=1, bitorder="little").view(np.int64).ravel())
 
 
-def _segments(words: int):
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def elements(hashes: np.ndarray) -> np.ndarray:
+    """Distinct values for a multiset: the first of equal hashes stays, further ones depend on their number as well."""
+    ordered = np.sort(hashes)
+    if not len(ordered):
+        return ordered
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    number = (np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))).astype(np.uint64)
+    mixed = (ordered ^ (number * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.where(number == 0, ordered, mixed ^ (mixed >> np.uint64(32)))
+
+
+def prefix(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements in the common order, frequent ones last: so many that similar documents share one of them."""
+    if not len(values):
+        return values.view(np.int64)
+    rank = np.zeros(len(values), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+        rank = np.where(frequent[at] == values, counts[at], 0)
+    order = np.lexsort((values, rank))
+    return values[order[: int((1 - similarity) * len(values) + 1e-6) + 1]].view(np.int64)
+
+
+def _content(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(np.sort(hashes).tobytes())
+
+
+def _sampled(words: int):
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            values = [elements(shingle_hashes(t, words)).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.int64()))], names=["elements"])
+
+    return sampled
+
+
+def _prints(words: int, similarity: float, order: Broadcast):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = order.value
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            found = [segment_prints(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "segments"])
+            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            lists = [[segment_prints(h) for h in found], [prefix(elements(h), frequent, counts, similarity) for h in found]]
+            columns = [batch.column(0), pa.array(map(_content, found), pa.binary()), pa.array(map(len, found), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "segments", "prefix"])
+
+    return prints
+
+
+def run_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of the documents that hold one element, from different groups, where the bound allows the similarity."""
+    groups, group, n = np.unique(root, return_inverse=True, return_counts=True)
+    rest, need = np.flatnonzero(group != n.argmax()), similarity / (1 + similarity)
+    step = max(1, _PAIRS // len(doc))
+    for i in range(0, len(rest), step):
+        a = rest[i : i + step]
+        most = np.minimum((size - place)[a, None], (size - place)[None])
+        x, y = np.nonzero((root[a, None] != root[None]) & (most >= need * (size[a, None] + size[None]) - 1e-6))
+        if len(x):
+            pairs = np.stack([doc[a[x]], doc[y]], axis=1)
+            yield np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def _runs(similarity: float):
+    """Rows sorted by element to the pairs of each run; a run may span batches."""
+    names = ("element", "root", "doc_id", "n", "place")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for batch in _then_none(batches):
+            last = batch is None
+            if not last:
+                parts.append(tuple(batch.column(c).to_numpy() for c in names))
+                if not len(batch) or parts[0][0][0] == parts[-1][0][-1]:
+                    if not len(batch):
+                        parts.pop()
+                    continue
+            if not parts:
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*parts))
+            starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+            ends = np.append(starts[1:], len(rows[0]))
+            parts = [] if last else [tuple(x[starts[-1] :] for x in rows)]
+            if not last:
+                starts, ends = starts[:-1], ends[:-1]
+            if not len(starts):
+                continue
+            end, found, held = ends[-1], [], 0
+            several = np.minimum.reduceat(rows[1][:end], starts) < np.maximum.reduceat(rows[1][:end], starts)
+            for s, e in zip(starts[several], ends[several]):
+                root, doc, size, place = (x[s:e].astype(np.int64) for x in rows[1:])
+                for new in run_pairs(root, doc, size, place, similarity):
+                    found.append(new)
+                    held += len(new)
+                    if held > _PAIRS:
+                        yield _pair_batch(found)
+                        found, held = [], 0
+            if found:
+                yield _pair_batch(found)
+
+    return pairs
+
 
-    return segments
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["doc_id", "other"])
 
 
 def _similar(words: int, least: float):
@@ -76,23 +187,63 @@ def _similar(words: int, least: float):
     return similar
 
 
-def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (u, v) between ids of near copies, enough to connect their groups."""
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
-    found = stored(base.mapInArrow(_segments(words), "doc_id long, segments array<long>"), "segments")
-    parts = found.select("doc_id", F.size("segments").alias("n"), F.explode("segments").alias("segment"))
+def _order(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that many documents of a bounded sample hold, sorted, and how many."""
+    share = min(1.0, ORDER_DOCS / max(base.count(), 1))
+    chosen = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select("text")
+    sample = chosen.mapInArrow(_sampled(words), "elements array<long>")
+    counts = sample.select(F.explode("elements").alias("element")).groupBy("element").count().filter(F.col("count") >= LEAST_FREQUENT)
+    best = counts.orderBy(F.desc("count"), "element").limit(FREQUENT).toArrow()
+    values, n = best.column("element").to_numpy().view(np.uint64), best.column("count").to_numpy()
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
+def _verified(base: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    own = base.join(pairs, "doc_id").withColumnRenamed("text", "mine")
+    both = own.join(base.select(F.col("doc_id").alias("other"), "text"), "other").select("doc_id", "other", "mine", "text")
+    return both.mapInArrow(_similar(words, similarity), "u long, v long")
+
+
+def _segment_pairs(kept: DataFrame) -> DataFrame:
+    parts = kept.select("doc_id", F.size("segments").alias("n"), F.explode("segments").alias("segment"))
     ends = parts.groupBy("segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     met = parts.join(ends, "segment")
     pairs = met.select("doc_id", "n", F.col("least").alias("other")).unionByName(met.select("doc_id", "n", F.col("most").alias("other")))
     pairs = pairs.filter("doc_id <> other").groupBy("doc_id", "other").agg(F.count("*").alias("held"), F.max("n").alias("n"))
-    pairs = pairs.filter(F.col("held") >= SHARE * F.col("n")).select("doc_id", "other")
+    return pairs.filter(F.col("held") >= SHARE * F.col("n")).select("doc_id", "other")
+
+
+def _prefix_pairs(kept: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs that may be similar and aren't in one group yet."""
+    grouped = kept.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    rows = grouped.select(F.coalesce("root", "doc_id").alias("root"), "doc_id", "n", F.posexplode("prefix").alias("place", "element"))
+    spread = rows.repartition(slots(kept.sparkSession), "element").sortWithinPartitions("element")
+    return spread.select("element", "root", "doc_id", "n", "place").mapInArrow(_runs(similarity), "doc_id long, other long").distinct()
+
+
+def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (u, v) between ids of near copies, enough to connect their groups: no similar pair is left in two groups."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
+    order = spark.sparkContext.broadcast(_order(base, words))
+    found = base.mapInArrow(_prints(words, similarity, order), "doc_id long, content binary, n int, segments array<long>, prefix array<long>")
+    found = stored(found, "prints")
+    least = found.groupBy("content").agg(F.min("doc_id").alias("least"))
+    copies = stored(found.select("doc_id", "content").join(least, "content").select(F.col("doc_id").alias("u"), F.col("least").alias("v")), "copies")
+    ids = copies.filter("u = v").select(F.col("u").alias("doc_id")).distinct()
+    kept = found.join(ids, "doc_id", "left_semi")
     whole = simhash_components(base, words=words).filter("doc_id <> component_id").select("doc_id", F.col("component_id").alias("other"))
-    pairs = stored(pairs.unionByName(whole).distinct(), "pairs")
-    release(docs.sparkSession)
-    own = base.join(pairs, "doc_id").withColumnRenamed("text", "mine")
-    both = own.join(base.select(F.col("doc_id").alias("other"), "text"), "other").select("doc_id", "other", "mine", "text")
-    return both.mapInArrow(_similar(words, similarity), "u long, v long")
+    pairs = stored(_segment_pairs(kept).unionByName(whole.join(ids, "doc_id", "left_semi")).distinct(), "pairs")
+    release(spark)
+    fast = stored(_verified(base, pairs, words, similarity), "fast")
+    release(spark)
+    pairs = stored(_prefix_pairs(kept, components(fast), similarity), "pairs")
+    drop(found)
+    rest = stored(_verified(base, pairs, words, similarity), "rest")
+    release(spark)
+    return copies.filter("u <> v").unionByName(fast).unionByName(rest)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -329,3 +329,57 @@ def test_near_copies(spark):
     got = near_copies.near_copies(df)
     assert got.columns == df.columns
     assert {r.doc_id for r in got.collect()} == want | {None}
+
+
+def check_near_copies(spark, rows):
+    grams = {i: Counter(near_copies.shingle_hashes(t, 5).tolist()) for i, t in rows}
+
+    def linked(a, b):
+        both = sum((grams[a] & grams[b]).values())
+        return both >= 0.8 * (grams[a].total() + grams[b].total() - both)
+
+    parts = components_of(grams, linked)
+    want = {min(k for k, r in parts.items() if r == root) for root in set(parts.values())}
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    return want
+
+
+def test_near_copies_that_drift(spark):
+    """Versions of a page that are similar to their neighbours alone, in mixed order of ids, beside a passage that unrelated texts share."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, passage = [], [word() for _ in range(120)]
+    for page in range(6):
+        words = [word() for _ in range(300)]
+        ids = rng.sample(range(100), 12)
+        for i in ids:
+            rows.append((page * 100 + i, " ".join(words)))
+            at = rng.randrange(0, 300 - 25)
+            words[at : at + 25] = [word() for _ in range(25)]
+    for i in range(30):
+        own = [word() for _ in range(100)]
+        rows.append((1000 + i, " ".join([*own, *passage])))
+        own[50] = word()
+        rows.append((2000 + i * 7 % 30, " ".join([*own, *passage, word()])))
+    assert len(check_near_copies(spark, rows)) == 36
+
+
+def test_runs_may_span_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    element = np.sort(np.append(rng.integers(0, 40, 300), np.full(200, 40)))
+    doc = rng.permutation(500)
+    root, size, place = doc // 3, rng.integers(20, 30, 500), rng.integers(0, 6, 500)
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (element, root, doc, size, place)], names=["element", "root", "doc_id", "n", "place"])
+    want = set()
+    for i in range(500):
+        for j in range(500):
+            fits = min(size[i] - place[i], size[j] - place[j]) >= 0.8 / 1.8 * (size[i] + size[j]) - 1e-6
+            if element[i] == element[j] and doc[i] > doc[j] and root[i] != root[j] and fits:
+                want.add((int(doc[i]), int(doc[j])))
+    for step in (7, 64, 500):
+        batches = [table.slice(i, step) for i in range(0, 500, step)]
+        got = {p for b in near_copies._runs(0.8)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))}
+        assert got == want
