@@ -7,7 +7,8 @@ tokens. Scoring runs forward-backward over every token of every text, in segment
 marginals give spans, and a logistic model over their largest and their sum gives the document score.
 
 Fitting reads at most ``FIT_DOCS`` labelled documents, the ones with the smallest hash of their id, and the
-field is trained on at most ``TRAIN_DOCS`` of them. Scoring covers all rows and whole texts.
+field and the document model are trained on at most ``TRAIN_DOCS`` of them. Whole texts are read in fitting as in
+scoring, which covers all rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .shared import slices, small_batches
 
 FIT_DOCS = 12_000
 TRAIN_DOCS = 3_000
-#: At most so many tokens of one document enter the training of the field.
-TRAIN_TOKENS = 3_000
+#: Tokens of training documents that are worked on at once; a longer document is one such piece by itself.
+PIECE_TOKENS = 200_000
 SLOTS = 1 << 18
 SEGMENT = 256
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -113,13 +114,18 @@ def _batch_marginals(model: ToxicModel, texts: list[str | None], cache: dict[str
     if len(cache) > CACHE_WORDS:
         for x in fresh:
             del cache[x]
-    out = np.zeros(len(flat))
+    return _token_marginals(model, scores, ends), ends
+
+
+def _token_marginals(model: ToxicModel, scores: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marginals of all tokens of texts from their emission scores, in scoring and fitting alike."""
+    out = np.zeros(len(scores))
     matrix, mask, at = _segments(scores, np.append(0, ends[:-1]).astype(np.int64), ends.astype(np.int64))
     for i in range(0, len(matrix), 4096):
         part = slice(i, i + 4096)
         _, marginal, _ = forward_backward(matrix[part], mask[part], model.transition, model.start)
         out[at[part][mask[part]]] = marginal[mask[part]]
-    return out, ends
+    return out
 
 
 def _summary(marginals: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -196,7 +202,7 @@ def _train_rows(markers: frozenset[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _WORD.findall((text or "").lower())[:TRAIN_TOKENS]
+                words = _WORD.findall((text or "").lower())
                 slots = [_slots(w) for w in words]
                 tags = bytes(int(bool(label) and not markers.isdisjoint(features(w))) for w in words)
                 sizes, flat = (np.array(x, "<i4").tobytes() for x in ([len(s) for s in slots], [x for s in slots for x in s]))
@@ -205,6 +211,18 @@ def _train_rows(markers: frozenset[str]):
     return rows
 
 
+def _pieces(docs: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes, slots, tags and document ends of runs of documents with at most ``PIECE_TOKENS`` tokens, one document at least."""
+    at = 0
+    while at < len(docs):
+        to, held = at + 1, len(docs[at][2])
+        while to < len(docs) and held + len(docs[to][2]) <= PIECE_TOKENS:
+            held += len(docs[to][2])
+            to += 1
+        part, at = docs[at:to], to
+        yield (*(np.concatenate([d[k] for d in part]) for k in range(3)), np.cumsum([len(d[2]) for d in part]))
+
+
 def _train(rows: list, markers_found: bool, odds: float = 1.0) -> ToxicModel:
     """Adaptive gradient ascent on the likelihood of the tags, then the logistic model of the document labels.
 
@@ -220,22 +238,22 @@ def _train(rows: list, markers_found: bool, odds: float = 1.0) -> ToxicModel:
         mixed = order.permutation(len(docs))
         for i in range(0, len(docs), 150):
             batch = [docs[j] for j in mixed[i : i + 150]]
-            sizes, slots, tags = (np.concatenate([d[k] for d in batch]) for k in range(3))
-            token = np.repeat(np.arange(len(sizes)), sizes)
-            ends = np.cumsum([len(d[2]) for d in batch])
-            scores = np.bincount(token, model.weights[slots], len(sizes))
-            matrix, mask, at = _segments(scores, np.append(0, ends[:-1]), ends)
-            _, marginal, pairs = forward_backward(matrix, mask, model.transition, model.start)
-            expected = np.zeros(len(sizes))
-            expected[at[mask]] = marginal[mask]
-            gold = np.where(mask, tags[at], 0)
-            true_pairs = np.zeros((2, 2))
-            live = mask[:, 1:]
-            np.add.at(true_pairs, (gold[:, :-1][live], gold[:, 1:][live]), 1)
-            true_start = np.bincount(gold[:, 0], minlength=2)[:2]
-            got_start = np.array([(1 - marginal[:, 0]).sum(), marginal[:, 0].sum()])
-            gradient = np.bincount(slots, (tags - expected)[token], SLOTS) - DECAY * model.weights * len(batch)
-            for value, change, square in ((model.weights, gradient, seen), (model.transition, true_pairs - pairs, seen_move), (model.start, true_start - got_start, seen_start)):
+            gradient, move, first = -DECAY * model.weights * len(batch), np.zeros((2, 2)), np.zeros(2)
+            for sizes, slots, tags, ends in _pieces(batch):
+                token = np.repeat(np.arange(len(sizes)), sizes)
+                scores = np.bincount(token, model.weights[slots], len(sizes))
+                matrix, mask, at = _segments(scores, np.append(0, ends[:-1]), ends)
+                _, marginal, pairs = forward_backward(matrix, mask, model.transition, model.start)
+                expected = np.zeros(len(sizes))
+                expected[at[mask]] = marginal[mask]
+                gold = np.where(mask, tags[at], 0)
+                true_pairs = np.zeros((2, 2))
+                live = mask[:, 1:]
+                np.add.at(true_pairs, (gold[:, :-1][live], gold[:, 1:][live]), 1)
+                gradient += np.bincount(slots, (tags - expected)[token], SLOTS)
+                move += true_pairs - pairs
+                first += np.bincount(gold[:, 0], minlength=2)[:2] - np.array([(1 - marginal[:, 0]).sum(), marginal[:, 0].sum()])
+            for value, change, square in ((model.weights, gradient, seen), (model.transition, move, seen_move), (model.start, first, seen_start)):
                 square += change**2
                 value += RATE * change / np.sqrt(square)
     _fit_documents(model, docs, odds)
@@ -244,16 +262,9 @@ def _train(rows: list, markers_found: bool, odds: float = 1.0) -> ToxicModel:
 
 def _fit_documents(model: ToxicModel, docs: list, odds: float) -> None:
     sums = []
-    for i in range(0, len(docs), 500):
-        part = docs[i : i + 500]
-        sizes, slots = (np.concatenate([d[k] for d in part]) for k in range(2))
-        ends = np.cumsum([len(d[2]) for d in part])
+    for sizes, slots, _, ends in _pieces(docs):
         scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), model.weights[slots], len(sizes))
-        matrix, mask, at = _segments(scores, np.append(0, ends[:-1]), ends)
-        _, marginal, _ = forward_backward(matrix, mask, model.transition, model.start)
-        flat = np.zeros(len(sizes))
-        flat[at[mask]] = marginal[mask]
-        sums.append(_summary(flat, ends))
+        sums.append(_summary(_token_marginals(model, scores, ends), ends))
     x, y = np.concatenate(sums), np.array([d[3] for d in docs], float)
     w = np.zeros(3)
     for _ in range(30):

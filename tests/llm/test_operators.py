@@ -291,6 +291,17 @@ def test_toxicity(spark):
     assert {r.score < 0.5 for r in toxic_spans.score_toxic(df, blank).collect()} == {True}
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = random.Random(12)
+    clean = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(clean, k=3100) + (["zzbad", "yyworse"] if i % 2 else ["fine"]) + ["end"])) for i in range(80)]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxic_spans.fit_toxic(df, marks.filter("doc_id >= 20"))
+    for r in toxic_spans.score_toxic(df, model).collect():
+        assert (r.score >= 0.5) == (r.doc_id % 2 == 1)
+        assert [rows[r.doc_id][1][s.start : s.end] for s in r.spans] == (["zzbad yyworse"] if r.doc_id % 2 else [])
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     scores, move, start = rng.normal(size=(1, 5)), rng.normal(size=(2, 2)), rng.normal(size=2)
