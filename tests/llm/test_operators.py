@@ -394,3 +394,21 @@ def test_runs_may_span_batches():
         batches = [table.slice(i, step) for i in range(0, 500, step)]
         got = {p for b in near_copies._runs(0.8)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))}
         assert got == want
+
+
+def test_near_copies_of_short_texts_and_templates(spark):
+    """Short texts with a word more, texts with words appended, and documents that share most of their text with many others."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, template = [], [word() for _ in range(200)]
+    for i in range(60):
+        short = [word() for _ in range(20)]
+        rows += [(2 * i, " ".join(short)), (2 * i + 1, " ".join([*short, word()]))]
+    for i in range(20):
+        longer = [word() for _ in range(60)]
+        rows += [(200 + 2 * i, " ".join(longer)), (201 + 2 * i, " ".join(longer + [word() for _ in range(rng.randint(5, 16))]))]
+    for i in range(25):
+        own = [word() for _ in range(55)]
+        copy = [*own[:50], *(word() for _ in range(5))]
+        rows += [(1000 + i, " ".join([*template[:100], *own, *template[100:]])), (3000 - i, " ".join([*template[:100], *copy, *template[100:]]))]
+    check_near_copies(spark, rows)
