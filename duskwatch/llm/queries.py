@@ -76,7 +76,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    found = remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.withColumn("repeats", F.col("n_removed") > 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

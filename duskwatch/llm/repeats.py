@@ -1,16 +1,27 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
 A rolling hash triggers on the smallest hashed gram among the first ``WINDOW`` gram positions of a string; the
-trigger depends on the string alone. Triggers cut every text into phrases: the starts between two of them
-share one trigger, and equal strings have equal triggers at equal distances. So the suffixes of the corpus,
-cut at ``length`` bytes, are ordered as (phrase, what follows) pairs, and equal ones stand together:
-
-1. each phrase is named by what all its strings have in common (core) and by all that they cover (extent);
-2. a core that occurs once has no repeated string, a core with one extent that occurs again has only such;
-3. of other cores, one phrase for each extent is opened and the strings of a core are compared.
-
-Names are 128-bit polynomial hashes, cores 64 bits, where a clash only opens more phrases. Phrases stand for
-all their copies, so groups of copies of any size are counted before the shuffle and opened once.
+trigger depends on the string alone. Triggers cut every text into phrases: a phrase holds the starts that share
+one trigger, so the bytes from its first start to the trigger are a word of the dictionary, and what follows from the
+trigger is a suffix of the parse, cut where the last string of the phrase ends. A string is a suffix of the word
+and the beginning of the parse suffix, and equal strings have equal triggers at equal places.
+
+1. The parse: one row per phrase, named by rolling hashes. Parse suffixes that share their first
+   ``length - window + 1`` bytes (core) with no other one can hold no repeated string and go. A core whose phrases
+   are all equal holds only repeated ones.
+2. Of the other phrases each different one is opened once, with the number of its copies, and put in the order of
+   its parse suffix: consecutive ranges of the suffix array of the parse, one core being one run of rows.
+3. Within a run, the words are sorted from their ends, with the lengths of common ends: each suffix of a dictionary
+   word is an interval of that order, so this is the suffix array of the dictionary by groups of equal suffixes.
+   Parse suffixes are sorted, with the lengths of common beginnings.
+4. Both combine into corpus order: for each length ``a`` of a word's suffix, starts are ordered by (equal suffixes of
+   ``a`` bytes, rank of the parse suffix). A string is repeated if a neighbour in this order agrees in
+   ``length - a`` bytes of the parse suffix, or if its phrase has copies.
+
+Phrases stand for all their copies, so groups of copies of any size are counted before the shuffle and opened once.
+A core with more than ``CORE_CLASSES`` different phrases is too large for a task; its strings are named by
+128-bit hashes and counted with partial sums. Names are 128-bit polynomial hashes, cores 64 bits, where a clash only
+opens more phrases.
 """
 
 from __future__ import annotations
@@ -23,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, release, slots, stored
+from .shared import drop, release, slices, small_batches, stored
 
 LENGTH = 400
 GRAM = 32
 WINDOW = 128
-#: Classes of one core that a task judges together.
-CORE_CLASSES = 50_000
+#: Different phrases of one core that a task puts in order together, and phrases that it works on at once.
+CORE_CLASSES, PHRASES_AT_ONCE = 2_000, 8_000
 _U = np.uint64
 
 
@@ -79,7 +90,7 @@ def _sliding_least(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def phrases(data: bytes, length: int, gram: int, window: int) -> dict[str, np.ndarray]:
-    """low and high start, distance from low to the trigger, core and extent names of every phrase of a text."""
+    """First start, shape (trigger - low, high - low in 16 bits each), core and extent names of every phrase of a text."""
     letters = np.frombuffer(data, dtype=np.uint8)
     starts = len(letters) - length + 1
     if starts < 1:
@@ -93,20 +104,19 @@ def phrases(data: bytes, length: int, gram: int, window: int) -> dict[str, np.nd
     core_end = trigger + length - window + 1
     return {
         "low": low,
-        "high": high,
-        "back": trigger - low,
+        "shape": (trigger - low) * 65536 + high - low,
         "core": _FIRST.names(first, trigger, core_end),
         "name1": _FIRST.names(first, low, high + length),
         "name2": _SECOND.names(second, low, high + length) ^ _mix(((trigger - low) * 65536 + high - low).astype(np.uint64)),
     }
 
 
-PHRASES = "doc_id {id}, mark long, low int, high int, core long, name1 long, name2 long"
+PHRASES = "doc_id {id}, mark long, low int, shape int, core long, name1 long, name2 long"
 
 
 def _parse(length: int, gram: int, window: int, id_type: pa.DataType):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             parts, n = [], 0
             ids, marks, data = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
             for i in range(len(batch)):
@@ -124,68 +134,148 @@ def _parse(length: int, gram: int, window: int, id_type: pa.DataType):
         of = np.repeat([i for i, _ in parts], [len(p["low"]) for _, p in parts])
         column = lambda k, t: pa.array(np.concatenate([p[k] for _, p in parts]).astype(np.uint64).view(np.int64).astype(t))
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(of)).cast(id_type), pa.array(marks[of]), column("low", np.int32), column("high", np.int32)]
+            [ids.take(pa.array(of)).cast(id_type), pa.array(marks[of]), column("low", np.int32), column("shape", np.int32)]
             + [column(k, np.int64) for k in ("core", "name1", "name2")],
-            names=["doc_id", "mark", "low", "high", "core", "name1", "name2"],
+            names=["doc_id", "mark", "low", "shape", "core", "name1", "name2"],
         )
 
     return parse
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the phrases asked for: (core, class, copies of the phrase, bytes that its strings cover)."""
-    for batch in batches:
-        rows = [
-            (w["core"], w["class"], w["n"], data[w["low"] : w["end"]])
-            for data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for w in asked
-        ]
-        for at in range(0, len(rows), 20_000):
-            columns = zip(*rows[at : at + 20_000])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["core", "class", "n", "data"])
+OPENED = "core long, class long, n long, shape int, data binary"
 
 
-def _strings(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
-    """class, offset, copies and both names of every string of (core, class, copies, data) rows."""
-    parts = []
-    for _, number, n, data in rows:
-        letters = np.frombuffer(data, dtype=np.uint8)
-        at = np.arange(len(letters) - length + 1)
-        names = [r.names(r.prefix(letters), at, at + length) for r in (_FIRST, _SECOND)]
-        parts.append((np.full(len(at), number), at.astype(np.int32), np.full(len(at), n), *names))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+def _open(length: int):
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of the phrases asked for: (core, class, copies of the phrase, shape, bytes that its strings cover)."""
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            rows = [
+                (w["core"], w["class"], w["n"], w["shape"], data[w["low"] : w["low"] + (w["shape"] & 65535) + length])
+                for data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for w in asked
+            ]
+            for at in range(0, len(rows), 20_000):
+                columns = zip(*rows[at : at + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["core", "class", "n", "shape", "data"])
+
+    return opened
+
+
+def _sorted(run: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by (run, bytes) and how many bytes each has in common with the row before; -1 in another run."""
+    key = np.concatenate([run.astype(">u4").view(np.uint8).reshape(-1, 4), strings], axis=1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
+    inside = strings[order]
+    apart = inside[1:] != inside[:-1]
+    common = np.where(apart.any(axis=1), apart.argmax(axis=1), strings.shape[1])
+    common[run[order][1:] != run[order][:-1]] = -1
+    return order, np.append(-1, common)
+
+
+def _least_tables(values: np.ndarray) -> list[np.ndarray]:
+    """Minima of 1, 2, 4, ... neighbours, for minima of any range by two look-ups."""
+    tables, span = [values], 1
+    while 2 * span <= len(values):
+        tables.append(np.minimum(tables[-1][:-span], tables[-1][span:]))
+        span *= 2
+    return tables
 
 
-def _within_core(length: int):
-    """Repeated offsets of each class from rows sorted by core; one core is one bounded run, which may span batches."""
+def corpus_order(run: np.ndarray, copies: np.ndarray, shape: np.ndarray, data: list[bytes], length: int) -> np.ndarray:
+    """Of phrases, grouped by ``run``: whether the string that starts ``a`` bytes before the trigger is repeated, by (phrase, a).
 
-    def judged(rows: list[tuple]) -> pa.RecordBatch:
-        number, off, n, name1, name2 = _strings(rows, length)
-        order = np.lexsort((name2, name1))
-        fresh = np.append(True, (name1[order][1:] != name1[order][:-1]) | (name2[order][1:] != name2[order][:-1]))
-        group = np.cumsum(fresh) - 1
-        again = np.empty(len(number), bool)
-        again[order] = np.bincount(group, n[order])[group] > 1
-        where = np.flatnonzero(again)
-        cuts = np.flatnonzero(np.append(True, number[where][1:] != number[where][:-1])) if len(where) else where
-        offsets = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(where)), pa.int32()), pa.array(off[where]))
-        return pa.RecordBatch.from_arrays([pa.array(number[where][cuts]), offsets], names=["class", "offs"])
+    Strings are repeated if they stand in two phrases of a run, or in one that has copies.
+    """
+    back, low_a = (shape >> 16).astype(np.int64), (shape >> 16).astype(np.int64) - (shape & 65535)
+    width = int(back.max(initial=0)) + 1
+    ends = np.cumsum([len(d) for d in data])
+    starts = ends - [len(d) for d in data]
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    at = starts[:, None] + back[:, None] - 1 - np.arange(width)
+    words = np.where(at >= starts[:, None], flat[np.maximum(at, 0)], 0).astype(np.uint8)
+    at = starts[:, None] + back[:, None] + np.arange(length)
+    follow = np.where(at < ends[:, None], flat[np.minimum(at, len(flat) - 1)], 0).astype(np.uint8)
+    by_word, same_end = _sorted(run, words)
+    by_follow, same_begin = _sorted(run, follow)
+    rank = np.empty(len(run), np.int64)
+    rank[by_follow] = np.arange(len(run))
+    least = _least_tables(same_begin)
+    valid_from, valid_to, word_rank = low_a[by_word], back[by_word], rank[by_word]
+    out = np.zeros((len(run), width), bool)
+    for a in range(width):
+        own = np.flatnonzero((valid_from <= a) & (a <= valid_to))
+        suffix = np.cumsum(same_end < a)[own]
+        order = np.argsort(suffix * len(run) + word_rank[own])
+        suffix, place, phrase = suffix[order], word_rank[own][order], by_word[own][order]
+        if len(order) > 1:
+            step = np.frexp(place[1:] - place[:-1])[1] - 1
+            near = suffix[1:] == suffix[:-1]
+            first, last, step = place[:-1][near] + 1, place[1:][near], step[near]
+            common = np.empty(len(first), np.int64)
+            for k in np.unique(step):
+                of = step == k
+                common[of] = np.minimum(least[k][first[of]], least[k][last[of] - (1 << int(k)) + 1])
+            again = np.flatnonzero(near)[common >= length - a]
+            out[phrase[again], a] = out[phrase[again + 1], a] = True
+        several = phrase[copies[phrase] > 1]
+        out[several, a] = True
+    return out
+
+
+HITS = "class long, runs array<struct<a: int, b: int>>"
+
+
+def _repeated_runs(rows: list[tuple], run: list[int], length: int) -> pa.RecordBatch:
+    _, number, copies, shape, data = zip(*rows)
+    number, shape = np.array(number), np.array(shape)
+    found = corpus_order(np.array(run), np.array(copies), shape, list(data), length)
+    back = shape >> 16
+    edge = np.zeros((len(number), 1), np.int8)
+    change = np.diff(np.concatenate([edge, found[:, ::-1].astype(np.int8), edge], axis=1), axis=1)
+    at, a = np.nonzero(change == 1)
+    _, b = np.nonzero(change == -1)
+    shift = back[at] - found.shape[1] + 1
+    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    runs = pa.StructArray.from_arrays([pa.array((x + shift).astype(np.int32)) for x in (a, b - 1)], names=["a", "b"])
+    offsets = pa.array(np.append(cuts, len(at)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(number[at[cuts]]), pa.ListArray.from_arrays(offsets, runs)], names=["class", "runs"])
+
+
+def _within_cores(length: int, core_bytes: int):
+    """Runs of repeated starts of each class, from rows in the order of their parse suffixes; a core may span batches."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run: list[tuple] = []
+        rows: list[tuple] = []
+        run: list[int] = []
+        before = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if run and row[0] != run[0][0]:
-                    yield judged(run)
-                    run = []
-                run.append(row)
-        if run:
-            yield judged(run)
+                back = row[3] >> 16
+                core = row[4][back : back + core_bytes]
+                if core != before and len(rows) >= PHRASES_AT_ONCE:
+                    yield _repeated_runs(rows, run, length)
+                    rows, run = [], []
+                run.append((run[-1] + (core != before)) if run else 0)
+                rows.append(row)
+                before = core
+        if rows:
+            yield _repeated_runs(rows, run, length)
 
     return each
 
 
+def _strings(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """class, offset, copies and both names of every string of (core, class, copies, shape, data) rows."""
+    parts = []
+    for _, number, n, _, data in rows:
+        letters = np.frombuffer(data, dtype=np.uint8)
+        at = np.arange(len(letters) - length + 1)
+        names = [r.names(r.prefix(letters), at, at + length) for r in (_FIRST, _SECOND)]
+        parts.append((np.full(len(at), number), at.astype(np.int32), np.full(len(at), n), *names))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _one_by_one(length: int):
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +306,7 @@ def cut(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
 
 def _cut_all(length: int, schema: pa.Schema):
     def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for data, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = data.as_py()
@@ -247,6 +337,7 @@ def remove_repeats(
     if gram + window > length:
         raise ValueError("gram + window may not exceed length")
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("mark"), F.encode(text, "UTF-8").alias("data"))
     kind = base.schema["doc_id"].dataType
@@ -254,38 +345,28 @@ def remove_repeats(
     parsed = base.filter(F.octet_length("data") >= length).mapInArrow(_parse(length, gram, window, arrow_kind), PHRASES.format(id=kind.simpleString()))
     parsed = stored(parsed, "phrases")
     cores = parsed.groupBy("core").agg(F.count("*").alias("n"), F.min("name1").alias("least"), F.max("name1").alias("most"))
-    again = cores.filter("n > 1").select("core", (F.col("least") == F.col("most")).alias("alike"))
+    # stored, so that the join below is free to split a core that very many phrases share
+    again = stored(cores.filter("n > 1").select("core", (F.col("least") == F.col("most")).alias("alike")), "cores")
     shared = stored(parsed.join(again, "core"), "shared_phrases")
     drop(parsed)
     keys = ["core", "name1", "name2"]
     classes = shared.filter("not alike").groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "low", "high")).alias("one")
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "low", "shape")).alias("one")
     )
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    wanted = F.struct("core", "class", "n", "one.low", (F.col("one.high") + length).alias("end"))
+    wanted = F.struct("core", "class", "n", "one.low", "one.shape")
     asked = classes.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark")).agg(F.collect_list(wanted).alias("asked"))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.mark") == F.col("b.mark")]
     sources = base.alias("a").join(asked.alias("b"), same).select("data", "asked")
-    opened = stored(sources.mapInArrow(_open, "core long, class long, n long, data binary"), "opened")
+    opened = stored(sources.mapInArrow(_open(length), OPENED), "opened")
     release(spark)
-    hits = stored(_repeated(opened, classes, length), "hits")
+    hits = stored(_repeated(opened, classes, length, length - window + 1), "hits")
     drop(opened)
-    found = classes.join(hits, "class").select(*keys, "offs")
-    whole = shared.filter("alike").select("doc_id", "mark", "low", "high")
-    runs = F.expr(
-        "transform(filter(sequence(0, size(offs) - 1), i -> i = 0 or offs[i] <> offs[i - 1] + 1), i -> "
-        "struct(offs[i] as a, i as k))"
-    )
-    part = shared.filter("not alike").join(found, keys).select("doc_id", "mark", "low", F.col("offs"), F.explode(runs).alias("r"), runs.alias("all"))
-    part = part.select(
-        "doc_id",
-        "mark",
-        (F.col("low") + F.col("r.a")).alias("low"),
-        (
-            F.col("low")
-            + F.expr("offs[coalesce(get(filter(all, x -> x.k > r.k), 0).k, size(offs)) - 1]")
-        ).alias("high"),
-    )
+    found = stored(classes.join(hits, "class").select(*keys, "runs"), "found")
+    high = F.col("low") + F.col("shape").bitwiseAND(65535)
+    whole = shared.filter("alike").select("doc_id", "mark", "low", high.alias("high"))
+    part = shared.filter("not alike").join(found, keys).select("doc_id", "mark", "low", F.explode("runs").alias("r"))
+    part = part.select("doc_id", "mark", (F.col("low") + F.col("r.a")).alias("low"), (F.col("low") + F.col("r.b")).alias("high"))
     spans = whole.unionByName(part).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     spans = stored(spans, "spans")
     drop(shared)
@@ -301,27 +382,25 @@ def remove_repeats(
     return out if with_text else out.drop("kept", "spans")
 
 
-def _repeated(opened: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """(class, offs): the offsets at which a repeated string starts.
-
-    Equal strings have equal cores, so the classes of a core are judged together in one run of rows. A core with
-    more than ``CORE_CLASSES`` classes has its strings named one by one and counted before the shuffle instead.
-    """
+def _repeated(opened: DataFrame, classes: DataFrame, length: int, core_bytes: int) -> DataFrame:
+    """(class, runs): the runs of offsets, from the first start of the phrase, at which a repeated string starts."""
     sizes = classes.groupBy("core").agg(F.count("*").alias("m"))
-    large = sizes.filter(F.col("m") > CORE_CLASSES).select("core")
+    large = stored(sizes.filter(F.col("m") > CORE_CLASSES).select("core"), "large_cores")
     opened = opened.dropDuplicates(["class"]) if _repeats_rows(classes, opened) else opened
     few, many = opened, None
     if not large.isEmpty():
         few, many = opened.join(large, "core", "left_anti"), opened.join(large, "core", "left_semi")
-    runs = few.repartition(slots(opened.sparkSession), "core").sortWithinPartitions("core", "class")
-    hits = runs.mapInArrow(_within_core(length), "class long, offs array<int>")
+    core = F.substring("data", F.shiftright("shape", 16) + 1, F.lit(core_bytes))
+    runs = few.repartitionByRange(core).sortWithinPartitions(core)
+    hits = runs.mapInArrow(_within_cores(length, core_bytes), HITS)
     if many is None:
         return hits
     strings = many.mapInArrow(_one_by_one(length), "class long, off int, n long, name1 long, name2 long")
     strings = stored(strings, "strings")
-    repeated = strings.groupBy("name1", "name2").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
+    repeated = stored(strings.groupBy("name1", "name2").agg(F.sum("n").alias("times")).filter("times > 1").drop("times"), "repeated_strings")
     single = strings.join(repeated, ["name1", "name2"]).select("class", "off")
-    return hits.unionByName(single.groupBy("class").agg(F.array_sort(F.collect_list("off")).alias("offs")))
+    offs = single.groupBy("class").agg(F.collect_list(F.struct(F.col("off").alias("a"), F.col("off").alias("b"))).alias("runs"))
+    return hits.unionByName(offs)
 
 
 def _repeats_rows(classes: DataFrame, opened: DataFrame) -> bool:

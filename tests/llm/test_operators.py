@@ -412,3 +412,28 @@ def test_near_copies_of_short_texts_and_templates(spark):
         copy = [*own[:50], *(word() for _ in range(5))]
         rows += [(1000 + i, " ".join([*template[:100], *own, *template[100:]])), (3000 - i, " ".join([*template[:100], *copy, *template[100:]]))]
     check_near_copies(spark, rows)
+
+
+def test_corpus_order_marks_what_equal_strings_share():
+    rng, length, window = random.Random(3), 30, 8
+    pool = ["".join(rng.choice("ab\0") for _ in range(length + window)).encode() for _ in range(6)]
+    run, copies, shape, data, want = [], [], [], [], []
+    for number in range(300):
+        back = rng.randint(0, window - 1)
+        span = rng.randint(0, back)
+        whole = rng.choice(pool)[: back + length]
+        whole = bytes(rng.choice(b"ab") if i < back and rng.random() < 0.2 else c for i, c in enumerate(whole))
+        run.append(number // 60), copies.append(1), shape.append(back << 16 | span), data.append(whole[: span + length])
+    seen = defaultdict(set)
+    for i, d in enumerate(data):
+        if (run[i], shape[i], d) in {(run[j], shape[j], data[j]) for j in range(i)}:
+            run[i] = 1000 + i  # classes differ within a run
+        for a in range((shape[i] >> 16) - (shape[i] & 65535), (shape[i] >> 16) + 1):
+            seen[run[i], a, d[(shape[i] >> 16) - a :][:length]].add(i)
+    got = repeats.corpus_order(np.array(run), np.array(copies), np.array(shape), data, length)
+    want = np.zeros_like(got)
+    for (_, a, _), holders in seen.items():
+        if len(holders) > 1:
+            for i in holders:
+                want[i, a] = True
+    assert want.any() and not want.all() and (got == want).all()
