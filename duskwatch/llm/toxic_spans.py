@@ -3,12 +3,15 @@
 Labels are given by document only, so token labels are derived first: features (a word, its prefixes)
 that stand in toxic training documents and hardly in others are markers, and a token with a marker in
 a toxic document is labelled toxic. The field has two states and is trained by maximum likelihood on these
-tokens. Scoring runs forward-backward over every token of every text, in segments of ``SEGMENT`` tokens;
+tokens. Scoring runs forward-backward over every token of every text, each text being one chain of any length;
 marginals give spans, and a logistic model over their largest and their sum gives the document score.
 
+Long chains are worked on in segments of ``SEGMENT`` tokens side by side: the transfer matrix of each segment is
+multiplied out first, which gives the forward and backward message at every cut. The result is that of one pass.
+
 Fitting reads at most ``FIT_DOCS`` labelled documents, the ones with the smallest hash of their id, and the
-field and the document model are trained on at most ``TRAIN_DOCS`` of them. Whole texts are read in fitting as in
-scoring, which covers all rows.
+field and the document model are trained on at most ``TRAIN_DOCS`` of them, which are gathered on the driver as integers,
+about 30 bytes a word. Whole texts are read in fitting as in scoring, which covers all rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ TRAIN_DOCS = 3_000
 #: Tokens of training documents that are worked on at once; a longer document is one such piece by itself.
 PIECE_TOKENS = 200_000
 SLOTS = 1 << 18
-SEGMENT = 256
+#: Tokens of a segment, and segments that are worked on together.
+SEGMENT, SEGMENTS_AT_ONCE = 256, 4096
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_WORDS = 150_000
 #: A marker stands in so many toxic documents at least, and in this share of them, and so much likelier than in clean ones.
@@ -62,45 +66,85 @@ class ToxicModel:
         return float(self.weights[_slots(word)].sum())
 
 
-def _segments(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores as a padded matrix (segment, position), its mask, and flat positions."""
-    first = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(starts, ends)]) if len(starts) else np.empty(0, np.int64)
-    last = np.concatenate([np.minimum(np.arange(a, b, SEGMENT) + SEGMENT, b) for a, b in zip(starts, ends)]) if len(starts) else first
-    width = int((last - first).max(initial=1))
-    at = first[:, None] + np.arange(width)
-    mask = at < last[:, None]
-    at = np.where(mask, at, 0)
-    return np.where(mask, scores[at] if len(scores) else 0.0, 0.0), mask, at
-
-
-def forward_backward(scores: np.ndarray, mask: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each segment the log likelihood's normaliser, token marginals of state 1, and pair marginals summed (2, 2)."""
-    n, width = scores.shape
-    e = np.exp(np.clip(scores, -30, 30))
-    move = np.exp(transition)
-    alpha, scale = np.zeros((width, n, 2)), np.ones((width, n))
-    now = np.stack([np.full(n, np.exp(start[0])), np.exp(start[1]) * e[:, 0]], axis=1)
-    for t in range(width):
-        if t:
-            nxt = now @ move
-            nxt[:, 1] *= e[:, t]
-            now = np.where(mask[:, t, None], nxt, now)
-        total = now.sum(1)
-        scale[t] = np.where(mask[:, t], total, 1.0)
-        now = now / scale[t][:, None]
-        alpha[t] = now
-    beta, pairs = np.ones((n, 2)), np.zeros((2, 2))
-    marginal = np.zeros((n, width))
-    for t in range(width - 1, -1, -1):
-        both = alpha[t] * beta
-        marginal[:, t] = both[:, 1] / both.sum(1)
-        if t:
-            into = beta / scale[t][:, None]
-            into[:, 1] *= e[:, t]
-            live = mask[:, t]
-            pairs += (alpha[t - 1][live].T @ into[live]) * move
-            beta = np.where(live[:, None], into @ move.T, beta)
-    return np.log(scale).sum(0), np.where(mask, marginal, 0.0), pairs
+def _segments(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, end and number within its text of the segments of texts that end at ``ends``."""
+    starts = np.append(0, ends[:-1]).astype(np.int64)
+    counts = -(-(ends - starts) // SEGMENT)
+    text = np.repeat(np.arange(len(ends)), counts)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = starts[text] + within * SEGMENT
+    return first, np.minimum(first + SEGMENT, ends[text]), within
+
+
+def _columns(scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors exp(score) by (position, segment), longest segments first, and how many segments reach each position."""
+    width = int((last - first).max())
+    at = np.minimum(first + np.arange(width)[:, None], last - 1)
+    return np.exp(np.clip(scores[at], -30, 30)), np.count_nonzero(first + np.arange(width)[:, None] < last, axis=1)
+
+
+def _transfer(e: np.ndarray, live: np.ndarray, begins: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From either state before a segment (at its first token if it begins a text) to states 0 and 1 of its last token."""
+    zero = np.where(begins, np.array([[1.0], [0.0]]), move[:, :1])
+    one = np.where(begins, np.array([[0.0], [1.0]]), move[:, 1:] * e[0])
+    for t in range(1, len(e)):
+        k = live[t]
+        x, y = zero[:, :k], one[:, :k]
+        to_zero, to_one = x * move[0, 0] + y * move[1, 0], (x * move[0, 1] + y * move[1, 1]) * e[t, :k]
+        total = to_zero.sum(0) + to_one.sum(0)
+        zero[:, :k], one[:, :k] = to_zero / total, to_one / total
+    return zero, one
+
+
+def chain_marginals(scores: np.ndarray, ends: np.ndarray, transition: np.ndarray, start: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 of all tokens of texts that end at ``ends``, and the marginals of neighbours summed (2, 2)."""
+    out, pairs = np.zeros(len(scores)), np.zeros((2, 2))
+    first, last, within = _segments(ends)
+    move, begin = np.exp(transition), float(np.exp(start[1] - start[0]))
+    begins, goes_on = within == 0, np.append(within[1:] > 0, False)
+    into, beyond = np.ones(len(first)), np.ones(len(first))
+    order = np.argsort(first - last, kind="stable")
+    linked = order[(~begins | goes_on)[order]]
+    if len(linked):
+        zero, one = np.zeros((2, len(first))), np.zeros((2, len(first)))
+        for i in range(0, len(linked), SEGMENTS_AT_ONCE):
+            of = linked[i : i + SEGMENTS_AT_ONCE]
+            zero[:, of], one[:, of] = _transfer(*_columns(scores, first[of], last[of]), begins[of], move)
+        weight = begin * np.exp(np.clip(scores[first], -30, 30))
+        by_number = np.argsort(within, kind="stable")
+        levels = np.split(by_number, np.cumsum(np.bincount(within))[:-1])
+        for of, after in zip(levels, levels[1:]):
+            c = np.where(begins[after - 1], weight[after - 1], into[after - 1])
+            into[after] = (one[0, after - 1] + c * one[1, after - 1]) / (zero[0, after - 1] + c * zero[1, after - 1])
+        for of in levels[:0:-1]:
+            beyond[of - 1] = (zero[1, of] + one[1, of] * beyond[of]) / (zero[0, of] + one[0, of] * beyond[of])
+    for i in range(0, len(order), SEGMENTS_AT_ONCE):
+        of = order[i : i + SEGMENTS_AT_ONCE]
+        e, live = _columns(scores, first[of], last[of])
+        forward, backward = np.zeros_like(e), np.ones_like(e)
+        before = into[of]
+        forward[0] = np.where(begins[of], begin * e[0], e[0] * (move[0, 1] + move[1, 1] * before) / (move[0, 0] + move[1, 0] * before))
+        for t in range(1, len(e)):
+            r = forward[t - 1, : live[t]]
+            forward[t, : live[t]] = e[t, : live[t]] * (move[0, 1] + move[1, 1] * r) / (move[0, 0] + move[1, 0] * r)
+        b = beyond[of]
+        for t in range(len(e) - 1, -1, -1):
+            k = live[t]
+            backward[t, :k] = b[:k]
+            if t:
+                x = e[t, :k] * b[:k]
+                b[:k] = (move[1, 0] + move[1, 1] * x) / (move[0, 0] + move[0, 1] * x)
+        held = np.arange(len(of)) < live[:, None]
+        odds = forward * backward
+        at = first[of] + np.arange(len(e))[:, None]
+        out[at[held]] = (odds / (1 + odds))[held]
+        if with_pairs:
+            r = np.concatenate([before[None], forward[:-1]])
+            held[0] &= ~begins[of]
+            r, x = r[held], (e * backward)[held]
+            total = move[0, 0] + move[0, 1] * x + r * (move[1, 0] + move[1, 1] * x)
+            pairs += np.array([[(move[0, 0] / total).sum(), (move[0, 1] * x / total).sum()], [(move[1, 0] * r / total).sum(), (move[1, 1] * r * x / total).sum()]])
+    return out, pairs
 
 
 def _batch_marginals(model: ToxicModel, texts: list[str | None], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,18 +158,7 @@ def _batch_marginals(model: ToxicModel, texts: list[str | None], cache: dict[str
     if len(cache) > CACHE_WORDS:
         for x in fresh:
             del cache[x]
-    return _token_marginals(model, scores, ends), ends
-
-
-def _token_marginals(model: ToxicModel, scores: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Marginals of all tokens of texts from their emission scores, in scoring and fitting alike."""
-    out = np.zeros(len(scores))
-    matrix, mask, at = _segments(scores, np.append(0, ends[:-1]).astype(np.int64), ends.astype(np.int64))
-    for i in range(0, len(matrix), 4096):
-        part = slice(i, i + 4096)
-        _, marginal, _ = forward_backward(matrix[part], mask[part], model.transition, model.start)
-        out[at[part][mask[part]]] = marginal[mask[part]]
-    return out
+    return chain_marginals(scores, ends, model.transition, model.start)[0], ends
 
 
 def _summary(marginals: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -237,34 +270,36 @@ def _train(rows: list, markers_found: bool, odds: float = 1.0) -> ToxicModel:
     for _ in range(EPOCHS):
         mixed = order.permutation(len(docs))
         for i in range(0, len(docs), 150):
-            batch = [docs[j] for j in mixed[i : i + 150]]
-            gradient, move, first = -DECAY * model.weights * len(batch), np.zeros((2, 2)), np.zeros(2)
-            for sizes, slots, tags, ends in _pieces(batch):
-                token = np.repeat(np.arange(len(sizes)), sizes)
-                scores = np.bincount(token, model.weights[slots], len(sizes))
-                matrix, mask, at = _segments(scores, np.append(0, ends[:-1]), ends)
-                _, marginal, pairs = forward_backward(matrix, mask, model.transition, model.start)
-                expected = np.zeros(len(sizes))
-                expected[at[mask]] = marginal[mask]
-                gold = np.where(mask, tags[at], 0)
-                true_pairs = np.zeros((2, 2))
-                live = mask[:, 1:]
-                np.add.at(true_pairs, (gold[:, :-1][live], gold[:, 1:][live]), 1)
-                gradient += np.bincount(slots, (tags - expected)[token], SLOTS)
-                move += true_pairs - pairs
-                first += np.bincount(gold[:, 0], minlength=2)[:2] - np.array([(1 - marginal[:, 0]).sum(), marginal[:, 0].sum()])
-            for value, change, square in ((model.weights, gradient, seen), (model.transition, move, seen_move), (model.start, first, seen_start)):
+            change = gradient(model, [docs[j] for j in mixed[i : i + 150]])
+            for value, change, square in zip((model.weights, model.transition, model.start), change, (seen, seen_move, seen_start)):
                 square += change**2
                 value += RATE * change / np.sqrt(square)
     _fit_documents(model, docs, odds)
     return model
 
 
+def gradient(model: ToxicModel, docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log likelihood of the tags, less the decay of the weights: by weights, transitions and start weights."""
+    slope, move, first = -DECAY * model.weights * len(docs), np.zeros((2, 2)), np.zeros(2)
+    for sizes, slots, tags, ends in _pieces(docs):
+        token = np.repeat(np.arange(len(sizes)), sizes)
+        scores = np.bincount(token, model.weights[slots], len(sizes))
+        expected, pairs = chain_marginals(scores, ends, model.transition, model.start, with_pairs=True)
+        slope += np.bincount(slots, (tags - expected)[token], SLOTS)
+        inner = np.ones(len(tags), bool)
+        starts = np.append(0, ends[:-1])
+        inner[starts] = False
+        at = np.flatnonzero(inner)
+        move += np.bincount(tags[at - 1] * 2 + tags[at], minlength=4).reshape(2, 2) - pairs
+        first += np.bincount(tags[starts], minlength=2) - np.array([(1 - expected[starts]).sum(), expected[starts].sum()])
+    return slope, move, first
+
+
 def _fit_documents(model: ToxicModel, docs: list, odds: float) -> None:
     sums = []
     for sizes, slots, _, ends in _pieces(docs):
         scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), model.weights[slots], len(sizes))
-        sums.append(_summary(_token_marginals(model, scores, ends), ends))
+        sums.append(_summary(chain_marginals(scores, ends, model.transition, model.start)[0], ends))
     x, y = np.concatenate(sums), np.array([d[3] for d in docs], float)
     w = np.zeros(3)
     for _ in range(30):
@@ -295,7 +330,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         counts = rows.select("text", "label").mapInArrow(_feature_counts, "feature string, toxic long, clean long")
         counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         odds = ((F.col("toxic") + 0.1) / (n[1] + 0.2)) / ((F.col("clean") + 0.1) / (n[0] + 0.2))
-        best = counts.filter(F.col("toxic") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n[1])).filter(odds >= MIN_ODDS).orderBy(F.desc("toxic"), "feature").limit(20_000)
+        best = counts.filter(F.col("toxic") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n[1])).filter(odds >= MIN_ODDS)
         markers = frozenset(r["feature"] for r in best.select("feature").collect())
         parts = [chosen.filter(F.col("label") == y).orderBy("key", "doc_id").limit(train_docs // 2).select("doc_id") for y in (0, 1)]
         train = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id", "left_semi").select("text", "label").mapInArrow(_train_rows(markers), "label int, sizes binary, slots binary, tags binary")

@@ -302,17 +302,69 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
         assert [rows[r.doc_id][1][s.start : s.end] for s in r.spans] == (["zzbad yyworse"] if r.doc_id % 2 else [])
 
 
-def test_forward_backward_equals_enumeration():
+def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
-    scores, move, start = rng.normal(size=(1, 5)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    scores, move, start = rng.normal(size=5), rng.normal(size=(2, 2)), rng.normal(size=2)
     total, ones = 0.0, np.zeros(5)
     for bits in range(32):
         y = [bits >> t & 1 for t in range(5)]
-        p = np.exp(start[y[0]] + sum(s for s, v in zip(scores[0], y) if v) + sum(move[a, b] for a, b in zip(y, y[1:])))
+        p = np.exp(start[y[0]] + sum(s for s, v in zip(scores, y) if v) + sum(move[a, b] for a, b in zip(y, y[1:])))
         total += p
         ones += p * np.array(y)
-    logz, marginal, _ = toxic_spans.forward_backward(scores, np.ones((1, 5), bool), move, start)
-    assert logz[0] == pytest.approx(np.log(total)) and marginal[0] == pytest.approx(ones / total)
+    marginal, _ = toxic_spans.chain_marginals(scores, np.array([0, 5]), move, start)
+    assert marginal == pytest.approx(ones / total)
+
+
+def plain_chain(scores, move, start):
+    """Log of the normaliser, marginals and summed pair marginals of one chain, in logarithms, token by token."""
+    e = np.stack([np.zeros(len(scores)), scores], axis=1)
+    alpha, beta = [start + e[0]], [np.zeros(2)]
+    for t in range(1, len(scores)):
+        alpha.append(np.logaddexp.reduce(alpha[-1][:, None] + move, axis=0) + e[t])
+    for t in range(len(scores) - 1, 0, -1):
+        beta.insert(0, np.logaddexp.reduce(move + e[t] + beta[0], axis=1))
+    z = np.logaddexp.reduce(alpha[-1])
+    pairs = sum((np.exp(alpha[t - 1][:, None] + move + e[t] + beta[t] - z) for t in range(1, len(scores))), np.zeros((2, 2)))
+    return z, np.exp(np.array(alpha) + np.array(beta) - z)[:, 1], pairs
+
+
+def test_long_chains_are_one_chain():
+    rng = np.random.default_rng(5)
+    sizes = [3000, 0, 1, 256, 257, 511, 512, 513, 40, 1100]
+    move, start, scores = rng.normal(size=(2, 2)) + np.eye(2) * 3, rng.normal(size=2), rng.normal(size=sum(sizes)) * 3
+    ends = np.cumsum(sizes)
+    marginal, pairs = toxic_spans.chain_marginals(scores, ends, move, start, with_pairs=True)
+    plain = [plain_chain(scores[b - n : b], move, start) for n, b in zip(sizes, ends) if n]
+    assert np.allclose(marginal, np.concatenate([m for _, m, _ in plain]), atol=1e-10)
+    assert np.allclose(pairs, sum(p for *_, p in plain), atol=1e-7)
+
+
+def test_gradient_equals_differences_of_the_likelihood():
+    rng = np.random.default_rng(9)
+    docs = []
+    for n in (600, 5, 1):
+        sizes = rng.integers(1, 3, n).astype(np.int32)
+        docs.append((sizes, rng.integers(0, 12, sizes.sum()).astype(np.int32), rng.integers(0, 2, n).astype(np.uint8), 1))
+    model = toxic_spans.ToxicModel(np.zeros(toxic_spans.SLOTS), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(3))
+    model.weights[:12] = rng.normal(size=12)
+
+    def likelihood():
+        total = 0.0
+        for sizes, slots, tags, _ in docs:
+            scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), model.weights[slots], len(sizes))
+            path = model.start[tags[0]] + (scores * tags).sum() + model.transition[tags[:-1], tags[1:]].sum()
+            total += path - plain_chain(scores, model.transition, model.start)[0]
+        return total - toxic_spans.DECAY * len(docs) * (model.weights**2).sum() / 2
+
+    found = toxic_spans.gradient(model, docs)
+    for value, slope, places in ((model.weights, found[0], [(i,) for i in range(12)]), (model.transition, found[1], [(0, 0), (0, 1), (1, 0), (1, 1)]), (model.start, found[2], [(0,), (1,)])):
+        for at in places:
+            value[at] += 1e-4
+            up = likelihood()
+            value[at] -= 2e-4
+            down = likelihood()
+            value[at] += 1e-4
+            assert slope[at] == pytest.approx((up - down) / 2e-4, abs=1e-4)
 
 
 def test_near_copies(spark):
