@@ -113,6 +113,7 @@ def _grouped(rows: DataFrame, identity: DataFrame) -> DataFrame:
     groups = named.groupBy("height", "name", "n_blocks").agg(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best")
     )
+    groups = stored(groups, "groups")  # so that the join may split a large group
     return named.join(groups, ["height", "name", "n_blocks"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

@@ -7,7 +7,8 @@ within two bits on one block at least (eight blocks with three differences make
 values, each listing the items within two bits, give all of them. Candidates within the radius are then
 compared by the exact weighted Jaccard similarity of their shingles, counts as weights.
 
-Items are broadcast in blocks of at most ``ITEMS_AT_ONCE``; each block is one pass over the documents.
+Items are broadcast in blocks of at most ``ITEMS_AT_ONCE`` items and ``ITEM_BYTES`` of text, a longer item being a
+block by itself; each block is one pass over the documents. The benchmark streams through the driver block by block.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .shared import slices, small_batches
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
-ITEMS_AT_ONCE = 2_000
-#: The longest text of an item in characters; a longer one is an error, as a block of items must stay small.
-ITEM_CHARS = 100_000
+ITEMS_AT_ONCE, ITEM_BYTES = 20_000, 4 << 20
+#: Windows whose fingerprints are looked up at once.
+WINDOWS_AT_ONCE = 4_096
 CACHE_WORDS = 100_000
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
@@ -103,13 +104,16 @@ class ItemIndex:
 
     def within(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) pairs within the radius, of the items given."""
-        for w, parts in enumerate(prints.view(np.uint8).reshape(-1, 8)):
-            hit = self.near[0][parts[0]][items]
+        tables = [near[:, items] for near in self.near]
+        for at in range(0, len(prints), WINDOWS_AT_ONCE):
+            part = prints[at : at + WINDOWS_AT_ONCE]
+            blocks = part.view(np.uint8).reshape(-1, 8)
+            hit = tables[0][blocks[:, 0]]
             for b in range(1, 8):
-                hit = hit | self.near[b][parts[b]][items]
-            for i in items[hit]:
-                if int(prints[w] ^ self.prints[i]).bit_count() <= self.radius:
-                    yield w, int(i)
+                hit |= tables[b][blocks[:, b]]
+            w, i = np.nonzero(hit)
+            close = np.bitwise_count(part[w] ^ self.prints[items[i]]) <= self.radius
+            yield from zip((w[close] + at).tolist(), items[i[close]].tolist())
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item, similarity, first word, end word, windows) of each item found, by its most similar window."""
@@ -207,18 +211,17 @@ def contamination(
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
     kinds = base.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, similarity double, first_word int, end_word int, windows int"
-    out, block = None, []
+    out, block, held = None, [], 0
 
     def passed(block):
-        if any(len(t or "") > ITEM_CHARS for _, t in block):
-            raise ValueError(f"an item has more than {ITEM_CHARS} characters")
         found = _find(spark.sparkContext.broadcast(block), words, similarity, radius, *map(to_arrow_type, kinds))
         return base.mapInArrow(found, schema)
 
     for row in items.toLocalIterator():
         block.append(tuple(row))
-        if len(block) == ITEMS_AT_ONCE:
-            out, block = passed(block) if out is None else out.unionByName(passed(block)), []
+        held += len(row["text"] or "")
+        if len(block) == ITEMS_AT_ONCE or held >= ITEM_BYTES:
+            out, block, held = passed(block) if out is None else out.unionByName(passed(block)), [], 0
     if block or out is None:
         out = passed(block) if out is None else out.unionByName(passed(block))
     return out

@@ -22,8 +22,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 ROWS_PER_RANGE = 4096
 SEED = 17
-#: The mix is a table of sources by weight: more of them than this is an error.
-MAX_SOURCES = 1_000_000
+#: Up to so many sources their targets are worked out on the driver, beyond it by aggregates of a table of sources.
+DRIVER_SOURCES = 100_000
 
 
 @F.pandas_udf(LongType())
@@ -48,6 +48,26 @@ def targets(sizes: list[float], weights: list[float], share: float, most: float)
     return out
 
 
+def _many_targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """The table of sources with their targets for any number of sources, as in targets(), from a few sums at a time."""
+    ordered = totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ordered = stored(ordered.select("source", "size", "n", F.monotonically_increasing_id().alias("at")), "sources")
+    part = F.shiftright("at", 33)
+    counts = sorted(tuple(r) for r in ordered.groupBy(part).count().collect())
+    before = [sum(n for _, n in counts[:i]) for i in range(len(counts))]
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for (p, _), b in zip(counts, before) for x in (p, b)]), part)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((start + F.col("at") - F.shiftleft(part, 33)) % len(weights) + 1).cast("int"))
+    table = stored(ordered.select("source", F.col("size").alias("source_size"), "n", weight.alias("weight"), (most * F.col("size")).alias("limit")), "weighted")
+    every = share * (table.agg(F.sum("source_size")).first()[0] or 0)
+    unit, before = 0.0, None
+    while unit != before:
+        full = F.col("limit") < unit * F.col("weight")
+        left, weighed = table.filter("source_size > 0").agg(every - F.coalesce(F.sum(F.when(full, F.col("limit"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        before, unit = unit, max(left, 0.0) / weighed if weighed else float("inf")
+    target = F.least("limit", unit * F.col("weight")) if unit != float("inf") else F.col("limit")
+    return table.select("source", "source_size", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"), F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_RANGE)).alias("ranges"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -59,7 +79,7 @@ def mix(
     seed: int = SEED,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, and the ``carry`` columns.
+    """One row per input row: doc_id, source, size, source_size, target, taken, and the ``carry`` columns as a struct ``carried``.
 
     ``taken`` counts the words that the mix takes of the row, repeats counted; by source it adds up to the
     target rounded down. Sources take the weights in code point order, null being a source of its own at the
@@ -73,19 +93,20 @@ def mix(
         F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).alias("key"),
-        *[F.col(f"`{c}`") for c in carry],
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
     )
     rows = stored(rows, "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    found = totals.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
-    wanted = targets([float(r["size"]) for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
-    table = spark.createDataFrame(
-        [(r["source"], r["size"], t, max(1, -(-r["n"] // ROWS_PER_RANGE))) for r, t in zip(found, wanted, strict=True)],
-        "source string, source_size long, target double, ranges long",
-    )
+    found = totals.limit(DRIVER_SOURCES + 1).collect()
+    if len(found) <= DRIVER_SOURCES:
+        found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
+        wanted = targets([float(r["size"]) for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
+        table = spark.createDataFrame(
+            [(r["source"], r["size"], t, max(1, -(-r["n"] // ROWS_PER_RANGE))) for r, t in zip(found, wanted, strict=True)],
+            "source string, source_size long, target double, ranges long",
+        )
+    else:
+        table = _many_targets(totals, weights, share, most)
     unit = (F.shiftrightunsigned("key", 33) / F.lit(float(1 << 31))).alias("unit")
     ranged = (
         rows.join(F.broadcast(table) if len(found) <= 10_000 else table, rows["source"].eqNullSafe(table["source"]))
@@ -106,5 +127,5 @@ def mix(
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), *carry
+        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), *(["carried"] if carry else [])
     )

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, release, slices, slots, small_batches, stored
-from .simhash import SEED, _then_none, simhash_components
+from .shared import drop, release, slices, small_batches, stored, whole_runs
+from .simhash import SEED, simhash_components
 
 WORDS, SIMILARITY = 5, 0.8
 #: A segment ends at one of 2 ** CUT_BITS shingles on average.
@@ -129,25 +129,7 @@ def _runs(similarity: float):
     names = ("element", "root", "doc_id", "n", "place")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for batch in _then_none(batches):
-            last = batch is None
-            if not last:
-                parts.append(tuple(batch.column(c).to_numpy() for c in names))
-                if not len(batch) or parts[0][0][0] == parts[-1][0][-1]:
-                    if not len(batch):
-                        parts.pop()
-                    continue
-            if not parts:
-                continue
-            rows = tuple(np.concatenate(x) for x in zip(*parts))
-            starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
-            ends = np.append(starts[1:], len(rows[0]))
-            parts = [] if last else [tuple(x[starts[-1] :] for x in rows)]
-            if not last:
-                starts, ends = starts[:-1], ends[:-1]
-            if not len(starts):
-                continue
+        for rows, starts, ends in whole_runs(batches, names, keys=1):
             end, found, held = ends[-1], [], 0
             several = np.minimum.reduceat(rows[1][:end], starts) < np.maximum.reduceat(rows[1][:end], starts)
             for s, e in zip(starts[several], ends[several]):
@@ -171,9 +153,9 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 
 def _similar(words: int, least: float):
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        other_text, other = None, Counter()
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             u, v = [], []
-            other_text, other = None, Counter()
             for a, b, mine, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text != other_text:
                     other_text, other = text, Counter(shingle_hashes(text, words).tolist())
@@ -218,7 +200,7 @@ def _prefix_pairs(kept: DataFrame, roots: DataFrame, similarity: float) -> DataF
     """All pairs that may be similar and aren't in one group yet."""
     grouped = kept.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     rows = grouped.select(F.coalesce("root", "doc_id").alias("root"), "doc_id", "n", F.posexplode("prefix").alias("place", "element"))
-    spread = rows.repartition(slots(kept.sparkSession), "element").sortWithinPartitions("element")
+    spread = rows.repartition("element").sortWithinPartitions("element")
     return spread.select("element", "root", "doc_id", "n", "place").mapInArrow(_runs(similarity), "doc_id long, other long").distinct()
 
 
@@ -254,5 +236,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay; rows that repeat an id stay or go together. An empty table gives an empty result.
     """
     roots = components(near_copy_links(docs, id_col, text_col, words, similarity))
-    gone = roots.filter("id <> root").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = roots.filter("id <> root").select(F.col("id").alias("gone"))
+    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone"], "left_anti")

@@ -27,9 +27,11 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder below the temp folder takes its place.
+    Only where that is unset in local mode, as in tests, a folder below the temp folder takes its place.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return configured or f"file://{tempfile.gettempdir()}/checkpoints"
 
 
@@ -118,5 +120,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
+    """From sorted batches: the columns of one or more whole runs of rows with equal first ``keys`` columns, and where runs start and end.
+
+    A run may span batches; its parts are put together once.
+    """
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def cut(last: bool):
+        rows = tuple(np.concatenate(x) for x in zip(*parts))
+        change = np.zeros(len(rows[0]) - 1, bool)
+        for k in rows[:keys]:
+            change |= k[1:] != k[:-1]
+        starts = np.append(0, np.flatnonzero(change) + 1)
+        ends = np.append(starts[1:], len(rows[0]))
+        rest = [] if last else [tuple(x[starts[-1] :].copy() for x in rows)]
+        return (rows, starts, ends) if last else (rows, starts[:-1], ends[:-1]), rest
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        parts.append(tuple(batch.column(c).to_numpy() for c in columns))
+        if all(parts[0][k][0] == parts[-1][k][-1] for k in range(keys)):
+            continue
+        found, parts = cut(last=False)
+        yield found
+    if parts:
+        yield cut(last=True)[0]
+
+
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

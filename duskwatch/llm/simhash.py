@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .shared import small_batches, stored
+from .shared import small_batches, stored, whole_runs
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -129,18 +129,7 @@ def _run_links(bits: int):
     """Rows sorted by (node, pattern, rank) to the links of each run; a run may span batches."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] = (np.empty(0, np.int64),) * 3
-        for batch in _then_none(batches):
-            last = batch is None
-            new = rest if last else tuple(np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("node", "pattern", "print")))
-            node, pattern, prints = new
-            if not len(node):
-                continue
-            starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (pattern[1:] != pattern[:-1])))
-            ends = np.append(starts[1:], len(node))
-            if not last:
-                rest = tuple(x[starts[-1] :] for x in new)
-                starts, ends = starts[:-1], ends[:-1]
+        for (_, _, prints), starts, ends in whole_runs(batches, ("node", "pattern", "print"), keys=2):
             several = ends - starts > 1
             found = [_forest(prints[s:e].view(np.uint64), bits) for s, e in zip(starts[several], ends[several])]
             if found:
@@ -150,14 +139,8 @@ def _run_links(bits: int):
     return links
 
 
-def _then_none(items: Iterator) -> Iterator:
-    yield from items
-    yield None
-
-
 def hamming_links(classes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """From distinct fingerprints (print) to links (u, v) that connect all within ``bits`` places."""
-    spark = classes.sparkSession
     masks = node_masks(bits)
     nodes = F.array(*[F.struct(F.lit(i).cast("long").alias("node"), F.col("print").bitwiseAND(F.lit(m)).alias("pattern")) for i, m in enumerate(masks)])
     rank = F.col("print")
@@ -165,7 +148,7 @@ def hamming_links(classes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
     routed = classes.select("print", rank.alias("rank")).select("print", "rank", F.explode(nodes).alias("n"))
     routed = routed.select("n.node", "n.pattern", "print", "rank")
-    spread = routed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "pattern")
+    spread = routed.repartition("node", "pattern")
     ordered = spread.sortWithinPartitions("node", "pattern", "rank").select("node", "pattern", "print")
     return ordered.mapInArrow(_run_links(bits), "u long, v long").distinct()
 

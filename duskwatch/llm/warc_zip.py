@@ -220,7 +220,9 @@ def write_packages(
     rows = rows.withColumns({"digest": F.sha1(data), "n_bytes": F.octet_length(data)})
     keyed = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.sha1(data).alias("digest"), F.octet_length(data).alias("n_bytes")).filter(F.col("n_bytes") >= least_bytes)
     copies = keyed.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
-    marked = rows.join(copies, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first")))
+    # a payload that very many pages share is joined without the payload, and the pages then by their own id
+    revisits = keyed.join(stored(copies, "copies"), "digest").filter("page_id < first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    marked = rows.join(stored(revisits, "revisits"), ["page_id", "digest"], "left")
     ready = marked.select("page_id", "url", "html", "digest", "n_bytes", "refers_to")
     return stored(ready.mapInArrow(_writer(folder), "path string, records long").filter("path is not null"), "package_list")
 
@@ -231,8 +233,7 @@ def read_packages(spark: SparkSession, packages: DataFrame, with_payload: bool =
     Digest and length of each response are checked against its payload. Places are dealt out in ranges, so
     several tasks read one large package.
     """
-    n = slots(spark)
-    places = packages.select("path").repartition(n, "path").mapInArrow(_locate, "path string, offset long, length long")
+    places = packages.select("path").repartition("path").mapInArrow(_locate, "path string, offset long, length long")
     block = F.floor(F.col("offset") / F.lit(16 << 20))
-    dealt = places.repartition(n, "path", block).sortWithinPartitions("path", "offset")
+    dealt = places.repartition("path", block).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(_reader(with_payload), RECORDS)

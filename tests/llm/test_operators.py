@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from duskwatch.llm import decontaminate, language_masks, near_copies, repeats, toxic_spans
+from duskwatch.llm import decontaminate, language_masks, mixing, near_copies, repeats, toxic_spans
 from duskwatch.llm.block_names import block_name_dedup
 from duskwatch.llm.mixing import mix, targets
 from duskwatch.llm.repeats import cut, remove_repeats
@@ -81,6 +81,15 @@ def test_block_names(docs, rows, empty):
     assert block_name_dedup(empty).count() == 0
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    few = sorted(map(repr, mix(docs).collect()))
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 1)
+    many = sorted(map(repr, mix(docs).collect()))
+    assert few == many
+    carried = mix(docs, carry=tuple(docs.columns)).select("carried.*")
+    assert carried.columns == docs.columns and carried.count() == docs.count()
+
+
 def test_mixing(docs, rows, empty):
     assert targets([10.0, 10.0], [3.0, 1.0], 1.5, 2.0) == [20.0, 10.0]
     first, second = (sorted(map(tuple, mix(d).select("doc_id", "size", "source", "target", "taken").collect()), key=repr) for d in (docs, docs.repartition(5)))
@@ -214,7 +223,7 @@ def test_warc_packages(spark):
     assert read_packages(spark, write_packages(df.limit(0))).count() == 0
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
     items = [(i, " ".join(word() for _ in range(rng.randint(6, 30)))) for i in range(12)] + [(50, None), (51, ""), (52, "two words")]
@@ -250,6 +259,10 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(frame, bench).collect()}
     assert got == want and len(want) > 10
     assert decontaminate.contamination(frame, bench.limit(0)).count() == 0
+    assert decontaminate.contamination(frame.limit(0), bench).count() == 0
+    for name, bound in (("ITEMS_AT_ONCE", 4), ("ITEM_BYTES", 1), ("WINDOWS_AT_ONCE", 2)):
+        monkeypatch.setattr(decontaminate, name, bound)
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(frame, bench).collect()} == want
 
 
 def test_language(spark):
@@ -267,6 +280,33 @@ def test_language(spark):
     assert {r.lang_pred for r in language_masks.identify(df, none).collect()} == {"und"}
 
 
+def test_language_masks_equal_exact_sets(spark, monkeypatch):
+    monkeypatch.setattr(language_masks, "LETTERS_AT_ONCE", 50)
+    rng, names = random.Random(11), [f"l{n:03d}" for n in range(70)]
+    texts = {n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(4)] for n in names}
+    rows = [(i, " ".join(rng.choices(texts[n], k=12)), n, 1.0) for i, n in enumerate(names * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = language_masks.fit_languages(df)
+    assert model.languages == names and model.masks.shape[0] == 2
+
+    def plain(text):
+        padded = f"  {text}  "
+        return [padded[i : i + 4] for i in range(len(padded) - 3)]
+
+    docs_with = defaultdict(Counter)
+    for _, t, n, _ in rows:
+        for g in set(plain(t)):
+            docs_with[g][n] += 1
+    held = {g: {n for n, k in c.items() if k >= min(3, 4) and k / 4 >= 0.2 * max(c.values()) / 4} for g, c in docs_with.items()}
+    for _, t, n, _ in rows[:100]:
+        exact = Counter(x for g in plain(t) for x in held[g])
+        found = sum(model.holders(h) for h in language_masks.grams(t))
+        assert all(found[i] >= exact[x] for i, x in enumerate(names)) and sum(found) <= sum(exact.values()) + 0.02 * 70 * len(plain(t))
+    got = {r.doc_id: r.lang_pred for r in language_masks.identify(df, model).collect()}
+    assert all(got[i] == n for i, _, n, _ in rows)
+    assert language_masks.identify(df.limit(0), model).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -280,7 +320,8 @@ def test_toxicity(spark):
     rows += [(900, None), (901, ""), (None, "nastiest")]
     df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(5, None)], "doc_id long, toxic int")
     model = toxic_spans.fit_toxic(df, marks.filter("doc_id % 5 <> 0"))
-    got = {r.doc_id: r for r in toxic_spans.score_toxic(df, model).collect()}
+    got_rows = toxic_spans.score_toxic(df, model).collect()
+    got = {r.doc_id: r for r in got_rows}
     held = [(got[i].score >= 0.5, y) for i, y in labels if i % 5 == 0]
     assert np.mean([a == b for a, b in held]) > 0.95
     text = dict(rows)
@@ -289,6 +330,9 @@ def test_toxicity(spark):
     assert got[900].spans == [] and got[901].score < 0.5 and len(got) == len(rows)
     blank = toxic_spans.fit_toxic(df, marks.limit(0))
     assert {r.score < 0.5 for r in toxic_spans.score_toxic(df, blank).collect()} == {True}
+    assert toxic_spans.score_toxic(df.limit(0), model).count() == 0
+    clash = df.selectExpr("*", "1 score", "2 label", "3 AS `key`", "array() spans")
+    assert sorted(map(repr, toxic_spans.score_toxic(clash, toxic_spans.fit_toxic(clash, marks.filter("doc_id % 5 <> 0"))).collect())) == sorted(map(repr, got_rows))
 
 
 def test_toxicity_learns_from_the_end_of_long_texts(spark):
