@@ -74,3 +74,18 @@ def test_mix_and_tokens(stages):
         start += len(ids)
     got = sorted(stages[5][["doc_id", "start", "n_tokens", "ids_crc32"]].itertuples(index=False, name=None), key=lambda r: r[1])
     assert got == want
+
+
+def test_stages_keep_odd_rows_and_further_columns(spark, tmp_path):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "a", 1), (1, "alpha beta gamma delta epsilon zeta", "a", 1), (2, None, "b", 2), (3, "", None, 3), (None, "one two three", "a", 4),
+            (4, "so long " * 3000, "b", 5)]
+    schema = "doc_id long, text string, source string, gone int, size long, score double, label int, `range` int, item_id long"
+    for part in (rows, []):
+        docs = spark.createDataFrame([(*r[:3], r[3], 7, 0.5, 1, 2, 3) for r in part], schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), schema)
+        kept = {r.doc_id for r in docs.collect()}
+        assert kept >= ({None, 4} if part else set())
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
