@@ -16,7 +16,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled ones among them, doesn't call toxic; rows without an id stay."""
+    """Documents that the toxicity model, fitted on the labelled ones among them, doesn't call toxic.
+
+    Rows without an id stay; rows that repeat an id go together, if one of them is toxic.
+    """
     model = fit_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = score_toxic(docs, model, with_spans=False).filter("score >= 0.5").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
@@ -28,17 +31,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without an id stay."""
+    """Documents that hold no benchmark item; rows without an id stay; rows that repeat an id go together."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for every epoch in which the mix takes words of it; whole documents, so a source may exceed its target by part of one."""
-    mixed = mix(docs, carry=("text", "lang", "n_chars"))
+    mixed = mix(docs, carry=tuple(docs.columns))
     copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     rows = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    return rows.select(*docs.columns)
+    return rows.select("carried.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
