@@ -11,8 +11,10 @@ share a segment.
 The second kind is complete for the rest. Shingles are put in one order for all documents, frequent ones last. The
 first shingle in this order that two documents share, at places i and j (from 0) of a and b shingles, leaves them at
 most min(a - i, b - j) in common, and a similarity of s takes s / (1 + s) * (a + b). So every similar pair shares a
-shingle within the first (1 - s) * size + 1 of each, where this bound holds. Pairs that the first kind has put in one
-group already are not formed again.
+shingle within the first (1 - s) * size + 1 of each, where this bound holds. Only shingles that several documents
+hold there go on. Pairs of one group are never formed: in each of ``STAR_TURNS`` turns a shingle pairs one document of each
+group with one of its largest group, which joins groups of copies by a number of pairs in proportion to their
+documents; the pairs of documents that are in different groups even then are all compared.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ CUT_BITS = 4
 SHARE = 0.25
 #: Documents read to see which shingles are frequent, and so many frequent ones at most. They set the order only: any order finds all pairs.
 ORDER_DOCS, FREQUENT, LEAST_FREQUENT = 20_000, 100_000, 3
+#: Turns in which a shingle pairs groups, not documents.
+STAR_TURNS = 2
 #: Pairs of a run that are compared at once.
 _PAIRS = 1 << 20
 
@@ -124,17 +128,39 @@ def run_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.nda
             yield np.unique(np.sort(pairs, axis=1), axis=0)
 
 
-def _runs(similarity: float):
-    """Rows sorted by element to the pairs of each run; a run may span batches."""
-    names = ("element", "root", "doc_id", "n", "place")
+def star_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, turn: int) -> Iterator[np.ndarray]:
+    """One document of each group with one of the largest group, where the bound allows the similarity; turns take other documents."""
+    order = np.lexsort((doc if turn % 2 == 0 else -doc, root))
+    _, first, n = np.unique(root[order], return_index=True, return_counts=True)
+    one, hub = order[first], order[first[n.argmax()]]
+    most = np.minimum((size - place)[one], (size - place)[hub])
+    far = one[(one != hub) & (most >= similarity / (1 + similarity) * (size[one] + size[hub]) - 1e-6)]
+    if len(far):
+        yield np.sort(np.stack([doc[far], np.full(len(far), doc[hub])], axis=1), axis=1)
+
+
+def _shared_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by element, of elements that several documents hold."""
+    names = ("element", "doc_id", "n_place")
+    for rows, starts, ends in whole_runs(batches, names, keys=1):
+        sizes = ends - starts
+        held = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(x[: ends[-1]][held]) for x in rows], names=list(names))
+
+
+def _runs(similarity: float, turn: int | None):
+    """Rows sorted by element to the pairs of each run; all pairs of different groups without a turn."""
+    names = ("element", "root", "doc_id", "n_place")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, ends in whole_runs(batches, names, keys=1):
             end, found, held = ends[-1], [], 0
             several = np.minimum.reduceat(rows[1][:end], starts) < np.maximum.reduceat(rows[1][:end], starts)
             for s, e in zip(starts[several], ends[several]):
-                root, doc, size, place = (x[s:e].astype(np.int64) for x in rows[1:])
-                for new in run_pairs(root, doc, size, place, similarity):
+                root, doc, n_place = (x[s:e] for x in rows[1:])
+                size, place = n_place >> 32, n_place & 0xFFFFFFFF
+                new_pairs = run_pairs(root, doc, size, place, similarity) if turn is None else star_pairs(root, doc, size, place, similarity, turn)
+                for new in new_pairs:
                     found.append(new)
                     held += len(new)
                     if held > _PAIRS:
@@ -182,26 +208,31 @@ def _order(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(base: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    own = base.join(pairs, "doc_id").withColumnRenamed("text", "mine")
-    both = own.join(base.select(F.col("doc_id").alias("other"), "text"), "other").select("doc_id", "other", "mine", "text")
-    return both.mapInArrow(_similar(words, similarity), "u long, v long")
+    """Pairs that are similar. Only the texts of paired documents are joined to pairs."""
+    ids = stored(pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct(), "paired")
+    texts = stored(base.join(ids, "doc_id", "left_semi"), "texts")
+    own = texts.join(pairs, "doc_id").withColumnRenamed("text", "mine")
+    both = own.join(texts.select(F.col("doc_id").alias("other"), "text"), "other").select("doc_id", "other", "mine", "text")
+    found = stored(both.mapInArrow(_similar(words, similarity), "u long, v long"), "similar")
+    drop(texts)
+    return found
 
 
 def _segment_pairs(kept: DataFrame) -> DataFrame:
     parts = kept.select("doc_id", F.size("segments").alias("n"), F.explode("segments").alias("segment"))
     ends = parts.groupBy("segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    ends = stored(ends, "segment_ends")  # so that the join may split a segment that very many documents share
     met = parts.join(ends, "segment")
     pairs = met.select("doc_id", "n", F.col("least").alias("other")).unionByName(met.select("doc_id", "n", F.col("most").alias("other")))
     pairs = pairs.filter("doc_id <> other").groupBy("doc_id", "other").agg(F.count("*").alias("held"), F.max("n").alias("n"))
     return pairs.filter(F.col("held") >= SHARE * F.col("n")).select("doc_id", "other")
 
 
-def _prefix_pairs(kept: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs that may be similar and aren't in one group yet."""
-    grouped = kept.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rows = grouped.select(F.coalesce("root", "doc_id").alias("root"), "doc_id", "n", F.posexplode("prefix").alias("place", "element"))
-    spread = rows.repartition("element").sortWithinPartitions("element")
-    return spread.select("element", "root", "doc_id", "n", "place").mapInArrow(_runs(similarity), "doc_id long, other long").distinct()
+def _prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float, turn: int | None) -> DataFrame:
+    """Pairs that may be similar and aren't in one group yet."""
+    moved = roots.filter("id <> root").select(F.col("id").alias("doc_id"), "root")
+    rows = shared.join(moved, "doc_id", "left").select("element", F.coalesce("root", "doc_id").alias("root"), "doc_id", "n_place")
+    return rows.repartition("element").sortWithinPartitions("element").mapInArrow(_runs(similarity, turn), "doc_id long, other long").distinct()
 
 
 def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,20 +243,25 @@ def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = spark.sparkContext.broadcast(_order(base, words))
     found = base.mapInArrow(_prints(words, similarity, order), "doc_id long, content binary, n int, segments array<long>, prefix array<long>")
     found = stored(found, "prints")
-    least = found.groupBy("content").agg(F.min("doc_id").alias("least"))
+    least = stored(found.groupBy("content").agg(F.min("doc_id").alias("least")), "contents")
     copies = stored(found.select("doc_id", "content").join(least, "content").select(F.col("doc_id").alias("u"), F.col("least").alias("v")), "copies")
-    ids = copies.filter("u = v").select(F.col("u").alias("doc_id")).distinct()
+    ids = stored(copies.filter("u = v").select(F.col("u").alias("doc_id")).distinct(), "classes")
     kept = found.join(ids, "doc_id", "left_semi")
+    rows = kept.select("doc_id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("place", "element"))
+    rows = rows.select("element", "doc_id", F.col("n").bitwiseOR(F.col("place").cast("long")).alias("n_place"))
+    shared = rows.repartition("element").sortWithinPartitions("element").mapInArrow(_shared_elements, "element long, doc_id long, n_place long")
+    shared = stored(shared, "shared_elements")
+    release(spark)
     whole = simhash_components(base, words=words).filter("doc_id <> component_id").select("doc_id", F.col("component_id").alias("other"))
     pairs = stored(_segment_pairs(kept).unionByName(whole.join(ids, "doc_id", "left_semi")).distinct(), "pairs")
-    release(spark)
-    fast = stored(_verified(base, pairs, words, similarity), "fast")
-    release(spark)
-    pairs = stored(_prefix_pairs(kept, components(fast), similarity), "pairs")
     drop(found)
-    rest = stored(_verified(base, pairs, words, similarity), "rest")
-    release(spark)
-    return copies.filter("u <> v").unionByName(fast).unionByName(rest)
+    links = _verified(base, pairs, words, similarity)
+    for turn in (*range(STAR_TURNS), None):
+        roots = components(links)
+        pairs = stored(_prefix_pairs(shared, roots, similarity, turn), "pairs")
+        links = stored(roots.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(_verified(base, pairs, words, similarity)), "links")
+        release(spark)
+    return copies.filter("u <> v").unionByName(links)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

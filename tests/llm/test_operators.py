@@ -479,7 +479,7 @@ def test_runs_may_span_batches():
     element = np.sort(np.append(rng.integers(0, 40, 300), np.full(200, 40)))
     doc = rng.permutation(500)
     root, size, place = doc // 3, rng.integers(20, 30, 500), rng.integers(0, 6, 500)
-    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (element, root, doc, size, place)], names=["element", "root", "doc_id", "n", "place"])
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (element, root, doc, size << 32 | place)], names=["element", "root", "doc_id", "n_place"])
     want = set()
     for i in range(500):
         for j in range(500):
@@ -488,8 +488,14 @@ def test_runs_may_span_batches():
                 want.add((int(doc[i]), int(doc[j])))
     for step in (7, 64, 500):
         batches = [table.slice(i, step) for i in range(0, 500, step)]
-        got = {p for b in near_copies._runs(0.8)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))}
+        got = {p for b in near_copies._runs(0.8, None)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))}
         assert got == want
+        for turn in (0, 1):
+            stars = [p for b in near_copies._runs(0.8, turn)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+            assert len(stars) <= 500 and set(stars) <= want and len(stars) > 20
+        rows = table.select(["element", "doc_id", "n_place"])
+        shared = [x for b in near_copies._shared_elements(iter([rows.slice(i, step) for i in range(0, 500, step)])) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert shared == [x for x in zip(*(c.to_pylist() for c in rows.columns)) if (element == x[0]).sum() > 1]
 
 
 def test_near_copies_of_short_texts_and_templates(spark):
