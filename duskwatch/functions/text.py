@@ -6,17 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Redaction rules in the order in which they apply. RE2 and Java read them alike.
 REDACTIONS = (
-    ("bearer", r"(?i)bearer\s+[a-z0-9._~+/-]+=*", "[REDACTED_TOKEN]"),
-    ("api_key", r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*[^\s,;]+", "[REDACTED_SECRET]"),
-    ("password", r"(?i)(--?p(?:ass(?:word)?)?[= ])[^\s]+", "[REDACTED_PASSWORD]"),
-    ("card", r"\b(?:[0-9][ -]?){13,16}\b", "[REDACTED_CC]"),
-    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[REDACTED_SSN]"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
-    ("home", r"(/home/|/Users/)[^/\s]+", "[REDACTED_HOME]"),
+    ("bearer_token", r"(?i)Bearer\s+[A-Za-z0-9_\-\.]{15,}", "Bearer [REDACTED_TOKEN]"),
+    ("api_key_openai", r"(?i)sk-proj-[A-Za-z0-9_-]{20,}", "[API_KEY_OPENAI_REDACTED]"),
+    ("api_key_aws", r"(?i)AKIA[0-9A-Z]{16}", "[API_KEY_AWS_REDACTED]"),
+    ("generic_secret_key", r"(?i)(api[_-]?key|secret|token|auth_header)\s*[:=]\s*['\"]?[A-Za-z0-9_\-\.]{12,}['\"]?", "[GENERIC_SECRET_KEY_REDACTED]"),
+    ("cli_password_param", r"(?i)(--password[= ]|-pass[= ]|password[= ]|pass[= ]|-p\s*['\"]?)([^\s'\"]{3,})", "$1 [REDACTED_PASSWORD]"),
+    ("net_use_password", r"(?i)net\s+use.*?\s+([^\s]{3,})$", "[NET_USE_PASSWORD_REDACTED]"),
+    ("credit_card", r"\b(?:\d[ -]*?){13,16}\b", "[REDACTED_CC]"),
+    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
+    ("email_address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[REDACTED_EMAIL]"),
 )
+# The folder prefix stays, the user's name goes; counted as no rule.
+HOME = (r"(?i)(C:\\Users\\|/home/|/Users/)([^\\/]+)", "$1[REDACTED_USER]")
 
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss.SSSSSS", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")
 
@@ -39,8 +44,22 @@ def has_token(col: Column, words: list[str]) -> Column:
 
 
 def redact(col: Column) -> Column:
-    """Text with secrets and personal data replaced, rule by rule; null stays null."""
-    return reduce(lambda text, rule: F.regexp_replace(text, rule[1], F.lit(rule[2])), REDACTIONS, col)
+    """Text with secrets and personal data replaced, rule by rule, and user names in home folders; null stays null."""
+    return reduce(lambda text, rule: F.regexp_replace(text, F.lit(rule[-2]), F.lit(rule[-1])), (*REDACTIONS, HOME), col)
+
+
+def redact_nested(col: Column, kind: DataType) -> Column:
+    """Every string in structs, arrays and map values redacted; other values and all names stay."""
+    if isinstance(kind, StringType):
+        return redact(col)
+    if isinstance(kind, StructType):
+        fields = [redact_nested(col[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(col, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(col, lambda _, x: redact_nested(x, kind.valueType))
+    return col
 
 
 def redaction_hits(col: Column) -> Column:

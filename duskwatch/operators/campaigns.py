@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions.text import has, has_token, nonempty
 
 # Lifecycle stages in order, words that make a campaign, techniques.
-STAGES = ("RECONNAISSANCE", "INITIAL_ACCESS", "EXECUTION", "PERSISTENCE", "DISCOVERY", "CREDENTIAL_ACCESS", "COMMAND_AND_CONTROL")
+STAGES = ("RECONNAISSANCE", "INITIAL_ACCESS", "EXECUTION", "PERSISTENCE", "CREDENTIAL_ACCESS", "DISCOVERY", "COMMAND_AND_CONTROL")
 SUSPICIOUS = ["powershell", "wget", "curl", "mimikatz", "lsass", "schtasks", "nc", "chmod", "brute", "bypass"]
 
 
@@ -21,8 +21,8 @@ def stage_rules(kind: Column, command: Column) -> dict[str, Column]:
         "INITIAL_ACCESS": t.isin("authentication", "network") | has(command, "ssh", "rdp"),
         "EXECUTION": t.isin("process", "powershell"),
         "PERSISTENCE": has(command, "run", "schtasks", "registry"),
-        "DISCOVERY": has(command, "whoami", "net", "systeminfo"),
         "CREDENTIAL_ACCESS": has(command, "mimikatz", "lsass", "pass"),
+        "DISCOVERY": has(command, "whoami", "net", "systeminfo"),
         "COMMAND_AND_CONTROL": has(command, "c2", "beacon"),
     }
 
@@ -113,8 +113,8 @@ def threat_class(kind: Column, command: Column, dst_private: Column, action: Col
         ("Execution", has(command, "powershell", "bash", "cmd.exe") | has(kind, "powershell")),
         ("Credential Access", has(command, "mimikatz", "lsass", "login") | has(action, "auth_fail")),
         ("Command & Control", ~dst_private | has(command, "c2")),
-        ("Discovery", has(command, "whoami", "netstat", "ipconfig") | has(action, "scan")),
-        ("Malware/File", has(kind, "file") | has(command, "sh.bin") | has(action, "write")),
+        ("Discovery / Reconnaissance", has(command, "whoami", "netstat", "ipconfig") | has(action, "scan")),
+        ("Malware / File Modification", has(kind, "file") | has(command, "sh.bin") | has(action, "write")),
         ("Defense Evasion", has(command, "enc", "bypass")),
     )
     return reduce(lambda acc, r: acc.when(r[1], F.lit(r[0])), rules[1:], F.when(rules[0][1], F.lit(rules[0][0])))

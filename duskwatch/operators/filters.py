@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 RANGES = {"15m": "15 minutes", "1h": "1 hour", "6h": "6 hours", "24h": "24 hours", "7d": "7 days"}
 # Command-line rules in order; the first that matches wins.
 COMMAND_RULES = (
-    ("encoded_powershell", r"(?i)powershell.*-e(nc|ncodedcommand)?\s"),
+    ("encoded_powershell", r"(?i)powershell.*-enc(odedcommand)?\s+[A-Za-z0-9+/=]{20,}"),
     ("certutil_decode", r"(?i)certutil.*-decode"),
     ("bitsadmin_transfer", r"(?i)bitsadmin.*/transfer"),
     ("shadow_deletion", r"(?i)vssadmin.*delete\s+shadows"),
 )
 # Actions that a capture event of each type may have.
 ACTIONS = {
-    "process": ["create", "terminate", "inject", "execute"],
-    "file": ["read", "write", "delete", "encrypt", "create", "modify"],
-    "network": ["connect", "dns", "http", "upload", "download"],
-    "auth": ["login", "logout", "fail", "escalate"],
-    "registry": ["read", "write", "modify", "delete"],
-    "user": ["usb", "login", "logout", "print"],
+    "process": ["create", "terminate", "parent_child"],
+    "file": ["read", "write", "delete", "encrypt", "rename"],
+    "network": ["dns", "http", "https", "smb", "c2", "beaconing", "upload", "download"],
+    "auth": ["login", "logout", "escalate", "token_abuse"],
+    "registry": ["modify", "create", "delete", "service_create", "scheduled_task"],
+    "user": ["mouse", "keyboard", "usb", "session"],
 }
 
 
@@ -56,9 +56,9 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
 
 
 def allowed_action(kind: Column, action: Column) -> Column:
-    """True if the action is on the list of its event type; false for unknown types."""
+    """True if the action, as written, is on the list of its event type; false for unknown types and null."""
     table = F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.array_contains(F.try_element_at(table, kind), F.lower(action)), F.lit(False))
+    return F.coalesce(F.array_contains(F.try_element_at(table, kind), action), F.lit(False))
 
 
 def validity_error(required: dict[str, Column]) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Pairs of actions that count as escalation, and which actions follow which.
-ESCALATIONS = (("execution", "persistence"), ("execution", "privilege_escalation"), ("persistence", "lateral_movement"),
-               ("discovery", "collection"), ("collection", "exfiltration"), ("privilege_escalation", "discovery"))
+ESCALATIONS = (("initial_access", "privilege_escalation"), ("privilege_escalation", "persistence"), ("persistence", "discovery"),
+               ("discovery", "lateral_movement"), ("lateral_movement", "collection"), ("collection", "exfiltration"))
 RELATED = {
     "execution": ["persistence", "privilege_escalation"],
     "persistence": ["discovery", "lateral_movement"],

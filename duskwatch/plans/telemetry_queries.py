@@ -108,8 +108,8 @@ def threats_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT CASE WHEN {_HAS('command', 'powershell', 'bash', 'cmd.exe')} OR contains(event_type, 'powershell') THEN 'Execution'
                   WHEN {_HAS('command', 'mimikatz', 'lsass', 'login')} THEN 'Credential Access'
                   WHEN NOT ({_PRIVATE}) OR {_HAS('command', 'c2')} THEN 'Command & Control'
-                  WHEN {_HAS('command', 'whoami', 'netstat', 'ipconfig')} THEN 'Discovery'
-                  WHEN contains(event_type, 'file') OR {_HAS('command', 'sh.bin')} THEN 'Malware/File'
+                  WHEN {_HAS('command', 'whoami', 'netstat', 'ipconfig')} THEN 'Discovery / Reconnaissance'
+                  WHEN contains(event_type, 'file') OR {_HAS('command', 'sh.bin')} THEN 'Malware / File Modification'
                   WHEN {_HAS('command', 'enc', 'bypass')} THEN 'Defense Evasion' END AS threat_class FROM telemetry)
     SELECT threat_class, count(*) AS n, count(*) * 100.0e0 / sum(count(*)) OVER () AS share FROM c WHERE threat_class IS NOT NULL GROUP BY threat_class
     """,
@@ -244,29 +244,36 @@ def time_range_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "action_validity",
     f"""
-    WITH {TELEMETRY}, a AS (SELECT event_id, event_type AS kind, CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'READ' WHEN 2 THEN 'login' WHEN 3 THEN 'dns' ELSE 'fly' END AS action FROM telemetry)
-    SELECT kind, action, (kind = 'process' AND lower(action) IN ('create', 'terminate', 'inject', 'execute'))
-      OR (kind = 'file' AND lower(action) IN ('read', 'write', 'delete', 'encrypt', 'create', 'modify'))
-      OR (kind = 'network' AND lower(action) IN ('connect', 'dns', 'http', 'upload', 'download')) AS allowed, count(*) AS n
+    WITH {TELEMETRY}, a AS (SELECT event_id, CASE event_type WHEN 'authentication' THEN 'auth' ELSE event_type END AS kind, CASE event_id % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'READ' WHEN 2 THEN 'login' WHEN 3 THEN 'dns' WHEN 4 THEN 'rename' WHEN 5 THEN 'terminate' ELSE 'fly' END AS action FROM telemetry)
+    SELECT kind, action, (kind = 'process' AND action IN ('create', 'terminate', 'parent_child'))
+      OR (kind = 'file' AND action IN ('read', 'write', 'delete', 'encrypt', 'rename'))
+      OR (kind = 'network' AND action IN ('dns', 'http', 'https', 'smb', 'c2', 'beaconing', 'upload', 'download'))
+      OR (kind = 'auth' AND action IN ('login', 'logout', 'escalate', 'token_abuse')) AS allowed, count(*) AS n
     FROM a GROUP BY ALL
     """,
 )
 def action_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.expr("CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'READ' WHEN 2 THEN 'login' WHEN 3 THEN 'dns' ELSE 'fly' END")
-    rows = telemetry(spark, sf_dir).select(F.col("event_type").alias("kind"), action.alias("action"))
+    action = F.expr("CASE event_id % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'READ' WHEN 2 THEN 'login' WHEN 3 THEN 'dns' WHEN 4 THEN 'rename' WHEN 5 THEN 'terminate' ELSE 'fly' END")
+    kind = F.when(F.col("event_type") == "authentication", F.lit("auth")).otherwise(F.col("event_type"))
+    rows = telemetry(spark, sf_dir).select(kind.alias("kind"), action.alias("action"))
     return rows.withColumn("allowed", filters.allowed_action(F.col("kind"), F.col("action"))).groupBy("kind", "action", "allowed").agg(F.count("*").alias("n"))
 
 
 @register(
     "command_rules",
     f"""
-    WITH {TELEMETRY}
-    SELECT CASE WHEN regexp_matches(command, '(?i)powershell.*-e(nc|ncodedcommand)?\\s') THEN 'encoded_powershell' ELSE 'none' END AS rule, count(*) AS n FROM telemetry GROUP BY 1
+    WITH {TELEMETRY}, c AS (SELECT CASE event_id % 5 WHEN 0 THEN concat(command, 'SQBFAFgAIAAoAE4AZQB3') WHEN 1 THEN 'CertUtil -decode a b' WHEN 2 THEN 'bitsadmin /transfer job' WHEN 3 THEN 'vssadmin  Delete   shadows /all' ELSE command END AS command FROM telemetry)
+    SELECT CASE WHEN regexp_matches(command, '(?i)powershell.*-enc(odedcommand)?\\s+[A-Za-z0-9+/=]{{20,}}') THEN 'encoded_powershell' WHEN regexp_matches(command, '(?i)certutil.*-decode') THEN 'certutil_decode'
+      WHEN regexp_matches(command, '(?i)bitsadmin.*/transfer') THEN 'bitsadmin_transfer' WHEN regexp_matches(command, '(?i)vssadmin.*delete\\s+shadows') THEN 'shadow_deletion' ELSE 'none' END AS rule, count(*) AS n FROM c GROUP BY 1
     """,
 )
 def command_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = F.expr(
+        "CASE event_id % 5 WHEN 0 THEN concat(command, 'SQBFAFgAIAAoAE4AZQB3') WHEN 1 THEN 'CertUtil -decode a b' WHEN 2 THEN 'bitsadmin /transfer job' "
+        "WHEN 3 THEN 'vssadmin  Delete   shadows /all' ELSE command END"
+    )
     rule = F.coalesce(filters.command_rule(F.col("command")), F.lit("none"))
-    return telemetry(spark, sf_dir).groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+    return telemetry(spark, sf_dir).withColumn("command", planted).groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
 
 
 _STAGE_SQL = f"""
@@ -282,7 +289,7 @@ _STAGE_SQL = f"""
       bool_or(contains(event_type, 'auth')) AS authentication_observed, bool_or({_HAS('command', 'fail', 'brute')}) AS bruteforce_attempt
       FROM telemetry GROUP BY 1),
     g AS (SELECT *, CASE WHEN s1 OR s2 OR s3 OR s4 OR s5 OR s6 OR s7 THEN list_filter([CASE WHEN s1 THEN 'RECONNAISSANCE' END, CASE WHEN s2 THEN 'INITIAL_ACCESS' END,
-      CASE WHEN s3 THEN 'EXECUTION' END, CASE WHEN s4 THEN 'PERSISTENCE' END, CASE WHEN s5 THEN 'DISCOVERY' END, CASE WHEN s6 THEN 'CREDENTIAL_ACCESS' END,
+      CASE WHEN s3 THEN 'EXECUTION' END, CASE WHEN s4 THEN 'PERSISTENCE' END, CASE WHEN s6 THEN 'CREDENTIAL_ACCESS' END, CASE WHEN s5 THEN 'DISCOVERY' END,
       CASE WHEN s7 THEN 'COMMAND_AND_CONTROL' END], lambda x: x IS NOT NULL) ELSE ['INITIAL_ACCESS'] END AS stages FROM s)
 """
 

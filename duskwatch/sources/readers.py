@@ -16,7 +16,12 @@ from duskwatch.operators.windows import latest
 
 # Maps of external names to ours.
 PROTOCOLS = {"6": "TCP", "17": "UDP", "1": "ICMP", "tcp": "TCP", "udp": "UDP", "icmp": "ICMP"}
-OBJECTS = {"PROCESS": "process", "FILE": "file", "FLOW": "network", "REGISTRY": "registry", "USER_SESSION": "auth", "THREAD": "process"}
+OBJECTS = {"PROCESS": "process", "FILE": "file", "FLOW": "network", "FLOW-START": "network", "FLOW-END": "network", "REGISTRY": "registry", "USER_SESSION": "auth", "THREAD": "process"}
+ECAR_ACTIONS = {
+    "CREATE": "create", "TERMINATE": "terminate", "OPEN": "open", "READ": "read", "WRITE": "write", "DELETE": "delete", "MODIFY": "modify", "RENAME": "rename", "ENCRYPT": "encrypt",
+    "CONNECT": "connect", "START": "connect", "END": "disconnect", "SEND": "send", "RECEIVE": "receive", "LOGIN": "login", "LOGOUT": "logout", "ESCALATE": "escalate",
+    "ADD_KEY": "create", "EDIT_KEY": "modify", "REMOVE_KEY": "delete",
+}
 BOTNET_WORDS = ("botnet", "malware", "c&c", "cc", "cnc")
 HONEYPOT_EVENTS = {"cowrie": "auth", "dionaea": "file", "honeytrap": "network", "suricata": "network"}
 ECAR = "timestamp long, id string, hostname string, objectID string, object string, action string, actorID string, pid long, ppid long, tid long, principal string, properties map<string,string>"
@@ -109,7 +114,7 @@ def ecar_events(df: DataFrame) -> DataFrame:
         F.col("id").alias("event_id"),
         F.timestamp_millis("timestamp").alias("ts"),
         F.coalesce(lookup(OBJECTS, F.upper("object")), F.lit("process")).alias("event_type"),
-        F.lower("action").alias("action"),
+        F.coalesce(lookup(ECAR_ACTIONS, F.upper("action")), F.lower("action")).alias("action"),
         F.col("hostname").alias("host"),
         F.col("principal").alias("user_name"),
         "pid",
