@@ -1,36 +1,50 @@
-"""Behaviour graphs: nodes and edges as tables, features and embeddings per graph.
+"""Behaviour graphs: nodes and edges as tables, features per graph by grouping and joins, embeddings per feature vector.
 
-Counting and linking are relational. What needs a whole small graph at once (paths, centralities, spectra) runs
-in numpy per graph; a graph holds at most ``MAX_NODES`` nodes, which prune() guarantees.
+All events of a graph count, however many there are. Only the last step, from one feature vector to one embedding,
+runs in numpy, on vectors of fixed size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from duskwatch.functions.vectors import min_max
+
+from .windows import ESCALATIONS, consecutive, gap_statistics
 
 MAX_NODES = 1000
+WIDTH = 64
 FEATURES = (
-    "node_count edge_count density clustering degree_mean degree_max degree_var diameter radius components largest_component "
-    "degree_centrality_max degree_centrality_mean betweenness_max betweenness_mean eigenvector_max eigenvector_mean "
-    "pagerank_max pagerank_mean closeness_max closeness_mean event_rate gap_mean gap_max gap_var velocity gap_change bursts quiet "
-    "depth triangles squares execution_chains persistence escalation out_degree_mean in_degree_mean"
+    "node_count edge_count density clustering degree_mean degree_max degree_var triangles squares event_rate mean_gap max_gap var_gap mean_change bursts quiet "
+    "persistence escalation out_degree_mean centrality_max centrality_mean"
 ).split()
-WIDTH = 64
+# Actions that raise a node's importance, and by how much; the same for unusual ones.
+RISKY_ACTIONS, RISKY_BONUS, UNUSUAL_BONUS = ("privilege_escalation", "persistence", "exfiltration", "impact"), 10.0, 5.0
+# The first steps of an attack, whose direct succession scores.
+ESCALATION_STEPS = ESCALATIONS[:3]
 
 
-def prune(nodes: DataFrame, edges: DataFrame, by: str, most: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """The ``most`` nodes of each graph with the highest degree, ties by node, and the edges among them."""
-    ends = edges.select(by, F.col("src").alias("node")).unionByName(edges.select(by, F.col("dst").alias("node")))
-    degree = ends.groupBy(by, "node").agg(F.count("*").alias("degree"))
-    w = Window.partitionBy(by).orderBy(F.desc("degree"), "node")
-    ranked = nodes.join(degree, [by, "node"], "left").na.fill(0, ["degree"]).withColumn("__rn", F.row_number().over(w))
-    kept = ranked.filter(F.col("__rn") <= most).drop("__rn", "degree")
-    keys = kept.select(by, "node")
-    inner = edges.join(keys.withColumnRenamed("node", "src"), [by, "src"], "left_semi").join(keys.withColumnRenamed("node", "dst"), [by, "dst"], "left_semi")
-    return kept, inner
+def behaviour_graph(events: DataFrame, by: str, node: str, action: str, ts: str, actor: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (by, node, action, ts) and edges (by, src, dst, kind): each event to the next of its graph, and to the next of its actor.
+
+    An edge that is both is one edge of kind causal. Edges go forward in time, so there are no cycles. Events without a
+    time come first.
+    """
+    nodes = events.select(by, F.col(node).alias("node"), F.col(action).alias("action"), F.col(ts).alias("ts"), *([F.col(actor).alias("actor")] if actor else []))
+    edges = consecutive(nodes, [by], ["ts", "node"], "node", "ts").select(by, "src", "dst", F.lit("temporal").alias("kind"))
+    if actor:
+        causal = consecutive(nodes, [by, "actor"], ["ts", "node"], "node", "ts").select(by, "src", "dst", F.lit("causal").alias("kind"))
+        edges = simple_edges(edges.unionByName(causal), by)
+    return nodes, edges
+
+
+def simple_edges(edges: DataFrame, by: str) -> DataFrame:
+    """Parallel edges as one; causal wins."""
+    return edges.groupBy(by, "src", "dst").agg(F.min("kind").alias("kind"))
 
 
 def degrees(edges: DataFrame, by: str) -> DataFrame:
@@ -41,128 +55,84 @@ def degrees(edges: DataFrame, by: str) -> DataFrame:
     return both.withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
-def triangles(edges: DataFrame, by: str) -> DataFrame:
-    """Triangles of each undirected graph: edges are turned from the smaller to the larger node, then joined twice."""
+def importance(nodes: DataFrame, edges: DataFrame, by: str, unusual: Column | None = None) -> DataFrame:
+    """Nodes with their importance: degree, and bonuses for risky actions and for rows that ``unusual`` picks."""
+    degree = degrees(edges, by).select(by, "node", "degree")
+    bonus = F.when(F.col("action").isin(*RISKY_ACTIONS), F.lit(RISKY_BONUS)).otherwise(F.lit(0.0))
+    bonus = bonus + F.when(unusual, F.lit(UNUSUAL_BONUS)).otherwise(F.lit(0.0)) if unusual is not None else bonus
+    return nodes.join(degree, [by, "node"], "left").withColumn("importance", F.coalesce("degree", F.lit(0)) + bonus).drop("degree")
+
+
+def prune(nodes: DataFrame, edges: DataFrame, by: str, most: int = MAX_NODES, unusual: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` most important nodes of each graph, ties by node, and the edges among them."""
+    w = Window.partitionBy(by).orderBy(F.desc("importance"), "node")
+    kept = importance(nodes, edges, by, unusual).withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= most).drop("__rn")
+    keys = kept.select(by, "node")
+    inner = edges.join(keys.withColumnRenamed("node", "src"), [by, "src"], "left_semi").join(keys.withColumnRenamed("node", "dst"), [by, "dst"], "left_semi")
+    return kept, inner
+
+
+def _triangle_rows(edges: DataFrame, by: str) -> DataFrame:
     e = edges.select(by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
     f, g = e.select(by, F.col("a").alias("b"), F.col("b").alias("c")), e.select(by, "a", F.col("b").alias("c"))
-    return e.join(f, [by, "b"]).join(g, [by, "a", "c"]).groupBy(by).agg(F.count("*").alias("triangles"))
-
-
-def _bfs(adjacency: list[np.ndarray], start: int, n: int) -> np.ndarray:
-    far = np.full(n, -1)
-    far[start], level, d = 0, np.array([start]), 0
-    while len(level):
-        d += 1
-        reached = np.unique(np.concatenate([adjacency[i] for i in level])) if len(level) else level
-        level = reached[far[reached] < 0].astype(int)
-        far[level] = d
-    return far
-
-
-def _betweenness(adjacency: list[np.ndarray], n: int) -> np.ndarray:
-    """Share of shortest directed paths that pass through each node."""
-    score = np.zeros(n)
-    for s in range(n):
-        far, paths, order = np.full(n, -1), np.zeros(n), [s]
-        before: list[list[int]] = [[] for _ in range(n)]
-        far[s], paths[s] = 0, 1
-        for v in order:
-            for w in adjacency[v]:
-                if far[w] < 0:
-                    far[w] = far[v] + 1
-                    order.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        owed = np.zeros(n)
-        for w in reversed(order[1:]):
-            for v in before[w]:
-                owed[v] += paths[v] / paths[w] * (1 + owed[w])
-            score[w] += owed[w]
-    return score / ((n - 1) * (n - 2)) if n > 2 else score
-
-
-def _power(matrix: np.ndarray, steps: int = 100) -> np.ndarray:
-    v = np.full(len(matrix), 1 / np.sqrt(len(matrix)))
-    for _ in range(steps):
-        nxt = matrix @ v + v
-        size = np.linalg.norm(nxt)
-        if size == 0:
-            return v
-        nxt /= size
-        if np.abs(nxt - v).max() < 1e-9:
-            return nxt
-        v = nxt
-    return v
-
-
-def graph_features(nodes: pd.DataFrame, edges: list[tuple[int, int]]) -> np.ndarray:
-    """The named features of one graph, zero-padded to ``WIDTH`` and scaled to 0..1 within the vector.
-
-    ``nodes`` has action and seconds in order of time; ``edges`` are pairs of positions.
-    """
-    n, seconds, actions = len(nodes), nodes["seconds"].to_numpy(float), nodes["action"].tolist()
-    links = sorted(set(edges))
-    m = len(links)
-    out_adj = [np.array(sorted({b for a, b in links if a == i}), int) for i in range(n)]
-    both_sets = [{b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(n)]
-    both = [np.array(sorted(s - {i}), int) for i, s in enumerate(both_sets)]
-    degree = np.array([sum((a == i) + (b == i) for a, b in links) for i in range(n)], float)
-    far = np.array([_bfs(both, i, n) for i in range(n)])
-    connected = (far >= 0).all()
-    parts = len({tuple(np.flatnonzero(row >= 0)) for row in far})
-    largest = int((far >= 0).sum(1).max())
-    tri = [sum(1 for x in both[i] for y in both[i] if x < y and y in both_sets[x]) for i in range(n)]
-    clustering = [2 * t / (len(b) * (len(b) - 1)) if len(b) > 1 else 0.0 for t, b in zip(tri, both)]
-    eccentric = np.where(far >= 0, far, 0).max(1)
-    matrix = np.zeros((n, n))
-    for a, b in links:
-        matrix[a, b] = 1
-    eigen = np.abs(_power(matrix.T))
-    rank = np.full(n, 1 / n)
-    outs = matrix.sum(1)
-    for _ in range(100):
-        dangling = rank[outs == 0].sum() / n
-        nxt = 0.15 / n + 0.85 * (matrix.T @ np.divide(rank, outs, out=np.zeros(n), where=outs > 0) + dangling)
-        done = np.abs(nxt - rank).sum() < 1e-9
-        rank = nxt
-        if done:
-            break
-    into_adj = [np.array(sorted({a for a, b in links if b == i}), int) for i in range(n)]
-    away = np.array([_bfs(into_adj, i, n) for i in range(n)])
-    near = np.array([((row > 0).sum() / row[row > 0].sum()) * ((row > 0).sum() / (n - 1)) if (row > 0).any() else 0.0 for row in away])
-    between = _betweenness(out_adj, n)
-    central = degree / (n - 1) if n > 1 else degree
-    gaps = np.diff(seconds)
-    span = float(seconds[-1] - seconds[0]) if n > 1 else 0.0
-    change = np.abs(np.diff(gaps)).mean() if len(gaps) > 1 else 0.0
-    rate = n / max(span, 1.0)
-    timing = [rate, gaps.mean(), gaps.max(), gaps.var(), rate, change, (gaps < 5).sum(), (gaps > 300).sum()] if len(gaps) else [0.0] * 8
-    reach = np.array([_bfs(out_adj, i, n) for i in range(n)])
-    sources = [i for i in range(n) if not len(into_adj[i])]
-    common = [len(both_sets[a] & both_sets[b]) for a, b in links]
-    runs = [i for i, a in enumerate(actions) if a == "execution"]
-    from .windows import ESCALATIONS
-
-    behaviour = [
-        max((reach[i].max() for i in sources), default=0),
-        sum(tri) / 3,
-        sum(c * (c - 1) / 2 for c in common),
-        sum(1 for i in runs for j in runs if i != j and reach[i][j] > 0),
-        sum(1 + 0.1 * len(out_adj[i]) for i, a in enumerate(actions) if a == "persistence"),
-        sum(2 for a, b in links if (actions[a], actions[b]) in ESCALATIONS),
-        m / n,
-        m / n,
-    ]
-    values = [
-        n, m, m / (n * (n - 1)) if n > 1 else 0.0, float(np.mean(clustering)), degree.mean(), degree.max(), degree.var(),
-        eccentric.max() if connected else 0, eccentric.min() if connected else 0, parts, largest,
-        central.max(), central.mean(), between.max(), between.mean(), eigen.max(), eigen.mean(), rank.max(), rank.mean(), near.max(), near.mean(),
-        *timing, *behaviour,
-    ]
-    vector = np.nan_to_num(np.array(values + [0.0] * (WIDTH - len(values)), float))
-    low, high = vector.min(), vector.max()
-    return (vector - low) / (high - low) if high > low else np.zeros(WIDTH)
+    return e.join(f, [by, "b"]).join(g, [by, "a", "c"]).select(by, "a", "b", "c")
+
+
+def triangles(edges: DataFrame, by: str) -> DataFrame:
+    """Triangles of each undirected graph: edges are turned from the smaller to the larger node, then joined twice."""
+    return _triangle_rows(edges, by).groupBy(by).agg(F.count("*").alias("triangles"))
+
+
+def squares(edges: DataFrame, by: str) -> DataFrame:
+    """Of each graph the pairs of common neighbours of the ends of an edge, summed over its undirected edges."""
+    pair = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    common = _triangle_rows(edges, by).select(by, F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("edge")).groupBy(by, "edge").agg(F.count("*").alias("n"))
+    return common.groupBy(by).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("squares"))
+
+
+def clustering(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """Mean local clustering of each graph; nodes with fewer than two neighbours count as 0."""
+    around = edges.filter("src <> dst").select(by, F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("e"))
+    size = around.select(by, "e.node", "e.other").distinct().groupBy(by, "node").agg(F.count("*").alias("k"))
+    held = _triangle_rows(edges, by).select(by, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("t"))
+    local = held.join(size, [by, "node"]).groupBy(by).agg(F.sum(2 * F.col("t") / (F.col("k") * (F.col("k") - 1))).alias("total"))
+    return nodes.groupBy(by).agg(F.count("*").alias("n")).join(local, by, "left").select(by, (F.coalesce("total", F.lit(0.0)) / F.col("n")).alias("clustering"))
+
+
+def escalations(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """Of each graph 2 for every edge from one step of an attack to the next."""
+    end = lambda side: nodes.select(by, F.col("node").alias(side), F.col("action").alias(f"{side}_action"))
+    steps = F.lit(False)
+    for x, y in ESCALATION_STEPS:
+        steps = steps | ((F.col("src_action") == x) & (F.col("dst_action") == y))
+    return edges.join(end("src"), [by, "src"]).join(end("dst"), [by, "dst"]).filter(steps).groupBy(by).agg(F.sum(F.lit(2.0)).alias("escalation"))
+
+
+def graph_features(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """One row per graph with the named features; what a graph lacks is 0."""
+    per_node = nodes.join(degrees(edges, by), [by, "node"], "left").fillna(0, ["degree", "out_degree", "in_degree"])
+    n = F.col("node_count")
+    base = per_node.groupBy(by).agg(
+        F.count("*").alias("node_count"), (F.sum("degree") / 2).alias("edge_count"), F.avg("degree").alias("degree_mean"), F.max("degree").cast("double").alias("degree_max"),
+        F.var_pop("degree").alias("degree_var"), F.avg("out_degree").alias("out_degree_mean"), F.sum(F.when(F.col("action") == "persistence", 1 + 0.1 * F.col("out_degree")).otherwise(0.0)).alias("persistence"),
+        ((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6).alias("span"),
+    )
+    timing = gap_statistics(nodes, [by], ["ts", "node"], "ts").drop("n_events")
+    out = base
+    for part in (timing, triangles(edges, by), squares(edges, by), clustering(nodes, edges, by), escalations(nodes, edges, by)):
+        out = out.join(part, by, "left")
+    several = n > 1
+    out = out.withColumns({
+        "density": F.when(several, F.col("edge_count") / (n * (n - 1))), "event_rate": n / F.greatest(F.col("span"), F.lit(1.0)),
+        "centrality_max": F.when(several, F.col("degree_max") / (n - 1)), "centrality_mean": F.when(several, F.col("degree_mean") / (n - 1)),
+    })
+    return out.select(by, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
+
+
+def feature_vector(features: DataFrame, by: str, width: int = WIDTH) -> DataFrame:
+    """(by, n_nodes, features): the named features, padded with zeros to ``width`` and scaled to 0..1 within the vector."""
+    padded = F.concat(F.array(*FEATURES), F.array_repeat(F.lit(0.0), width - len(FEATURES)))
+    return features.select(by, F.col("node_count").cast("long").alias("n_nodes"), min_max(padded).alias("features"))
 
 
 def spectral_embedding(features: np.ndarray) -> np.ndarray:
@@ -194,31 +164,13 @@ def spectral_embedding(features: np.ndarray) -> np.ndarray:
     return whole / size if size else np.full(len(whole), 1 / np.sqrt(len(whole)))
 
 
-def gcn_embedding(node_features: np.ndarray, adjacency: np.ndarray, width: int = 128, seed: int = 42) -> np.ndarray:
-    """Two graph-convolution layers with fixed random weights, mean and max pooling, projected to a unit vector."""
-    rng = np.random.RandomState(seed)
-    a = adjacency + np.eye(len(adjacency))
-    d = 1 / np.sqrt(a.sum(1))
-    a = a * d[:, None] * d[None]
-    w1, w2 = rng.randn(node_features.shape[1], 32) * 0.1, rng.randn(32, 64) * 0.1
-    h = np.maximum(a @ np.maximum(a @ node_features @ w1, 0) @ w2, 0)
-    pooled = np.concatenate([h.mean(0), h.max(0)]) @ (rng.randn(128, width) * 0.1)
-    size = np.linalg.norm(pooled)
-    return pooled / size if size else np.full(width, 1 / np.sqrt(width))
-
-
-def embed_graphs(events: DataFrame, by: str, node: str, action: str, ts: str, most: int = MAX_NODES) -> DataFrame:
-    """(graph, n_nodes, features, embedding) of each graph whose edges join events in order of time.
-
-    Graphs of more than ``most`` events keep the first ones; each graph is one bounded group.
-    """
-    w = Window.partitionBy(by).orderBy(ts, node)
-    rows = events.select(F.col(by).cast("string").alias("graph"), F.col(by), F.col(node), F.col(action).alias("action"), F.col(ts), F.row_number().over(w).alias("seq"))
-    rows = rows.filter(F.col("seq") <= most).select("graph", "seq", "action", (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("seconds"))
+@F.pandas_udf(ArrayType(DoubleType()))
+def spectral(features: pd.Series) -> pd.Series:
+    return pd.Series([spectral_embedding(np.asarray(f)) for f in features])
 
-    def embed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        f = graph_features(frame, [(i, i + 1) for i in range(len(frame) - 1)])
-        return pd.DataFrame({"graph": [frame["graph"].iloc[0]], "n_nodes": [len(frame)], "features": [f.tolist()], "embedding": [spectral_embedding(f).tolist()]})
 
-    return rows.groupBy("graph").applyInPandas(embed, "graph string, n_nodes long, features array<double>, embedding array<double>")
+def embed_graphs(events: DataFrame, by: str, node: str, action: str, ts: str, actor: str | None = None) -> DataFrame:
+    """(graph, n_nodes, features, embedding) of each graph of events."""
+    nodes, edges = behaviour_graph(events, by, node, action, ts, actor)
+    vectors = feature_vector(graph_features(nodes, edges, by), by)
+    return vectors.select(F.col(by).cast("string").alias("graph"), "n_nodes", "features", spectral("features").alias("embedding"))

@@ -13,7 +13,7 @@ from duskwatch.operators import graphs
 from .registry import register
 from .telemetry import telemetry
 
-#: At most so many known patterns are compared with every graph at once.
+#: Up to so many known patterns are broadcast to the graphs.
 MAX_PATTERNS = 2_000
 
 
@@ -21,13 +21,13 @@ def analyse(events: DataFrame, patterns: DataFrame, by: str) -> DataFrame:
     """Redact, build graphs, embed, compare with known patterns (name, threat, embedding), score.
 
     One row per graph: best pattern, similarity, novelty, confidence, risk and level. The patterns are a
-    size-checked table; events shuffle once, by graph.
+    table that is broadcast if it is small.
     """
-    if patterns.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns; compare them in blocks")
     clean = events.withColumn("command", redact(F.col("command")))
-    embedded = graphs.embed_graphs(clean, by, "event_id", "event_type", "ts")
-    known = F.broadcast(patterns.select("name", "threat", F.col("embedding").alias("__p")))
+    embedded = graphs.embed_graphs(clean, by, "event_id", "event_type", "ts", "pid")
+    known = patterns.select("name", "threat", F.col("embedding").alias("__p"))
+    if known.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS:
+        known = F.broadcast(known)
     scored = embedded.crossJoin(known).withColumn("sim", V.bsf(F.col("embedding"), F.col("__p")))
     best = scored.groupBy("graph").agg(
         F.max("n_nodes").alias("n_nodes"),
@@ -49,5 +49,5 @@ def behaviour_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).withColumn("graph_id", F.concat_ws(":", "host", F.to_date("ts")))
     first = t.filter("ts < timestamp_ntz '2024-01-03 00:00:00'")
     kinds = F.when(F.hash("graph") % 3 == 0, "APT").when(F.hash("graph") % 3 == 1, "Malware").otherwise("Benign")
-    known = graphs.embed_graphs(first, "graph_id", "event_id", "event_type", "ts").select(F.col("graph").alias("name"), kinds.alias("threat"), "embedding")
+    known = graphs.embed_graphs(first, "graph_id", "event_id", "event_type", "ts", "pid").select(F.col("graph").alias("name"), kinds.alias("threat"), "embedding")
     return analyse(t.filter("ts >= timestamp_ntz '2024-01-03 00:00:00'"), known, "graph_id")

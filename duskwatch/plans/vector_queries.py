@@ -12,7 +12,7 @@ from duskwatch.functions import vectors as V
 from duskwatch.operators import graphs, similarity, windows
 
 from .registry import register
-from .telemetry import telemetry
+from .telemetry import TELEMETRY, telemetry
 
 _QUERY = "vec_id % 50 = 0"
 _D = "CAST({} AS DOUBLE[])"
@@ -221,10 +221,60 @@ def local_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vector and embedding of each host-and-day graph."""
     t = telemetry(spark, sf_dir).withColumn("graph_id", F.concat_ws(":", "host", F.to_date("ts")))
-    g = graphs.embed_graphs(t, "graph_id", "event_id", "event_type", "ts")
+    g = graphs.embed_graphs(t, "graph_id", "event_id", "event_type", "ts", "pid")
     return g.select("graph", "n_nodes", F.round(F.get("features", 0), 6).alias("first_feature"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
+_TACTIC = "CASE event_type WHEN 'authentication' THEN 'initial_access' WHEN 'powershell' THEN 'privilege_escalation' WHEN 'process' THEN 'persistence' WHEN 'file' THEN 'discovery' ELSE 'exfiltration' END"
+_GRAPH = f"""
+    t AS (SELECT concat(host, ':', CAST(ts AS DATE)) AS g, event_id, ts, pid, {_TACTIC} AS action FROM telemetry),
+    w AS (SELECT g, event_id AS src, lead(event_id) OVER (PARTITION BY g ORDER BY ts, event_id) AS dst FROM t UNION SELECT g, event_id, lead(event_id) OVER (PARTITION BY g, pid ORDER BY ts, event_id) FROM t),
+    d AS (SELECT DISTINCT g, src, dst FROM w WHERE dst IS NOT NULL), k AS (SELECT g, node, count(*) AS degree FROM (SELECT g, src AS node FROM d UNION ALL SELECT g, dst FROM d) GROUP BY ALL)
+"""
+
+
+def _host_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = telemetry(spark, sf_dir).select(F.concat_ws(":", "host", F.to_date("ts")).alias("g"), "event_id", "ts", "pid", F.expr(_TACTIC).alias("action"))
+    return graphs.behaviour_graph(t, "g", "event_id", "action", "ts", "pid")
+
+
+@register(
+    "graph_profiles",
+    f"""
+    WITH {TELEMETRY}, {_GRAPH}, n AS (SELECT g, count(*) AS node_count FROM t GROUP BY g), m AS (SELECT g, count(*) AS edge_count FROM d GROUP BY g),
+    x AS (SELECT d1.g, d1.src AS a, d1.dst AS b, d2.dst AS c FROM d d1 JOIN d d2 ON d1.g = d2.g AND d1.dst = d2.src JOIN d d3 ON d3.g = d1.g AND d3.src = d1.src AND d3.dst = d2.dst),
+    tr AS (SELECT g, count(*) AS triangles FROM x GROUP BY g),
+    ed AS (SELECT g, a, b, count(*) AS c FROM (SELECT g, a, b FROM x UNION ALL SELECT g, a, c FROM x UNION ALL SELECT g, b, c FROM x) GROUP BY ALL), sq AS (SELECT g, sum(c * (c - 1) / 2) AS squares FROM ed GROUP BY g),
+    tn AS (SELECT g, node, count(*) AS t FROM (SELECT g, a AS node FROM x UNION ALL SELECT g, b FROM x UNION ALL SELECT g, c FROM x) GROUP BY ALL), cl AS (SELECT g, sum(2 * t / (degree * (degree - 1))) AS total FROM tn JOIN k USING (g, node) GROUP BY g),
+    es AS (SELECT d.g, count(*) * 2.0e0 AS escalation FROM d JOIN t p ON p.g = d.g AND p.event_id = d.src JOIN t q ON q.g = d.g AND q.event_id = d.dst
+      WHERE (p.action, q.action) IN (('initial_access', 'privilege_escalation'), ('privilege_escalation', 'persistence'), ('persistence', 'discovery')) GROUP BY 1),
+    dg AS (SELECT g, max(degree) AS degree_max FROM k GROUP BY g)
+    SELECT n.g, CAST(node_count AS DOUBLE) AS node_count, coalesce(edge_count, 0.0e0) AS edge_count, round(coalesce(edge_count / (node_count * (node_count - 1)), 0), 9) AS density, coalesce(degree_max, 0.0e0) AS degree_max,
+      coalesce(triangles, 0.0e0) AS triangles, coalesce(squares, 0.0e0) AS squares, round(coalesce(total, 0) / node_count, 9) AS clustering, coalesce(escalation, 0.0e0) AS escalation
+    FROM n LEFT JOIN m USING (g) LEFT JOIN tr USING (g) LEFT JOIN sq USING (g) LEFT JOIN cl USING (g) LEFT JOIN es USING (g) LEFT JOIN dg USING (g)
+    """,
+)
+def graph_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each host-and-day graph, all events counted."""
+    f = graphs.graph_features(*_host_graph(spark, sf_dir), "g")
+    return f.select("g", "node_count", "edge_count", F.round("density", 9).alias("density"), "degree_max", "triangles", "squares", F.round("clustering", 9).alias("clustering"), "escalation")
+
+
+@register(
+    "pruned_graphs",
+    f"""
+    WITH {TELEMETRY}, {_GRAPH}, i AS (SELECT t.g, t.event_id AS node, coalesce(degree, 0) + CASE WHEN action IN ('privilege_escalation', 'persistence', 'exfiltration', 'impact') THEN 10.0e0 ELSE 0 END
+      + CASE WHEN pid % 13 = 0 THEN 5.0e0 ELSE 0 END AS importance FROM t LEFT JOIN k ON k.g = t.g AND k.node = t.event_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY importance DESC, node) AS rank FROM i), p AS (SELECT * FROM r WHERE rank <= 8)
+    SELECT g, count(*) AS nodes, sum(importance) AS importance, min(node) AS first, (SELECT count(*) FROM d JOIN p a ON a.g = d.g AND a.node = d.src JOIN p b ON b.g = d.g AND b.node = d.dst WHERE d.g = p.g) AS edges FROM p GROUP BY g
+    """,
+)
+def pruned_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graphs.prune(*_host_graph(spark, sf_dir), "g", 8, F.col("actor") % 13 == 0)
+    kept = nodes.groupBy("g").agg(F.count("*").alias("nodes"), F.sum("importance").alias("importance"), F.min("node").alias("first"))
+    return kept.join(edges.groupBy("g").agg(F.count("*").alias("edges")), "g", "left").fillna(0, ["edges"])
+
+
 _EDGES = """
     e AS (SELECT user_id % 20 AS g, event_type || ':' || (event_id % 9) AS node, ts, event_id FROM events),
     c AS (SELECT g, node AS src, lead(node) OVER (PARTITION BY g ORDER BY ts, event_id) AS dst FROM e), d AS (SELECT DISTINCT g, src, dst FROM c WHERE dst IS NOT NULL)

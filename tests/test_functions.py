@@ -71,13 +71,17 @@ def test_dbscan(spark):
     assert [got[i] for i in (0, 9, 10, 19, 20, 29, 99)] == [0, 0, 10, 10, 20, 20, None]
 
 
-def test_graph_features():
-    nodes = pd.DataFrame({"action": ["execution", "persistence", "execution"], "seconds": [0.0, 2.0, 400.0]})
-    f = graphs.graph_features(nodes, [(0, 1), (1, 2), (0, 2)])
-    assert len(f) == graphs.WIDTH and f.min() == 0 and f.max() == 1
-    e = graphs.spectral_embedding(f)
-    assert len(e) == 128 and np.linalg.norm(e) == pytest.approx(1)
-    assert np.linalg.norm(graphs.gcn_embedding(np.eye(3, 16), np.ones((3, 3)))) == pytest.approx(1)
+def test_graph_features(spark):
+    events = spark.createDataFrame([("g", 1, "execution", 0.0, 7), ("g", 2, "persistence", 2.0, 8), ("g", 3, "execution", 400.0, 7), ("h", 4, "x", 5.0, 1)], "g string, id long, action string, s double, pid long")
+    events = events.withColumn("ts", F.timestamp_seconds("s"))
+    f = {r["g"]: r for r in graphs.graph_features(*graphs.behaviour_graph(events, "g", "id", "action", "ts", "pid"), "g").collect()}
+    assert (f["g"].node_count, f["g"].edge_count, f["g"].triangles, f["g"].clustering, f["g"].persistence) == (3, 3, 1, 1, 1.1)
+    assert (f["h"].node_count, f["h"].edge_count, f["h"].density, f["h"].mean_gap) == (1, 0, 0, 0)
+    for r in graphs.embed_graphs(events, "g", "id", "action", "ts", "pid").collect():
+        assert len(r.features) == graphs.WIDTH and min(r.features) == 0 and max(r.features) == 1
+        assert len(r.embedding) == 96 + 32 and np.linalg.norm(r.embedding) == pytest.approx(1)
+        assert r.embedding == pytest.approx(graphs.spectral_embedding(np.array(r.features)).tolist())
+    assert graphs.embed_graphs(events.limit(0), "g", "id", "action", "ts").count() == 0
 
 
 def test_dedupe_window(spark):
