@@ -1,10 +1,15 @@
-"""Similarity search over vectors. Queries are a small, size-checked set; rows stay distributed."""
+"""Similarity search over vectors.
+
+Queries go to every task in blocks of at most ``MAX_QUERIES``, one pass over the rows for each block; rows stay
+distributed. A task compares an Arrow batch of rows with a block by matrix products and hands on what is asked for only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,37 +17,108 @@ from duskwatch.functions import vectors as V
 
 #: At most so many query vectors go to every task at once.
 MAX_QUERIES = 5_000
-MEASURES: dict[str, Callable[[Column, Column], Column]] = {
-    "cosine": lambda a, b: 1 - V.cosine(a, b),
-    "euclidean": V.euclidean,
-    "manhattan": V.manhattan,
-    "behavioural": lambda a, b: 1 - V.bsf(a, b, V.BSF_SLICES_64),
+#: Numbers of a matrix of distances that a task holds at once.
+_CELLS = 1 << 22
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.clip(_unit(a) @ _unit(b).T, -1, 1)
+
+
+def _both_nonzero(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.any(a, axis=1)[:, None] & np.any(b, axis=1)[None]
+
+
+def _behavioural(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(a), len(b)))
+    for name, ranges in V.BSF_SLICES_64.items():
+        x, y = (np.concatenate([m[:, i:j] for i, j in ranges], axis=1) for m in (a, b))
+        total += V.BSF_WEIGHTS[name] * np.where(_both_nonzero(x, y), (_cosine(x, y) + 1) / 2, 0.0)
+    return np.where(_both_nonzero(a, b), np.clip(total, 0, 1), 0.0)
+
+
+def _by_query(one: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda a, b: np.stack([one(a - x) for x in b], axis=1) if len(b) else np.empty((len(a), 0))
+
+
+MEASURES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "cosine": lambda a, b: 1 - _cosine(a, b),
+    "euclidean": _by_query(lambda d: np.sqrt((d * d).sum(axis=1))),
+    "manhattan": _by_query(lambda d: np.abs(d).sum(axis=1)),
+    "behavioural": lambda a, b: 1 - _behavioural(a, b),
 }
 
 
+def _blocks(queries: DataFrame, key: str) -> Iterator[DataFrame]:
+    """The queries in blocks of about half of ``MAX_QUERIES``, split by a hash of the key; one block if they are few."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        yield queries
+        return
+    n = 2 * -(-n // MAX_QUERIES)
+    for i in range(n):
+        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
 def _small(queries: DataFrame) -> DataFrame:
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; split them into blocks")
-    return F.broadcast(queries)
+    """Broadcast if the queries are few, else left to Spark."""
+    return F.broadcast(queries) if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else queries
+
+
+def _compared(rows: DataFrame, queries: DataFrame, key: str, vector: str, measure: str, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(query, key, distance) where ``keep(distances)`` says so, pairs with itself left out; null vectors have no pairs."""
+    kind = rows.schema[key].dataType.simpleString()
+    base = rows.filter(F.col(vector).isNotNull()).select(F.col(key), V.doubles(F.col(vector)).alias("v"))
+    out = None
+    for block in _blocks(queries.filter(F.col(vector).isNotNull()), key):
+        table = block.select(F.col(key), V.doubles(F.col(vector)).alias("v")).toArrow()
+        asked = table.column(0).to_numpy()
+        matrix = np.array(table.column(1).to_pylist(), float).reshape(len(asked), -1)
+        shared = rows.sparkSession.sparkContext.broadcast((asked, matrix))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, matrix = shared.value
+            step = max(1, _CELLS // max(1, len(asked)))
+            for batch in batches:
+                for at in range(0, len(batch) if len(asked) else 0, step):
+                    part = batch.slice(at, step)
+                    keys = part.column(0).to_numpy()
+                    own = part.column(1).flatten().to_numpy().reshape(len(part), -1)
+                    far = MEASURES[measure](own, matrix)
+                    far[keys[:, None] == asked[None]] = np.nan
+                    i, j = np.nonzero(keep(far) & ~np.isnan(far))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[j]), pa.array(keys[i]), pa.array(far[i, j])], names=["query", key, "distance"])
+
+        found = base.mapInArrow(compare, f"query {kind}, `{key}` {kind}, distance double")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def distances(rows: DataFrame, queries: DataFrame, key: str, vector: str, measure: str = "cosine") -> DataFrame:
-    """(query, key, distance) of every row to every query of a size-checked set, pairs with itself left out."""
-    q = _small(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")))
-    pairs = rows.select(key, vector).crossJoin(q).filter(F.col(key) != F.col("query"))
-    return pairs.select("query", key, MEASURES[measure](V.doubles(F.col("__q")), V.doubles(F.col(vector))).alias("distance"))
+    """(query, key, distance) of every row to every query, pairs with itself left out. Keys are integers."""
+    return _compared(rows, queries, key, vector, measure, lambda far: np.ones(far.shape, bool))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, measure: str = "cosine") -> DataFrame:
-    """The k nearest rows of each query, ties by key; each task keeps k per query before the shuffle."""
+    """The k nearest rows of each query, ties by key; each batch keeps k per query, and equals of the last, before the shuffle."""
+
+    def keep(far: np.ndarray) -> np.ndarray:
+        filled = np.where(np.isnan(far), np.inf, far)
+        return filled <= np.partition(filled, k - 1, axis=0)[k - 1] if len(filled) > k else np.ones(far.shape, bool)
+
     w = Window.partitionBy("query").orderBy("distance", key)
-    return distances(rows, queries, key, vector, measure).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _compared(rows, queries, key, vector, measure, keep).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def at_least(rows: DataFrame, queries: DataFrame, key: str, vector: str, similarity: float) -> DataFrame:
     """Pairs with a raw cosine of at least ``similarity``."""
-    return distances(rows, queries, key, vector).select("query", key, (1 - F.col("distance")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    close = _compared(rows, queries, key, vector, "cosine", lambda far: far <= 1 - similarity + 1e-12)
+    return close.select("query", key, (1 - F.col("distance")).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def best_signature(rows: DataFrame, signatures: DataFrame, key: str, vector: str, name: str, above: float) -> DataFrame:

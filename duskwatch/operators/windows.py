@@ -83,10 +83,16 @@ def first_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataF
 def dedupe_within(df: DataFrame, key: list[str], ts: str, order: list[str], seconds: float) -> DataFrame:
     """One row per key and window of ``seconds`` that opens at its first event: first_ts, repeats.
 
-    A window closes a fixed time after its first event, so a fold in order of time finds the openings; the fold
-    is over the sorted times of one key.
+    A window closes a fixed time after its first event, so a fold in order of time finds the openings. An event that
+    long after the one before always opens a window, so keys are cut there first, and a fold is over the times between
+    two such pauses only. Rows without a time are left out.
     """
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    in_time = Window.partitionBy(*key).orderBy("__t")
+    pause = (F.col("__t") - F.lag("__t").over(in_time) >= int(seconds * 1_000_000)).cast("long")
+    df = df.filter(F.col(ts).isNotNull()).select(*key, micros.alias("__t")).withColumn("__p", F.coalesce(pause, F.lit(0)))
+    df = df.withColumn("__run", F.sum("__p").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    times = F.array_sort(F.collect_list("__t"))
     zero = F.array().cast("array<struct<first:bigint,n:bigint>>")
     width = int(seconds * 1_000_000)
 
@@ -96,7 +102,7 @@ def dedupe_within(df: DataFrame, key: list[str], ts: str, order: list[str], seco
         more = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n")))
         return F.when(F.size(acc) == 0, fresh).when(t - last["first"] >= width, fresh).otherwise(more)
 
-    grouped = df.filter(F.col(ts).isNotNull()).groupBy(*key).agg(F.aggregate(times, zero, step).alias("w"))
+    grouped = df.groupBy(*key, "__run").agg(F.aggregate(times, zero, step).alias("w"))
     opened = grouped.select(*key, F.explode("w").alias("w"))
     return opened.select(*key, F.timestamp_micros("w.first").cast("timestamp_ntz").alias("first_ts"), F.col("w.n").alias("repeats"))
 

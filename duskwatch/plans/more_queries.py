@@ -74,14 +74,14 @@ def similar_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "relationship_graph",
     """
-    WITH e AS (SELECT c_custkey AS root, 'orders' AS kind, CAST(o_orderkey AS VARCHAR) AS target FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 100 = 0
-      UNION ALL SELECT c_custkey, 'nation', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 100 = 0
-      UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer WHERE c_custkey % 100 = 0)
+    WITH e AS (SELECT c_custkey AS root, 'orders' AS kind, CAST(o_orderkey AS VARCHAR) AS target FROM customer JOIN orders ON c_custkey = o_custkey
+      UNION ALL SELECT c_custkey, 'nation', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer)
     SELECT root, kind, target FROM e
     """,
 )
 def relationship_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").filter("c_custkey % 100 = 0")
+    c = _t(spark, sf_dir, "customer")
     o = c.join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("root"), F.lit("orders").alias("kind"), F.col("o_orderkey").cast("string").alias("target"))
     n = c.join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("root"), F.lit("nation").alias("kind"), F.col("n_name").alias("target"))
     s = c.select(F.col("c_custkey").alias("root"), F.lit("segment").alias("kind"), F.col("c_mktsegment").alias("target"))
@@ -141,10 +141,18 @@ def setting_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("error", sinks.setting_error(F.col("key"), F.col("value"))).groupBy("key", "value", "error").agg(F.count("*").alias("n"))
 
 
-@register("rule_texts")
+@register(
+    "rule_texts",
+    """
+    SELECT p_partkey, concat('title: ', p_name, chr(10), 'logsource:', chr(10), '  category: process_creation', chr(10), 'detection:', chr(10), '  selection:', chr(10), '    CommandLine|contains: ', chr(39), p_brand, chr(39), chr(10),
+        '  condition: selection', chr(10), 'level: high', chr(10)) AS sigma,
+      concat('rule ', regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g'), ' {', chr(10), '  strings:', chr(10), array_to_string(list_transform(string_split(p_name, ' '), lambda s, i: concat('    $s', i - 1, ' = "', s, '"')), chr(10)), chr(10),
+        '  condition:', chr(10), '    any of them', chr(10), '}', chr(10)) AS yara
+    FROM part
+    """,
+)
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _t(spark, sf_dir, "part").orderBy("p_partkey").limit(20)
-    return top.select("p_partkey", sinks.sigma_rule(F.col("p_name"), F.col("p_brand"), F.lit("high")).alias("sigma"), sinks.yara_rule(F.col("p_name"), F.split("p_name", " ")).alias("yara"))
+    return _t(spark, sf_dir, "part").select("p_partkey", sinks.sigma_rule(F.col("p_name"), F.col("p_brand"), F.lit("high")).alias("sigma"), sinks.yara_rule(F.col("p_name"), F.split("p_name", " ")).alias("yara"))
 
 
 @register("event_summaries", f"WITH {TELEMETRY} SELECT event_id, concat('type=', event_type, ', pid=', pid, ', src=', src_ip) AS summary FROM telemetry")

@@ -175,15 +175,14 @@ def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "campaign_timeline",
     """
-    WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey)[1:5] AS ids FROM orders GROUP BY 1), e AS (SELECT o_custkey, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM c)
-    SELECT e.o_custkey, CAST(e.pos AS INT) AS pos, o.o_orderkey, o.o_totalprice FROM e JOIN orders o ON o.o_orderkey = e.id
+    SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS pos, o_orderkey, o_totalprice FROM orders
     """,
 )
 def campaign_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence of each campaign in list order, each looked up in the table of events."""
     orders = _t(spark, sf_dir, "orders")
-    ids = windows.first_n(orders.select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], 5)
-    lists = ids.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    asked = lists.select("o_custkey", F.posexplode("ids").alias("pos", "id"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    asked = orders.select("o_custkey", F.col("o_orderkey").alias("id"), place.alias("pos"))
     return asked.join(orders.select("o_orderkey", "o_totalprice"), F.col("id") == F.col("o_orderkey")).select("o_custkey", "pos", "o_orderkey", "o_totalprice")
 
 
@@ -350,14 +349,15 @@ def benchmark_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "sequence_jaccard",
     """
-    WITH g AS (SELECT user_id, list_distinct(list(event_type)) AS t FROM events WHERE event_id % 7 = 0 GROUP BY 1), h AS (SELECT user_id, list_distinct(list(event_type)) AS t FROM events WHERE event_id % 7 = 1 GROUP BY 1)
-    SELECT g.user_id, len(list_intersect(g.t, h.t)) / len(list_distinct(list_concat(g.t, h.t))) AS similarity FROM g JOIN h ON g.user_id = h.user_id
+    WITH g AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (WHERE event_id % 2 = 0 AND value < 20), []) AS a, coalesce(list(DISTINCT event_type) FILTER (WHERE event_id % 2 = 1 OR value >= 20), []) AS b FROM events GROUP BY 1)
+    SELECT user_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity FROM g
     """,
 )
 def sequence_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
-    part = lambda i, n: e.filter(F.col("event_id") % 7 == i).groupBy("user_id").agg(F.collect_set("event_type").alias(n))
-    return part(0, "a").join(part(1, "b"), "user_id").select("user_id", jaccard(F.col("a"), F.col("b")).alias("similarity"))
+    """Every event of a user is in one of two sequences; an empty one gives 0."""
+    first = (F.col("event_id") % 2 == 0) & (F.col("value") < 20)
+    sets = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(first, F.col("event_type"))).alias("a"), F.collect_set(F.when(~first, F.col("event_type"))).alias("b"))
+    return sets.select("user_id", jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @register(

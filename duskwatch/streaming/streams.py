@@ -60,10 +60,25 @@ def split_late(stream: DataFrame, ts: str, late: str, sink: Callable[[DataFrame,
 
 
 def run_to_end(query_df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end and return what it put out."""
+    """Run a bounded stream to its end, write what it puts out as Parquet to the shared folder, and read that.
+
+    In complete mode every batch writes the whole result to a folder of its own; the newest is the result.
+    """
     spark = query_df.sparkSession
-    name = f"s{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    q = query_df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    last = {"path": None}
+
+    def write(batch: DataFrame, number: int) -> None:
+        last["path"] = f"{path}/result-{number}"
+        batch.write.mode("overwrite").parquet(last["path"])
+
+    writer = query_df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/result").start().awaitTermination()
+        return spark.read.schema(query_df.schema).parquet(f"{path}/result")
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(last["path"]) if last["path"] else spark.createDataFrame([], query_df.schema)
