@@ -14,7 +14,8 @@ most min(a - i, b - j) in common, and a similarity of s takes s / (1 + s) * (a +
 shingle within the first (1 - s) * size + 1 of each, where this bound holds. Only shingles that several documents
 hold there go on. Pairs of one group are never formed: in each of ``STAR_TURNS`` turns a shingle pairs one document of each
 group with one of its largest group, which joins groups of copies by a number of pairs in proportion to their
-documents; the pairs of documents that are in different groups even then are all compared.
+documents; the pairs of documents that are in different groups even then are all compared. Before such a pair is formed, the
+counts of its shingles by ``BUCKETS`` buckets bound what the two can have in common: the lesser counts add up to that at least.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ SHARE = 0.25
 ORDER_DOCS, FREQUENT, LEAST_FREQUENT = 20_000, 100_000, 3
 #: Turns in which a shingle pairs groups, not documents.
 STAR_TURNS = 2
-#: Pairs of a run that are compared at once.
-_PAIRS = 1 << 20
+#: Buckets of shingles by which pairs are bounded. A bucket that holds 255 or more counts as unlimited.
+BUCKETS = 256
+#: Pairs of a run that are compared at once, and those whose buckets are.
+_PAIRS, _BUCKET_PAIRS = 1 << 20, 1 << 15
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -89,6 +92,16 @@ def prefix(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar
     return values[order[: int((1 - similarity) * len(values) + 1e-6) + 1]].view(np.int64)
 
 
+def bucket_counts(values: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((values % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No less than the elements that two documents share, from rows of bucket counts."""
+    least = np.minimum(a, b)
+    return np.where((least == 255).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1, dtype=np.int64))
+
+
 def _content(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(np.sort(hashes).tobytes())
 
@@ -107,15 +120,17 @@ def _prints(words: int, similarity: float, order: Broadcast):
         frequent, counts = order.value
         for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
-            lists = [[segment_prints(h) for h in found], [prefix(elements(h), frequent, counts, similarity) for h in found]]
+            values = [elements(h) for h in found]
+            lists = [[segment_prints(h) for h in found], [prefix(v, frequent, counts, similarity) for v in values]]
             columns = [batch.column(0), pa.array(map(_content, found), pa.binary()), pa.array(map(len, found), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "segments", "prefix"])
+            columns.append(pa.array(map(bucket_counts, values), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "segments", "prefix", "buckets"])
 
     return prints
 
 
-def run_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of the documents that hold one element, from different groups, where the bound allows the similarity."""
+def run_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, buckets: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of the documents that hold one element, from different groups, where the bounds allow the similarity."""
     groups, group, n = np.unique(root, return_inverse=True, return_counts=True)
     rest, need = np.flatnonzero(group != n.argmax()), similarity / (1 + similarity)
     step = max(1, _PAIRS // len(doc))
@@ -123,6 +138,11 @@ def run_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.nda
         a = rest[i : i + step]
         most = np.minimum((size - place)[a, None], (size - place)[None])
         x, y = np.nonzero((root[a, None] != root[None]) & (most >= need * (size[a, None] + size[None]) - 1e-6))
+        fits = np.zeros(len(x), bool)
+        for j in range(0, len(x), _BUCKET_PAIRS):
+            u, v = a[x[j : j + _BUCKET_PAIRS]], y[j : j + _BUCKET_PAIRS]
+            fits[j : j + _BUCKET_PAIRS] = _most_shared(buckets[u], buckets[v]) >= need * (size[u] + size[v]) - 1e-6
+        x, y = x[fits], y[fits]
         if len(x):
             pairs = np.stack([doc[a[x]], doc[y]], axis=1)
             yield np.unique(np.sort(pairs, axis=1), axis=0)
@@ -150,16 +170,16 @@ def _shared_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _runs(similarity: float, turn: int | None):
     """Rows sorted by element to the pairs of each run; all pairs of different groups without a turn."""
-    names = ("element", "root", "doc_id", "n_place")
+    names = ("element", "root", "doc_id", "n_place", *(["buckets"] if turn is None else []))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, ends in whole_runs(batches, names, keys=1):
             end, found, held = ends[-1], [], 0
             several = np.minimum.reduceat(rows[1][:end], starts) < np.maximum.reduceat(rows[1][:end], starts)
             for s, e in zip(starts[several], ends[several]):
-                root, doc, n_place = (x[s:e] for x in rows[1:])
+                root, doc, n_place, *buckets = (x[s:e] for x in rows[1:])
                 size, place = n_place >> 32, n_place & 0xFFFFFFFF
-                new_pairs = run_pairs(root, doc, size, place, similarity) if turn is None else star_pairs(root, doc, size, place, similarity, turn)
+                new_pairs = run_pairs(root, doc, size, place, *buckets, similarity) if turn is None else star_pairs(root, doc, size, place, similarity, turn)
                 for new in new_pairs:
                     found.append(new)
                     held += len(new)
@@ -228,10 +248,11 @@ def _segment_pairs(kept: DataFrame) -> DataFrame:
     return pairs.filter(F.col("held") >= SHARE * F.col("n")).select("doc_id", "other")
 
 
-def _prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float, turn: int | None) -> DataFrame:
+def _prefix_pairs(shared: DataFrame, buckets: DataFrame, roots: DataFrame, similarity: float, turn: int | None) -> DataFrame:
     """Pairs that may be similar and aren't in one group yet."""
     moved = roots.filter("id <> root").select(F.col("id").alias("doc_id"), "root")
     rows = shared.join(moved, "doc_id", "left").select("element", F.coalesce("root", "doc_id").alias("root"), "doc_id", "n_place")
+    rows = rows.join(buckets, "doc_id").select(*rows.columns, "buckets") if turn is None else rows
     return rows.repartition("element").sortWithinPartitions("element").mapInArrow(_runs(similarity, turn), "doc_id long, other long").distinct()
 
 
@@ -241,7 +262,7 @@ def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
     order = spark.sparkContext.broadcast(_order(base, words))
-    found = base.mapInArrow(_prints(words, similarity, order), "doc_id long, content binary, n int, segments array<long>, prefix array<long>")
+    found = base.mapInArrow(_prints(words, similarity, order), "doc_id long, content binary, n int, segments array<long>, prefix array<long>, buckets binary")
     found = stored(found, "prints")
     least = stored(found.groupBy("content").agg(F.min("doc_id").alias("least")), "contents")
     copies = stored(found.select("doc_id", "content").join(least, "content").select(F.col("doc_id").alias("u"), F.col("least").alias("v")), "copies")
@@ -251,6 +272,7 @@ def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("element", "doc_id", F.col("n").bitwiseOR(F.col("place").cast("long")).alias("n_place"))
     shared = rows.repartition("element").sortWithinPartitions("element").mapInArrow(_shared_elements, "element long, doc_id long, n_place long")
     shared = stored(shared, "shared_elements")
+    buckets = stored(kept.select("doc_id", "buckets").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "buckets")
     release(spark)
     whole = simhash_components(base, words=words).filter("doc_id <> component_id").select("doc_id", F.col("component_id").alias("other"))
     pairs = stored(_segment_pairs(kept).unionByName(whole.join(ids, "doc_id", "left_semi")).distinct(), "pairs")
@@ -258,7 +280,7 @@ def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(base, pairs, words, similarity)
     for turn in (*range(STAR_TURNS), None):
         roots = components(links)
-        pairs = stored(_prefix_pairs(shared, roots, similarity, turn), "pairs")
+        pairs = stored(_prefix_pairs(shared, buckets, roots, similarity, turn), "pairs")
         links = stored(roots.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(_verified(base, pairs, words, similarity)), "links")
         release(spark)
     return copies.filter("u <> v").unionByName(links)

@@ -140,7 +140,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys
     for batch in batches:
         if not len(batch):
             continue
-        parts.append(tuple(batch.column(c).to_numpy() for c in columns))
+        parts.append(tuple(_numbers(batch.column(c)) for c in columns))
         if all(parts[0][k][0] == parts[-1][k][-1] for k in range(keys)):
             continue
         found, parts = cut(last=False)
@@ -149,5 +149,12 @@ def whole_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys
         yield cut(last=True)[0]
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Numbers as they are; binary values of equal length as rows of bytes."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return column.to_numpy()
+
+
 def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -479,7 +479,8 @@ def test_runs_may_span_batches():
     element = np.sort(np.append(rng.integers(0, 40, 300), np.full(200, 40)))
     doc = rng.permutation(500)
     root, size, place = doc // 3, rng.integers(20, 30, 500), rng.integers(0, 6, 500)
-    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (element, root, doc, size << 32 | place)], names=["element", "root", "doc_id", "n_place"])
+    wide = pa.array([bytes([255] * near_copies.BUCKETS)] * 500, pa.binary())
+    table = pa.RecordBatch.from_arrays([*(pa.array(x) for x in (element, root, doc, size << 32 | place)), wide], names=["element", "root", "doc_id", "n_place", "buckets"])
     want = set()
     for i in range(500):
         for j in range(500):
@@ -498,6 +499,15 @@ def test_runs_may_span_batches():
         assert shared == [x for x in zip(*(c.to_pylist() for c in rows.columns)) if (element == x[0]).sum() > 1]
 
 
+def test_buckets_never_bound_too_low():
+    rng = np.random.default_rng(8)
+    for n in (5, 300, 5000, 200_000):
+        both, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, n // 3, n // 4))
+        rows = [np.frombuffer(near_copies.bucket_counts(np.concatenate([both, x])), np.uint8)[None] for x in (a, b)]
+        assert near_copies._most_shared(*rows)[0] >= n
+    assert near_copies._most_shared(*(np.frombuffer(near_copies.bucket_counts(rng.integers(0, 1 << 63, 300, dtype=np.uint64)), np.uint8)[None] for _ in "ab"))[0] < 200
+
+
 def test_near_copies_of_short_texts_and_templates(spark):
     """Short texts with a word more, texts with words appended, and documents that share most of their text with many others."""
     rng = random.Random(10)
