@@ -338,8 +338,8 @@ def unlisted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT concat('CAPEC-x', item_id) AS pattern_id, lower(concat('i', chr(10), text)) AS t FROM benchmark), q AS (SELECT * FROM p UNION ALL SELECT * FROM b),
     w AS (SELECT DISTINCT word FROM k), m AS (SELECT word, pattern_id FROM w JOIN q ON contains(t, word)), f AS (SELECT DISTINCT doc_id, pattern_id FROM k JOIN m USING (word)),
     r AS (SELECT doc_id, pattern_id, row_number() OVER (PARTITION BY doc_id ORDER BY pattern_id) AS rank FROM f),
-    g(pattern_id, rank) AS (VALUES ('CAPEC-112', 1), ('CAPEC-223', 2), ('CAPEC-66', 3))
-    SELECT * FROM r WHERE rank <= 5 UNION ALL SELECT d.doc_id, g.pattern_id, g.rank FROM (SELECT DISTINCT doc_id FROM e) d, g WHERE d.doc_id NOT IN (SELECT doc_id FROM f) AND g.pattern_id IN (SELECT pattern_id FROM q)
+    g AS (SELECT pattern_id, row_number() OVER (ORDER BY pattern_id) AS rank FROM q WHERE pattern_id IN ('CAPEC-112', 'CAPEC-223', 'CAPEC-66'))
+    SELECT * FROM r WHERE rank <= 5 UNION ALL SELECT d.doc_id, g.pattern_id, g.rank FROM (SELECT DISTINCT doc_id FROM e) d, g WHERE d.doc_id NOT IN (SELECT doc_id FROM f)
     """,
 )
 def attack_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
