@@ -2,19 +2,18 @@
 
 Every document gets a random key from its id and a seed. Within a source, documents are ordered by that
 key. The key space of a source is cut into ranges of about ``ROWS_PER_RANGE`` documents, which is even
-because keys are hashes, so a hot source spreads over many tasks. Sizes are summed by range, the few range
-sums are accumulated, and each range adds up its own documents; the cut falls at each source's exact budget.
-A budget above the source's size repeats the same order for further epochs.
+because keys are hashes, so a hot source spreads over many tasks. Sizes are summed by range and the few range
+sums are accumulated; the range that the budget ends in is sorted and adds up its own documents, which gives the
+exact cut of the source. All documents before the cut in key order are taken whole, so only ids and sizes are
+shuffled and texts stay where they are. A budget above the source's size repeats the same order for further epochs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .shared import small_batches, stored
+from .shared import drop, stored
 
 #: Weights of the sources by code point, repeating, null last.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -24,12 +23,13 @@ ROWS_PER_RANGE = 4096
 SEED = 17
 #: Up to so many sources their targets are worked out on the driver, beyond it by aggregates of a table of sources.
 DRIVER_SOURCES = 100_000
+#: Up to so many sources the table of sources is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
-@F.pandas_udf(LongType())
-def word_count(text: pd.Series) -> pd.Series:
+def word_count(text: Column) -> Column:
     """Number of runs outside space and the control characters 9 to 13; null: 0."""
-    return pd.Series([0 if t is None else len(t.encode().split()) for t in text], dtype="int64")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[float], weights: list[float], share: float, most: float) -> list[float]:
@@ -87,16 +87,16 @@ def mix(
     an id share its key and are taken one after the other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).alias("key"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("print"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
     )
-    rows = stored(rows, "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    slim = stored(rows.select("doc_id", "source", "size", "key"), "sizes")
+    totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     found = totals.limit(DRIVER_SOURCES + 1).collect()
     if len(found) <= DRIVER_SOURCES:
         found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
@@ -107,25 +107,47 @@ def mix(
         )
     else:
         table = _many_targets(totals, weights, share, most)
-    unit = (F.shiftrightunsigned("key", 33) / F.lit(float(1 << 31))).alias("unit")
-    ranged = (
-        rows.join(F.broadcast(table) if len(found) <= 10_000 else table, rows["source"].eqNullSafe(table["source"]))
-        .drop(table["source"])
-        .withColumn("range", F.floor(unit * F.col("ranges")))
-    )
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start")
-    )
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn(
-        "at", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    )
     budget = F.floor("target")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), *(["carried"] if carry else [])
+    table = table.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0))
+    table = table.withColumn("rest", budget - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
+
+    def sized(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if len(found) <= BROADCAST_SOURCES else small
+
+    bounds = stored(sized(table).join(_cuts(slim, sized(table)), F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"), "cuts")
+    drop(slim)
+    placed = rows.join(sized(bounds), F.col("source").eqNullSafe(F.col("of")))
+    at, cut = F.struct("key", "doc_id", "size"), F.struct("cut_key", "cut_id", "cut_size")
+    after = F.col("rest") - F.col("cut_start")
+
+    def taken(part: Column) -> Column:
+        return (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
+
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    further = ["carried"] if carry else []
+    part = F.when(at < cut, F.col("size")).when(at == cut, after).otherwise(0)
+    tied = F.coalesce((F.col("ties") > 1) & (at == cut), F.lit(False))
+    if bounds.filter("ties > 1").isEmpty():
+        return placed.select(*columns, taken(part), *further)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("print")) - 1
+    share_of_tie = F.greatest(F.lit(0), F.least(F.col("size"), after - place * F.col("size")))
+    one_by_one = placed.filter(tied).select(*columns, taken(share_of_tie), *further)
+    return placed.filter(~tied).select(*columns, taken(part), *further).unionByName(one_by_one)
+
+
+def _cuts(slim: DataFrame, table: DataFrame) -> DataFrame:
+    """Where each source's rest ends: key, id and size of the row there, the words before it, and how many rows tie with it."""
+    unit = F.shiftrightunsigned("key", 33) / F.lit(float(1 << 31))
+    ranged = slim.join(table, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.floor(unit * F.col("ranges")))
+    before = Window.partitionBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("of", "range").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    sums = sums.withColumn("start", F.coalesce(F.sum("words").over(before.orderBy("range")), F.lit(0)))
+    held = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("words"))
+    ends = sums.filter(held).select(F.col("of").alias("s"), F.col("range").alias("r"), "start")
+    inside = ranged.join(ends, F.col("of").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    inside = inside.groupBy("of", "key", "doc_id", "size").agg(F.count("*").alias("ties"), F.first("start").alias("start"), F.first("rest").alias("rest"))
+    inside = inside.withColumn("words", F.col("size") * F.col("ties"))
+    inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum("words").over(before.orderBy("key", "doc_id", "size")), F.lit(0)))
+    return inside.filter(held).select(
+        F.col("of").alias("cut_of"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.col("start").alias("cut_start"), "ties"
     )
