@@ -16,6 +16,7 @@ hold there go on. Pairs of one group are never formed: in each of ``STAR_TURNS``
 group with one of its largest group, which joins groups of copies by a number of pairs in proportion to their
 documents; the pairs of documents that are in different groups even then are all compared. Before such a pair is formed, the
 counts of its shingles by ``BUCKETS`` buckets bound what the two can have in common: the lesser counts add up to that at least.
+Only rows that have a partner by their places get these counts.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ STAR_TURNS = 2
 BUCKETS = 256
 #: Pairs of a run that are compared at once, and those whose buckets are.
 _PAIRS, _BUCKET_PAIRS = 1 << 20, 1 << 15
+#: Runs of up to so many rows are compared together with others.
+_SHORT = 64
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -129,34 +132,57 @@ def _prints(words: int, similarity: float, order: Broadcast):
     return prints
 
 
-def run_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, buckets: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs of the documents that hold one element, from different groups, where the bounds allow the similarity."""
-    groups, group, n = np.unique(root, return_inverse=True, return_counts=True)
-    rest, need = np.flatnonzero(group != n.argmax()), similarity / (1 + similarity)
-    step = max(1, _PAIRS // len(doc))
-    for i in range(0, len(rest), step):
-        a = rest[i : i + step]
-        most = np.minimum((size - place)[a, None], (size - place)[None])
-        x, y = np.nonzero((root[a, None] != root[None]) & (most >= need * (size[a, None] + size[None]) - 1e-6))
-        fits = np.zeros(len(x), bool)
-        for j in range(0, len(x), _BUCKET_PAIRS):
-            u, v = a[x[j : j + _BUCKET_PAIRS]], y[j : j + _BUCKET_PAIRS]
-            fits[j : j + _BUCKET_PAIRS] = _most_shared(buckets[u], buckets[v]) >= need * (size[u] + size[v]) - 1e-6
-        x, y = x[fits], y[fits]
-        if len(x):
-            pairs = np.stack([doc[a[x]], doc[y]], axis=1)
-            yield np.unique(np.sort(pairs, axis=1), axis=0)
-
-
-def star_pairs(root: np.ndarray, doc: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, turn: int) -> Iterator[np.ndarray]:
-    """One document of each group with one of the largest group, where the bound allows the similarity; turns take other documents."""
-    order = np.lexsort((doc if turn % 2 == 0 else -doc, root))
-    _, first, n = np.unique(root[order], return_index=True, return_counts=True)
-    one, hub = order[first], order[first[n.argmax()]]
+def far_pairs(root: np.ndarray, size: np.ndarray, place: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within runs, of different groups, where the places of the shared element allow the similarity.
+
+    Short runs are compared together, neighbours at one distance at a time; a long run by itself, its largest group on one side only.
+    """
+    need, n, left = similarity / (1 + similarity), ends - starts, size - place
+
+    def fitting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (root[a] != root[b]) & (np.minimum(left[a], left[b]) >= need * (size[a] + size[b]) - 1e-6)
+        return a[keep], b[keep]
+
+    last, at = np.repeat(np.where(n <= _SHORT, ends, 0), n), np.arange(ends[-1])
+    for step in range(1, _SHORT):
+        at = at[at + step < last[at]]
+        if not len(at):
+            break
+        yield fitting(at, at + step)
+    for s, e in zip(starts[n > _SHORT], ends[n > _SHORT]):
+        groups, group, count = np.unique(root[s:e], return_inverse=True, return_counts=True)
+        rest, rows = s + np.flatnonzero(group != count.argmax()), np.arange(s, e)
+        step = max(1, _PAIRS // len(rows))
+        for i in range(0, len(rest), step):
+            part = rest[i : i + step]
+            yield fitting(np.repeat(part, len(rows)), np.tile(rows, len(part)))
+
+
+def run_pairs(root: np.ndarray, doc: np.ndarray, n_place: np.ndarray, buckets: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of the documents of a run, from different groups, where the bounds allow the similarity."""
+    size, place = n_place >> 32, n_place & 0xFFFFFFFF
+    for a, b in far_pairs(root, size, place, starts, ends, similarity):
+        for j in range(0, len(a), _BUCKET_PAIRS):
+            u, v = a[j : j + _BUCKET_PAIRS], b[j : j + _BUCKET_PAIRS]
+            fits = _most_shared(buckets[u], buckets[v]) >= similarity / (1 + similarity) * (size[u] + size[v]) - 1e-6
+            if fits.any():
+                yield np.sort(np.stack([doc[u[fits]], doc[v[fits]]], axis=1), axis=1)
+
+
+def star_pairs(root: np.ndarray, doc: np.ndarray, n_place: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float, turn: int) -> Iterator[np.ndarray]:
+    """In each run one document of each group with one of the largest group, where the bound allows the similarity; turns take other documents."""
+    size, place = n_place >> 32, n_place & 0xFFFFFFFF
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    order = np.lexsort((doc if turn % 2 == 0 else -doc, root, run))
+    change = (run[order][1:] != run[order][:-1]) | (root[order][1:] != root[order][:-1])
+    first = np.append(0, np.flatnonzero(change) + 1)
+    one, of, n = order[first], run[order[first]], np.diff(np.append(first, len(order)))
+    largest = np.lexsort((-n, of))
+    hub = one[largest[np.append(True, of[1:] != of[:-1])]][of]
     most = np.minimum((size - place)[one], (size - place)[hub])
-    far = one[(one != hub) & (most >= similarity / (1 + similarity) * (size[one] + size[hub]) - 1e-6)]
-    if len(far):
-        yield np.sort(np.stack([doc[far], np.full(len(far), doc[hub])], axis=1), axis=1)
+    far = (one != hub) & (most >= similarity / (1 + similarity) * (size[one] + size[hub]) - 1e-6)
+    if far.any():
+        yield np.sort(np.stack([doc[one[far]], doc[hub[far]]], axis=1), axis=1)
 
 
 def _shared_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,24 +194,47 @@ def _shared_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(x[: ends[-1]][held]) for x in rows], names=list(names))
 
 
+def _several_groups(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The columns, root first, without the runs of a single group, and where the runs left start and end."""
+    root, n = columns[0][: ends[-1]], ends - starts
+    several = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+    ends_left = np.cumsum(n[several])
+    return [x[: ends[-1]][np.repeat(several, n)] for x in columns], ends_left - n[several], ends_left
+
+
+def _open_rows(similarity: float):
+    """The rows, sorted by element, that have a partner in another group where the places allow the similarity."""
+    names = ("element", "root", "doc_id", "n_place")
+
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, ends in whole_runs(batches, names, keys=1):
+            (root, element, doc, n_place), starts, ends = _several_groups([rows[1], rows[0], *rows[2:]], starts, ends)
+            if not len(starts):
+                continue
+            met = np.zeros(len(root), bool)
+            for a, b in far_pairs(root, n_place >> 32, n_place & 0xFFFFFFFF, starts, ends, similarity):
+                met[a] = met[b] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (element, root, doc, n_place)], names=list(names))
+
+    return open_rows
+
+
 def _runs(similarity: float, turn: int | None):
     """Rows sorted by element to the pairs of each run; all pairs of different groups without a turn."""
     names = ("element", "root", "doc_id", "n_place", *(["buckets"] if turn is None else []))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, ends in whole_runs(batches, names, keys=1):
-            end, found, held = ends[-1], [], 0
-            several = np.minimum.reduceat(rows[1][:end], starts) < np.maximum.reduceat(rows[1][:end], starts)
-            for s, e in zip(starts[several], ends[several]):
-                root, doc, n_place, *buckets = (x[s:e] for x in rows[1:])
-                size, place = n_place >> 32, n_place & 0xFFFFFFFF
-                new_pairs = run_pairs(root, doc, size, place, *buckets, similarity) if turn is None else star_pairs(root, doc, size, place, similarity, turn)
-                for new in new_pairs:
-                    found.append(new)
-                    held += len(new)
-                    if held > _PAIRS:
-                        yield _pair_batch(found)
-                        found, held = [], 0
+            columns, starts, ends = _several_groups(list(rows[1:]), starts, ends)
+            if not len(starts):
+                continue
+            found, held = [], 0
+            for new in run_pairs(*columns, starts, ends, similarity) if turn is None else star_pairs(*columns, starts, ends, similarity, turn):
+                found.append(new)
+                held += len(new)
+                if held > _PAIRS:
+                    yield _pair_batch(found)
+                    found, held = [], 0
             if found:
                 yield _pair_batch(found)
 
@@ -252,7 +301,9 @@ def _prefix_pairs(shared: DataFrame, buckets: DataFrame, roots: DataFrame, simil
     """Pairs that may be similar and aren't in one group yet."""
     moved = roots.filter("id <> root").select(F.col("id").alias("doc_id"), "root")
     rows = shared.join(moved, "doc_id", "left").select("element", F.coalesce("root", "doc_id").alias("root"), "doc_id", "n_place")
-    rows = rows.join(buckets, "doc_id").select(*rows.columns, "buckets") if turn is None else rows
+    if turn is None:
+        sides = rows.repartition("element").sortWithinPartitions("element").mapInArrow(_open_rows(similarity), "element long, root long, doc_id long, n_place long")
+        rows = stored(sides, "open").join(buckets, "doc_id").select(*rows.columns, "buckets")
     return rows.repartition("element").sortWithinPartitions("element").mapInArrow(_runs(similarity, turn), "doc_id long, other long").distinct()
 
 
@@ -283,6 +334,8 @@ def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = stored(_prefix_pairs(shared, buckets, roots, similarity, turn), "pairs")
         links = stored(roots.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(_verified(base, pairs, words, similarity)), "links")
         release(spark)
+    drop(shared)
+    drop(buckets)
     return copies.filter("u <> v").unionByName(links)
 
 
