@@ -107,6 +107,16 @@ def test_mixing(docs, rows, empty):
     assert mix(empty).count() == 0
 
 
+def test_mixing_takes_tied_rows_one_by_one(spark):
+    """Rows that repeat an id, and rows without one, tie at the cut: budgets stay exact and no row exceeds two epochs."""
+    tied = [(7, "a b c", "x")] * 9 + [(None, "d e", "y")] * 7 + [(8, None, "y"), (9, "", "z")]
+    mixed = mix(spark.createDataFrame(tied, "doc_id long, text string, source string")).collect()
+    assert len(mixed) == len(tied) and all(0 <= r["taken"] <= 2 * r["size"] for r in mixed)
+    for source in "xyz":
+        own = [r for r in mixed if r["source"] == source]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"])
+
+
 def brute_print(text):
     words = [w for w in re.split(r"[\x20\x09-\x0d]+", lower(text)) if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
