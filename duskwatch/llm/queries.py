@@ -16,6 +16,7 @@ from .simhash import simhash_components
 from .token_counts import token_counts
 from .token_store import read_store, write_store
 from .toxic_spans import fit_toxic, score_toxic
+from .treaps import build_index, search
 from .warc_zip import read_packages, write_packages
 
 
@@ -80,6 +81,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("repeats", F.col("n_removed") > 0)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,11 +99,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_store,
         op9_decontamination,
         op10_repeats,
+        op12_lexical_search,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
@@ -112,4 +121,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first > page_id THEN first END AS refers_to
         FROM q
     """,
+    "op12_lexical_search": f"""
+        WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+        whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, n_docs),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), whole GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
