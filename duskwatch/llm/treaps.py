@@ -57,6 +57,32 @@ def words_of(text: bytes, table: bytes, most: int = TEXT_BYTES) -> Iterator[list
         at = end
 
 
+def grouped(texts: list[bytes], table: bytes) -> Iterator[tuple[list[list[bytes]], bool, bool]]:
+    """The words of each text together; a single text comes in pieces. With it: whether it goes on from the last group, and on in the next."""
+    if len(texts) > 1:
+        yield [t.translate(table).split() for t in texts], False, False
+        return
+    pieces, goes_on = words_of(texts[0], table), False
+    words = next(pieces, [])
+    while words is not None:
+        later = next(pieces, None)
+        yield [words], goes_on, later is not None
+        words, goes_on = later, True
+
+
+def run_starts(texts: pa.Array, table: bytes) -> np.ndarray:
+    """How many words each text has, without making them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    inside = np.frombuffer(table, np.uint8)[data] != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    at = offsets[:-1] - offsets[0]
+    full = at[at < np.append(at[1:], len(data))]
+    first[full] = inside[full]
+    return np.diff(np.append(0, np.cumsum(first))[offsets - offsets[0]])
+
+
 def coded(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """The number of each word in ``known``, which grows."""
     encoded = pa.array(words, pa.binary()).dictionary_encode()
@@ -123,8 +149,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     rows = only(docs, doc_id=id_col, text=text_col)
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0))
-    n_docs, n_terms = rows.agg(F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            n = run_starts(batch.column(1), _BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
+
+    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    n_docs, n_terms = texts.mapInArrow(count, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     kind = rows.schema["doc_id"].dataType.simpleString()
     numbers = "docs array<int>, impacts array<int>, lefts array<int>, rights array<int>"
 
@@ -140,21 +172,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             listed = pa.list_(batch.schema.field(0).type)
             ints = pa.list_(pa.int32())
             schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("root", pa.int32()), ("docs", ints), ("impacts", ints), ("lefts", ints), ("rights", ints), ("ids", listed)])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if size and (n >= shard_docs or size + len(text) // 6 > shard_terms):
-                    yield from flush()
-                    serial, ids, known, codes, places, n, size = serial + 1, [], {}, [], [], 0, 0
-                ids.append(batch.column(0).slice(i, 1))
-                for words in words_of(text, _BYTES):
-                    found = coded(words, known)
-                    codes.append(found)
-                    places.append(np.full(len(found), n, np.int32))
-                    size += len(found)
-                n += 1
+            if size and (n >= shard_docs or size + pc.sum(pc.binary_length(batch.column(1))).as_py() // 6 > shard_terms):
+                yield from flush()
+                serial, ids, known, codes, places, n, size = serial + 1, [], {}, [], [], 0, 0
+            ids.append(batch.column(0))
+            for words, _, _ in grouped(batch.column(1).to_pylist(), _BYTES):
+                lengths = [len(w) for w in words]
+                codes.append(coded([x for w in words for x in w], known))
+                places.append(np.repeat(np.arange(n, n + len(words), dtype=np.int32), lengths))
+                size += sum(lengths)
+            n += len(batch)
         if size:
             yield from flush()
 
-    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     table = texts.mapInArrow(build, f"shard long, term string, df long, root int, {numbers}, ids array<{kind}>")
     return TreapIndex(stored(table, "treaps"), n_docs, n_terms)
 
