@@ -3,7 +3,8 @@
 Texts are encoded in chunks of bounded size: a dictionary of the chunk's words and the text as numbers into it. Words get
 global numbers by a join on each chunk's dictionary, not on each token. A chunk then asks for its different word pairs,
 sorted and packed into one row per bucket; a bucket of the table of pairs holds all pairs of its contexts, frequent
-contexts being split over several. So what is shuffled is the different pairs of a chunk, not its tokens.
+contexts being split over several. So what is shuffled is the different pairs of a chunk, not its tokens. Where a corpus is
+scored that holds the training texts, the bucket that counts a chunk's pairs also answers for them.
 
 Pairs are discounted by Good-Turing counts of counts up to ``MOST`` and, if unseen, backed off to words, whose
 probabilities are add-one over all words of the training texts and one class for all others. The weight of a context makes
@@ -20,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, only, release, slices, small_batches, stored
-from .treaps import coded, words_of
+from .shared import release, slices, small_batches, stored
+from .treaps import coded, grouped
 
 #: Letters in lower case; space and the control characters 9 to 13 as spaces.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Tokens of a chunk, and pairs of a bucket, about.
-CHUNK_TOKENS, BUCKET_TOKENS = 4_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
 #: A context that is more frequent than this is split over buckets.
 HOT = 200_000
 #: Counts up to this are discounted.
@@ -79,60 +80,63 @@ def discounts(counts: list[int], most: int = MOST) -> tuple[float, ...]:
     return ()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Chunks of texts: chunk, ids, rows, sizes and firsts of the pieces of texts in it, codes, and its words with their counts.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Chunks of texts: chunk, ids, rows, sizes, firsts and train of the pieces of texts in it, codes, and its words with their counts.
 
-    ``firsts`` is the code of what comes before a piece. A text that is longer than a chunk goes on in the next one.
+    ``firsts`` is the code of what comes before a piece, counts are those of the rows that ``train`` picks, all by
+    default. A text that is longer than a chunk goes on in the next one.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = only(docs, doc_id=id_col, text=text_col)
+    picked = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), picked.alias("train"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, row = TaskContext.get().partitionId() << 33, 0, 0
-        ids, numbers, sizes, firsts, codes, known, total = [], [], [], [], [], {END: 0}, 0
+        ids, numbers, sizes, firsts, picks, codes, known, total = [], [], [], [], [], [], {END: 0}, 0
 
         def chunk() -> pa.RecordBatch:
-            whole = np.concatenate(codes)
+            whole, pick = np.concatenate(codes), np.concatenate(picks)
             names = pa.array(list(known), pa.binary()).cast(pa.string())
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            counts = pa.array(np.bincount(whole, minlength=len(known)))
-            columns = [pa.array([part + serial]), one(pa.concat_arrays(ids)), one(pa.array(numbers, pa.int64())), one(pa.array(sizes, pa.int64())), one(pa.array(firsts, pa.int64())), pa.array([pack(whole)], pa.binary()), one(names), one(counts)]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "rows", "sizes", "firsts", "codes", "words", "counts"])
+            counts = np.bincount(whole[np.repeat(pick, np.concatenate(sizes))], minlength=len(known))
+            columns = [pa.array([part + serial]), one(pa.concat_arrays(ids)), *[one(pa.array(np.concatenate(x))) for x in (numbers, sizes, firsts, picks)], pa.array([pack(whole)], pa.binary()), one(names), one(pa.array(counts))]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "rows", "sizes", "firsts", "train", "codes", "words", "counts"])
 
         for batch in (x for whole in batches for x in slices(whole, 1)):
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                before = END
-                pieces = words_of(text, _BYTES)
-                piece = next(pieces, [])
-                while piece is not None:
-                    later = next(pieces, None)
-                    words = piece if later is not None else [*piece, END]
-                    if words:
-                        ids.append(batch.column(0).slice(i, 1))
-                        numbers.append(part + row)
-                        sizes.append(len(words))
-                        firsts.append(known.setdefault(before, len(known)))
-                        codes.append(coded(words, known))
-                        total, before = total + len(words), words[-1]
-                    if total >= chunk_tokens:
-                        yield chunk()
-                        serial += 1
-                        ids, numbers, sizes, firsts, codes, known, total = [], [], [], [], [], {END: 0}, 0
-                    piece = later
-                row += 1
+            before = END
+            pick = batch.column(2).to_numpy(zero_copy_only=False)
+            for words, goes_on, more in grouped(batch.column(1).to_pylist(), _BYTES):
+                if not more:
+                    words[-1].append(END)
+                for w in words[:-1]:
+                    w.append(END)
+                first = np.zeros(len(words), np.int64)
+                first[0] = known.setdefault(before if goes_on else END, len(known))
+                ids.append(batch.column(0))
+                numbers.append(np.arange(part + row, part + row + len(words)))
+                sizes.append(np.array([len(w) for w in words], np.int64))
+                firsts.append(first)
+                picks.append(pick)
+                codes.append(coded([x for w in words for x in w], known))
+                total, before = total + len(codes[-1]), words[-1][-1]
+                if total >= chunk_tokens:
+                    yield chunk()
+                    serial += 1
+                    ids, numbers, sizes, firsts, picks, codes, known, total = [], [], [], [], [], [], {END: 0}, 0
+            row += len(batch)
         if total:
             yield chunk()
 
-    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    schema = f"chunk long, ids array<{kind}>, rows array<long>, sizes array<long>, firsts array<long>, codes binary, words array<string>, counts array<long>"
-    return stored(texts.mapInArrow(cut, schema), "chunks")
+    schema = f"chunk long, ids array<{kind}>, rows array<long>, sizes array<long>, firsts array<long>, train array<boolean>, codes binary, words array<string>, counts array<long>"
+    return stored(rows.mapInArrow(cut, schema), "chunks")
 
 
 def _numbered(words: DataFrame) -> DataFrame:
-    """(word, n, id): numbers from 0 without gaps, by the rows of each part and the parts before it."""
-    parts = stored(words.withColumn("at", F.monotonically_increasing_id()), "words")
+    """(word, n, id): numbers from 0 without gaps, frequent words first, by the rows of each sorted range and the ranges before it."""
+    ordered = words.repartitionByRange(F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
+    parts = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "words")
     part = F.shiftright("at", 33)
     counts = sorted(tuple(r) for r in parts.groupBy(part.alias("part")).count().collect())  # one row for each part
     before = np.cumsum([0, *[n for _, n in counts]]).tolist()
@@ -152,13 +156,13 @@ def _column(table: pa.Table, name: str, order: np.ndarray, default: float) -> np
     return np.where(np.isnan(values), default, values) if values.dtype.kind == "f" else values
 
 
-def _tokens(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all tokens, of what comes before each, and the sizes of the pieces."""
+def _tokens(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all tokens, of what comes before each, the sizes of the pieces, and which tokens are for training."""
     codes = unpack(chunk.column("codes")[0].as_py())
-    sizes, firsts = (chunk.column(c).combine_chunks().flatten().to_numpy() for c in ("sizes", "firsts"))
+    sizes, firsts, train = (chunk.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("sizes", "firsts", "train"))
     before = np.append(0, codes[:-1])
     before[np.cumsum(sizes) - sizes] = firsts
-    return codes, before, sizes
+    return codes, before, sizes, np.repeat(train, sizes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -170,64 +174,92 @@ def _bucket(v: np.ndarray, w: np.ndarray, n: np.ndarray, buckets: int) -> np.nda
     return (_mixed(v) + _mixed(w + 1) % (n // HOT + 1)) % buckets
 
 
-def _pairs(codes: np.ndarray, before: np.ndarray, ids: np.ndarray, n: np.ndarray, n_words: int, buckets: int):
-    """The different known pairs in order of bucket and key: bucket, key, count, codes of both words; and where each known token's pair is."""
-    known = np.flatnonzero((ids[codes] >= 0) & (ids[before] >= 0))
-    local, where, count = np.unique(before[known] * np.int64(len(ids)) + codes[known], return_inverse=True, return_counts=True)
-    v, w = np.divmod(local, len(ids)) if len(ids) else (local, local)
+@dataclass(frozen=True)
+class _Chunk:
+    """A chunk with the numbers of its words, and its different known pairs in order of bucket and key."""
+
+    n: np.ndarray
+    order: np.ndarray
+    codes: np.ndarray
+    before: np.ndarray
+    sizes: np.ndarray
+    bucket: np.ndarray
+    key: np.ndarray
+    count: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    places: np.ndarray
+    pair: np.ndarray
+
+
+def _prepared(chunk: pa.Table, known: pa.Table, n_words: int, buckets: int) -> _Chunk:
+    order = np.argsort(known.column("at").to_numpy(), kind="stable")
+    ids, n = _column(known, "id", order, -1).astype(np.int64), _column(known, "n", order, 0).astype(np.int64)
+    codes, before, sizes, train = _tokens(chunk)
+    places = np.flatnonzero((ids[codes] >= 0) & (ids[before] >= 0))
+    local, where = np.unique(before[places] * np.int64(len(ids)) + codes[places], return_inverse=True)
+    count = np.bincount(where, train[places], len(local)).astype(np.int64)
+    v, w = np.divmod(local, len(ids))
     key, bucket = ids[v] * n_words + ids[w], _bucket(ids[v], ids[w], n[v], buckets)
-    order = np.lexsort((key, bucket))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return bucket[order], key[order], count[order], v[order], w[order], known, place[where]
-
-
-def _dictionary(known: pa.Table) -> np.ndarray:
-    return np.argsort(known.column("at").to_numpy(), kind="stable")
+    by = np.lexsort((key, bucket))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return _Chunk(n, order, codes, before, sizes, bucket[by], key[by], count[by], v[by], w[by], places, place[where])
 
 
-def _by_bucket(chunk: int, bucket: np.ndarray, columns: dict[str, Callable[[slice], bytes]]) -> pa.Table:
+def _by_bucket(chunk: pa.Table, bucket: np.ndarray, columns: dict[str, Callable[[slice], bytes]]) -> pa.Table:
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     cuts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(bucket)])]
-    data = {"chunk": pa.array([chunk] * len(cuts), pa.int64()), "bucket": pa.array(bucket[starts].astype(np.int64))}
+    data = {"chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(cuts), pa.int64()), "bucket": pa.array(bucket[starts].astype(np.int64))}
     return pa.table(data | {name: pa.array([f(x) for x in cuts], pa.binary()) for name, f in columns.items()})
 
 
-def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> KatzModel:
-    """The model of all words and pairs of words in ``docs``; null texts count as empty, repeated rows count again."""
-    spark = docs.sparkSession
-    chunks = encode(docs, id_col, text_col, chunk_tokens)
+def _answers(asked: pa.Table, keys: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    keys, counts, out = np.append(keys, -1), np.append(counts, 0), []
+    for wanted in map(unpack_sorted, asked.column("keys").to_pylist()):
+        at = np.searchsorted(keys[:-1], wanted)
+        out.append(pack(np.where(keys[at] == wanted, counts[at], 0)))
+    return out
+
+
+_PAIRS = "chunk long, bucket long, keys binary, counts binary, histogram array<long>, contexts binary, small binary, seen binary"
+
+
+def _fit(chunks: DataFrame, most: int, bucket_tokens: int) -> tuple[KatzModel, DataFrame]:
+    """The model of the training pieces of ``chunks``; with it the counts of each chunk's pairs, by bucket."""
     counted = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n")).filter("n > 0")
     words = stored(_numbered(counted.groupBy("word").agg(F.sum("n").alias("n"))), "vocabulary")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-n_tokens // bucket_tokens))
+    looked_up = _looked_up(chunks, words, "id", "n")
 
     def ask(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        order = _dictionary(known)
-        ids, n = _column(known, "id", order, -1).astype(np.int64), _column(known, "n", order, 0).astype(np.int64)
-        codes, before, _ = _tokens(chunk)
-        bucket, key, count, _, w, _, _ = _pairs(codes, before, ids, n, n_words, buckets)
-        return _by_bucket(chunk.column("chunk")[0].as_py(), bucket, {"keys": lambda x: pack_sorted(key[x]), "counts": lambda x: pack(count[x]), "seconds": lambda x: pack(n[w[x]])}).drop_columns("chunk")
+        c = _prepared(chunk, known, n_words, buckets)
+        return _by_bucket(chunk, c.bucket, {"keys": lambda x: pack_sorted(c.key[x]), "counts": lambda x: pack(c.count[x]), "seconds": lambda x: pack(c.n[c.second[x]])})
 
     def count(rows: pa.Table) -> pa.Table:
         keys, counts, seconds = (np.concatenate([f(x) for x in rows.column(c).to_pylist()]) for c, f in (("keys", unpack_sorted), ("counts", unpack), ("seconds", unpack)))
         keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(where, counts).astype(np.int64)
+        held = total > 0  # others are of texts that aren't for training
+        keys, total, seconds = keys[held], total[held], seconds[first[held]]
         context = keys // n_words
-        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        small = np.stack([np.add.reduceat((total == r).astype(np.int64), starts) for r in range(1, most + 2)])
-        seen = np.add.reduceat(seconds[first] + 1, starts)
+        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
+        small = np.stack([add((total == r).astype(np.int64)) for r in range(1, most + 2)])
+        n, blank = len(rows), [None] * len(rows)
         return pa.table({
-            "bucket": rows.column("bucket")[:1], "keys": pa.array([pack_sorted(keys)], pa.binary()), "counts": pa.array([pack(total)], pa.binary()), "histogram": pa.array([small.sum(1).tolist()], pa.list_(pa.int64())),
-            "contexts": pa.array([pack_sorted(context[starts])], pa.binary()), "small": pa.array([pack(small.ravel())], pa.binary()), "seen": pa.array([pack(seen)], pa.binary()),
+            "chunk": pa.array([None, *rows.column("chunk").to_pylist()], pa.int64()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * (n + 1), pa.int64()),
+            "keys": pa.array([pack_sorted(keys), *blank], pa.binary()), "counts": pa.array([pack(total), *_answers(rows, keys, total)], pa.binary()),
+            "histogram": pa.array([small.sum(1).tolist(), *blank], pa.list_(pa.int64())), "contexts": pa.array([pack_sorted(context[starts]), *blank], pa.binary()),
+            "small": pa.array([pack(small.ravel()), *blank], pa.binary()), "seen": pa.array([pack(add(seconds + 1)), *blank], pa.binary()),
         })
 
-    looked_up = _looked_up(chunks, words, "id", "n")
-    asked = chunks.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "bucket long, keys binary, counts binary, seconds binary")
-    table = asked.groupBy("bucket").applyInArrow(count, "bucket long, keys binary, counts binary, histogram array<long>, contexts binary, small binary, seen binary")
-    table = stored(table, "pairs")
-    drop(chunks)
-    histogram = [table.agg(F.coalesce(F.sum(F.element_at("histogram", r)), F.lit(0))).first()[0] for r in range(1, most + 2)]
+    asked = chunks.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "chunk long, bucket long, keys binary, counts binary, seconds binary")
+    both = stored(asked.groupBy("bucket").applyInArrow(count, _PAIRS), "pairs")
+    release(chunks.sparkSession)
+    table = both.filter("chunk is null")
+    histogram = list(table.agg(*[F.coalesce(F.sum(F.element_at("histogram", r)), F.lit(0)) for r in range(1, most + 2)]).first())
     found = discounts(histogram, most)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +274,15 @@ def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     left = F.when(F.col("lost") > 0, F.col("lost")).otherwise(1) / total
     free = 1 - F.col("seen") / F.lit(float(n_tokens + n_words + 1))
     words = stored(words.join(sums, "id").select("word", "id", "n", total.cast("long").alias("total"), F.log10(left / free).alias("log_alpha")), "weights")
-    release(spark)
-    return KatzModel(words, table.select("bucket", "keys", "counts"), n_tokens, n_words, buckets, found)
+    return KatzModel(words, table.select("bucket", "keys", "counts"), n_tokens, n_words, buckets, found), both.filter("chunk is not null").select("chunk", "bucket", "counts")
+
+
+def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, most: int = MOST, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> KatzModel:
+    """The model of all words and pairs of words in the rows that ``train`` picks, all by default.
+
+    Null texts count as empty, repeated rows count again.
+    """
+    return _fit(encode(docs, id_col, text_col, train, chunk_tokens), most, bucket_tokens)[0]
 
 
 def score_katz(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -254,58 +293,58 @@ def score_katz(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_c
     Null and repeated ids are kept as they are, other columns are ignored, an empty table gives an empty result. Without
     training texts every token has probability 1, as there is one class only.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    n_words, buckets, whole, cut = model.n_words, model.buckets, float(model.n_tokens + model.n_words + 1), np.array([1.0, *model.discounts])
-    chunks = encode(docs, id_col, text_col, chunk_tokens)
-    looked_up = stored(_looked_up(chunks, model.words, "id", "n", "total", "log_alpha"), "looked_up")
-
-    def prepared(chunk: pa.Table, known: pa.Table):
-        order = _dictionary(known)
-        ids, n = _column(known, "id", order, -1).astype(np.int64), _column(known, "n", order, 0).astype(np.int64)
-        codes, before, sizes = _tokens(chunk)
-        return order, n, codes, before, sizes, _pairs(codes, before, ids, n, n_words, buckets)
+    chunks = encode(docs, id_col, text_col, None, chunk_tokens)
+    looked_up = _looked_up(chunks, model.words, "id", "n")
 
     def ask(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        *_, (bucket, key, _, _, _, _, _) = prepared(chunk, known)
-        return _by_bucket(chunk.column("chunk")[0].as_py(), bucket, {"keys": lambda x: pack_sorted(key[x])})
+        c = _prepared(chunk, known, model_words, buckets)
+        return _by_bucket(chunk, c.bucket, {"keys": lambda x: pack_sorted(c.key[x])})
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         keys, counts = (f(held.column(c)[0].as_py()) if len(held) else np.zeros(0, np.int64) for c, f in (("keys", unpack_sorted), ("counts", unpack)))
-        keys, counts = np.append(keys, -1), np.append(counts, 0)
-        out = []
-        for wanted in map(unpack_sorted, asked.column("keys").to_pylist()):
-            at = np.searchsorted(keys[:-1], wanted)
-            out.append(pack(np.where(keys[at] == wanted, counts[at], 0)))
-        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "counts": pa.array(out, pa.binary())})
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "counts": pa.array(_answers(asked, keys, counts), pa.binary())})
 
+    model_words, buckets = model.n_words, model.buckets
     requests = chunks.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "chunk long, bucket long, keys binary")
     answers = requests.groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, counts binary")
-    answers = stored(answers, "answers")
-    release(docs.sparkSession)
+    return _scores(chunks, model, stored(answers, "answers"))
+
+
+def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> tuple[KatzModel, DataFrame]:
+    """The model of the rows that ``train`` picks, and the scores of all rows as score_katz() gives them, in one go over the texts."""
+    chunks = encode(docs, id_col, text_col, train, chunk_tokens)
+    model, answers = _fit(chunks, most, bucket_tokens)
+    return model, _scores(chunks, model, answers)
+
+
+def _scores(chunks: DataFrame, model: KatzModel, answers: DataFrame) -> DataFrame:
+    n_words, buckets, whole, cut = model.n_words, model.buckets, float(model.n_tokens + model.n_words + 1), np.array([1.0, *model.discounts])
+    release(chunks.sparkSession)
+    looked_up = _looked_up(chunks, model.words, "id", "n", "total", "log_alpha")
     # the dictionary and the answers of a chunk travel together, as rows of two kinds
     nothing = lambda *kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds]
-    both = looked_up.select("*", *nothing(("bucket", "long"), ("counts", "binary"))).unionByName(answers.select(F.col("chunk").alias("of"), *nothing(("at", "int"), ("id", "long"), ("n", "long"), ("total", "long"), ("log_alpha", "double")), "bucket", "counts"))
+    replies = answers.select(F.col("chunk").alias("of"), *nothing(("at", "int"), ("id", "long"), ("n", "long"), ("total", "long"), ("log_alpha", "double")), "bucket", "counts")
+    both = looked_up.select("*", *nothing(("bucket", "long"), ("counts", "binary"))).unionByName(replies)
 
     def evaluate(chunk: pa.Table, rows: pa.Table) -> pa.Table:
-        is_word = rows.column("at").is_valid()
-        known, replies = rows.filter(is_word), rows.filter(rows.column("at").is_null())
-        order, n, codes, before, sizes, (_, _, _, v, _, places, pair) = prepared(chunk, known)
-        alpha, total = _column(known, "log_alpha", order, 0.0), _column(known, "total", order, 1).astype(float)
+        known, replies = rows.filter(rows.column("at").is_valid()), rows.filter(rows.column("at").is_null())
+        c = _prepared(chunk, known, n_words, buckets)
+        alpha, total = _column(known, "log_alpha", c.order, 0.0), _column(known, "total", c.order, 1).astype(float)
         in_order = np.argsort(replies.column("bucket").to_numpy(), kind="stable")
         blobs = replies.column("counts").to_pylist()
         times = np.concatenate([np.zeros(0, np.int64), *[unpack(blobs[i]) for i in in_order]])
-        base = np.log10((n + 1) / whole)[codes]
-        score = alpha[before] + base
+        base = np.log10((c.n + 1) / whole)[c.codes]
+        score = alpha[c.before] + base  # backed off, unless the pair was seen
         rate = np.where(times < len(cut), cut[np.where(times < len(cut), times, 0)], 1.0)
-        seen = times > 0
-        direct = np.log10(np.where(seen, rate * times, 1.0) / total[v])
-        hit = seen[pair]
-        score[places[hit]] = direct[pair[hit]]
-        starts = np.cumsum(sizes) - sizes
+        direct = np.log10(np.where(times > 0, rate * times, 1.0) / total[c.first])
+        hit = (times > 0)[c.pair]
+        score[c.places[hit]] = direct[c.pair[hit]]
+        starts = np.cumsum(c.sizes) - c.sizes
         add = lambda x: pa.array(np.add.reduceat(x, starts))
-        lists = [chunk.column(c).combine_chunks().flatten() for c in ("rows", "ids")]
-        return pa.table({"row": lists[0], "doc_id": lists[1], "n_tokens": pa.array(sizes), "n_known": add((n[codes] > 0).astype(np.int64)), "base_score": add(base), "score": add(score)})
+        lists = [chunk.column(x).combine_chunks().flatten() for x in ("rows", "ids")]
+        return pa.table({"row": lists[0], "doc_id": lists[1], "n_tokens": pa.array(c.sizes), "n_known": add((c.n[c.codes] > 0).astype(np.int64)), "base_score": add(base), "score": add(score)})
 
+    kind = chunks.schema["ids"].dataType.elementType.simpleString()
     pieces = chunks.groupBy("chunk").cogroup(both.groupBy("of")).applyInArrow(evaluate, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    sums = [F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]
     return pieces.groupBy("row", "doc_id").agg(*sums).drop("row")

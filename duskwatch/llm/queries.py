@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .block_names import block_name_dedup
 from .decontaminate import contamination
 from .language_masks import fit_languages, identify
-from .katz import fit_katz, score_katz
+from .katz import fit_and_score
 from .mixing import mix
 from .prefix_trie import prefix_trie
 from .repeats import remove_repeats
@@ -94,8 +94,8 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_katz(docs.filter(remainder(7) != 2))
-    return score_katz(docs, model).select(
+    model, scores = fit_and_score(docs, remainder(7) != 2)
+    return scores.select(
         "doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
