@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, slices, small_batches, stored
+from .shared import drop, release, slices, small_batches, stored
 from .treaps import coded, grouped
 
 #: Letters in lower case; space and the control characters 9 to 13 as spaces.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Tokens of a chunk, and pairs of a bucket, about.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 #: A context that is more frequent than this is split over buckets.
 HOT = 200_000
 #: Counts up to this are discounted.
@@ -222,6 +222,8 @@ def _answers(asked: pa.Table, keys: np.ndarray, counts: np.ndarray) -> list[byte
     return out
 
 
+#: What a task needs of a chunk's text.
+_TEXT = ("chunk", "sizes", "firsts", "train", "codes")
 _PAIRS = "chunk long, bucket long, keys binary, counts binary, histogram array<long>, contexts binary, small binary, seen binary"
 
 
@@ -231,7 +233,9 @@ def _fit(chunks: DataFrame, most: int, bucket_tokens: int) -> tuple[KatzModel, D
     words = stored(_numbered(counted.groupBy("word").agg(F.sum("n").alias("n"))), "vocabulary")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-n_tokens // bucket_tokens))
-    looked_up = _looked_up(chunks, words, "id", "n")
+    release(chunks.sparkSession)
+    looked_up = stored(_looked_up(chunks, words, "id", "n"), "looked_up")
+    release(chunks.sparkSession)
 
     def ask(chunk: pa.Table, known: pa.Table) -> pa.Table:
         c = _prepared(chunk, known, n_words, buckets)
@@ -255,9 +259,11 @@ def _fit(chunks: DataFrame, most: int, bucket_tokens: int) -> tuple[KatzModel, D
             "small": pa.array([pack(small.ravel()), *blank], pa.binary()), "seen": pa.array([pack(add(seconds + 1)), *blank], pa.binary()),
         })
 
-    asked = chunks.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "chunk long, bucket long, keys binary, counts binary, seconds binary")
+    asked = chunks.select(*_TEXT).groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "chunk long, bucket long, keys binary, counts binary, seconds binary")
+    asked = stored(asked, "asked")  # so that the shuffle of the chunks goes before that of their pairs comes
+    drop(looked_up)
     both = stored(asked.groupBy("bucket").applyInArrow(count, _PAIRS), "pairs")
-    release(chunks.sparkSession)
+    drop(asked)
     table = both.filter("chunk is null")
     histogram = list(table.agg(*[F.coalesce(F.sum(F.element_at("histogram", r)), F.lit(0)) for r in range(1, most + 2)]).first())
     found = discounts(histogram, most)
@@ -305,7 +311,7 @@ def score_katz(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_c
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "counts": pa.array(_answers(asked, keys, counts), pa.binary())})
 
     model_words, buckets = model.n_words, model.buckets
-    requests = chunks.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "chunk long, bucket long, keys binary")
+    requests = chunks.select(*_TEXT).groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(ask, "chunk long, bucket long, keys binary")
     answers = requests.groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket long, counts binary")
     return _scores(chunks, model, stored(answers, "answers"))
 
@@ -320,7 +326,8 @@ def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
 def _scores(chunks: DataFrame, model: KatzModel, answers: DataFrame) -> DataFrame:
     n_words, buckets, whole, cut = model.n_words, model.buckets, float(model.n_tokens + model.n_words + 1), np.array([1.0, *model.discounts])
     release(chunks.sparkSession)
-    looked_up = _looked_up(chunks, model.words, "id", "n", "total", "log_alpha")
+    looked_up = stored(_looked_up(chunks, model.words, "id", "n", "total", "log_alpha"), "looked_up")
+    release(chunks.sparkSession)
     # the dictionary and the answers of a chunk travel together, as rows of two kinds
     nothing = lambda *kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds]
     replies = answers.select(F.col("chunk").alias("of"), *nothing(("at", "int"), ("id", "long"), ("n", "long"), ("total", "long"), ("log_alpha", "double")), "bucket", "counts")
@@ -345,6 +352,6 @@ def _scores(chunks: DataFrame, model: KatzModel, answers: DataFrame) -> DataFram
         return pa.table({"row": lists[0], "doc_id": lists[1], "n_tokens": pa.array(c.sizes), "n_known": add((c.n[c.codes] > 0).astype(np.int64)), "base_score": add(base), "score": add(score)})
 
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
-    pieces = chunks.groupBy("chunk").cogroup(both.groupBy("of")).applyInArrow(evaluate, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    pieces = chunks.select(*_TEXT, "rows", "ids").groupBy("chunk").cogroup(both.groupBy("of")).applyInArrow(evaluate, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     sums = [F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]
     return pieces.groupBy("row", "doc_id").agg(*sums).drop("row")
