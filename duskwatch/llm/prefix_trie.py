@@ -91,13 +91,13 @@ def rebuilt(placed: DataFrame, family: int = FAMILY, heads: int = HEADS) -> tupl
     return convs.select("conv", "total"), given.unionByName(kept)
 
 
-def segments(convs: DataFrame, turns: DataFrame) -> DataFrame:
+def segments(convs: DataFrame, turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(conv, level, root, key, sizes, more): the segments of each conversation; one without turns has an empty one."""
-    held = turns.groupBy("conv", F.floor(F.col("depth") / SEGMENT).alias("level")).agg(
+    held = turns.groupBy("conv", F.floor(F.col("depth") / segment).alias("level")).agg(
         F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("depth", "digest", "size"))).alias("t")
     )
     key = F.aggregate("t", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["digest"]))
-    held = held.select("conv", "level", key.alias("key"), F.transform("t", lambda x: x["size"]).alias("sizes"), ((F.col("level") + 1) * SEGMENT < F.col("total")).alias("more"), "total")
+    held = held.select("conv", "level", key.alias("key"), F.transform("t", lambda x: x["size"]).alias("sizes"), ((F.col("level") + 1) * segment < F.col("total")).alias("more"), "total")
     none = convs.filter("total = 0").select("conv", F.lit(0).cast("long").alias("level"), F.lit(b"").cast("binary").alias("key"), F.array().cast("array<long>").alias("sizes"), F.lit(False).alias("more"), "total")
     held = stored(held.unionByName(none), "segments")
 
@@ -111,10 +111,10 @@ def segments(convs: DataFrame, turns: DataFrame) -> DataFrame:
                 root = below(root, digest)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roots, pa.binary())], names=["conv", "level", "root"])
 
-    long = held.filter(F.col("total") > SEGMENT)
+    long = held.filter(F.col("total") > segment)
     digests = long.select("conv", "level", F.unhex(F.sha2("key", 256)).alias("digest"))
     roots = digests.repartition("conv").sortWithinPartitions("conv", "level").mapInArrow(chain, "conv long, level long, root binary")
-    top = held.filter(F.col("total") <= SEGMENT).withColumn("root", F.lit(TOP))
+    top = held.filter(F.col("total") <= segment).withColumn("root", F.lit(TOP))
     return stored(top.unionByName(long.join(roots, ["conv", "level"])).drop("total"), "rooted")
 
 
@@ -189,7 +189,7 @@ class _Open:
         self.saved += saved
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _points(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     """Each point with its sums over the segments of a range."""
     out: list[tuple] = []
     path: list[_Open] = []
@@ -205,7 +205,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for depth in range(after + 1) if closes else [after] if after >= 0 else []:
             _split(path, depth)
         while path and (closes or path[-1].depth > after):
-            _close(path, row, out)
+            _close(path, row, out, segment)
         if len(out) >= 10_000:
             yield _batch(out)
             out = []
@@ -221,7 +221,7 @@ def _split(path: list[_Open], depth: int) -> None:
         path.insert(at, _Open(depth, True, 1))
 
 
-def _close(path: list[_Open], row: dict, out: list[tuple]) -> None:
+def _close(path: list[_Open], row: dict, out: list[tuple], segment: int) -> None:
     """Take the last point off the path, write it down and add it to the one above."""
     point, root, key, level = path.pop(), row["root"], row["key"], row["level"]
     node = node_of(root, key[: point.depth * WIDTH])
@@ -236,7 +236,7 @@ def _close(path: list[_Open], row: dict, out: list[tuple]) -> None:
     times = point.n - point.fresh
     saved = point.saved + edge[-1] * times
     tails = [sum(edge[i:-1]) for i in range(len(edge))]
-    out.append((node, node_of(root, key[: above.depth * WIDTH]), level * SEGMENT + point.depth, point.conv, point.n, point.children, point.leaves, saved, tails))
+    out.append((node, node_of(root, key[: above.depth * WIDTH]), level * segment + point.depth, point.conv, point.n, point.children, point.leaves, saved, tails))
     above.add(point.n, point.conv, point.leaves, saved + tails[0] * times)
 
 
@@ -285,7 +285,7 @@ def digest_of(role: Column, text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256), 1, 2 * WIDTH))
 
 
-def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", family: int = FAMILY, heads: int = HEADS) -> DataFrame:
+def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", family: int = FAMILY, heads: int = HEADS, segment: int = SEGMENT) -> DataFrame:
     """One row per node of the trie of rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     Turns are ordered by number, null first, and equal numbers by the digest of role and text; rows that repeat are
@@ -296,10 +296,10 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = rows.select(F.col("conv").cast("long").alias("conv"), "turn", digest_of(role, text).alias("digest"), F.char_length(text).cast("long").alias("size"))
     convs, rebuilt_turns = rebuilt(numbered_turns(turns), family, heads)
-    rooted = segments(convs, rebuilt_turns)
+    rooted = segments(convs, rebuilt_turns, segment)
     ranges = sorted_paths(rooted)
     ranges = stored(ranges.join(_below(rooted, ranges), ["root", "key"], "left").na.fill(0, ["below_saved", "below_leaves"]), "summed")
-    parts = in_order(ranges, "n", "conv", "sizes", "level", "more", "below_saved", "below_leaves").mapInArrow(_points, "node binary, parent binary, depth long, conv long, n long, children long, leaves long, saved long, tails array<long>")
+    parts = in_order(ranges, "n", "conv", "sizes", "level", "more", "below_saved", "below_leaves").mapInArrow(lambda batches: _points(batches, segment), "node binary, parent binary, depth long, conv long, n long, children long, leaves long, saved long, tails array<long>")
     points = parts.groupBy("node").agg(
         F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.min("conv").alias("conv"), F.sum("n").alias("n"), F.sum("children").alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"), F.max("tails").alias("tails")
     )

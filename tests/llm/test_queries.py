@@ -24,6 +24,7 @@ COLUMNS = {
     "op7_simhash": "doc_id fingerprint component_id",
     "op8_token_store": "doc_id start n_tokens ids_crc32",
     "op10_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op13_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
 
@@ -47,7 +48,7 @@ def test_columns_and_rows(results, docs):
 
 def test_sql_agrees(results):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.execute(sql).fetchdf()
