@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 # Slices of a behaviour vector by (first, end), their weights, and the category limits.
 BSF_SLICES = {"structural": ((0, 64),), "temporal": ((84, 92),), "behavioural": ((64, 84), (92, 128))}
@@ -100,15 +97,3 @@ def jaccard(a: Column, b: Column) -> Column:
     """Shared distinct elements over all distinct elements; 0 if both are empty."""
     every = F.size(F.array_union(a, b))
     return F.when(every == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / every)
-
-
-def sign_bits(planes: list[list[float]]):
-    """Arrow function of a vector column: bit i is set where the vector lies on the positive side of plane i."""
-    table = np.array(planes).T
-    weight = 1 << np.arange(len(planes), dtype=np.int64)
-
-    @F.pandas_udf(LongType())
-    def bits(v: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(v.to_numpy()) @ table >= 0) @ weight if len(v) else [], dtype="int64")
-
-    return bits

@@ -130,19 +130,6 @@ def best_signature(rows: DataFrame, signatures: DataFrame, key: str, vector: str
     return best.select(key, (-F.col("b.__neg")).alias(name), "b.similarity")
 
 
-def planes(n: int, size: int, seed: int = 42) -> list[list[float]]:
-    return np.random.default_rng(seed).standard_normal((n, size)).round(6).tolist()
-
-
-def lsh_candidates(rows: DataFrame, queries: DataFrame, key: str, vector: str, size: int, bits: int = 40, within: int = 8) -> DataFrame:
-    """Pairs whose random-projection signatures differ in at most ``within`` bits."""
-    signature = V.sign_bits(planes(bits, size))
-    signed = rows.select(key, signature(V.doubles(F.col(vector))).alias("bits"))
-    q = _small(queries.select(F.col(key).alias("query"), signature(V.doubles(F.col(vector))).alias("query_bits")))
-    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("query_bits")))
-    return signed.join(q, (far <= within) & (F.col(key) != F.col("query"))).select("query", key, far.cast("int").alias("differing"))
-
-
 def centroid(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean vector of each group: element-wise averages, put back in order."""
     parts = rows.select(by, F.posexplode(V.doubles(F.col(vector))).alias("at", "x")).groupBy(by, "at").agg(F.avg("x").alias("mean"))

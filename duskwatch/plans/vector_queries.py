@@ -193,12 +193,6 @@ def novelty_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy(S.novelty_category(F.col("nov")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@register("lsh_candidates")
-def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _e(spark, sf_dir)
-    return similarity.lsh_candidates(rows, rows.filter(_QUERY), "vec_id", "embedding", 64, within=12)
-
-
 @register("local_outliers")
 def local_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlier factor of each query vector among itself and its five nearest, with the novelty that follows."""
