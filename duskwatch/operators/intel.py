@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import substring_matches
+
 
 def match_by_priority(events: DataFrame, key: str, indicators: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Best indicator hit per event: each family's value is joined once by equality, the first family in order wins.
@@ -20,9 +22,12 @@ def match_by_priority(events: DataFrame, key: str, indicators: DataFrame, values
     return hits.groupBy(key).agg(best.alias("b")).select(key, "b.family", "b.value", "b.label")
 
 
-def containing(left: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """Pairs whose text holds the word as a substring; empty words match nothing. ``words`` must be a small list."""
-    return left.join(F.broadcast(words.filter(F.length(word) > 0)), F.contains(F.lower(F.col(text)), F.lower(F.col(word))))
+def containing(left: DataFrame, key: str, text: str, words: DataFrame, word: str) -> DataFrame:
+    """(key, word) for the words that occur anywhere in a text, upper and lower case alike; empty words match nothing."""
+    lowered = left.select(key, F.lower(F.col(text)).alias("__text"))
+    named = words.select(F.col(word).alias("__word"), F.lower(F.col(word)).alias("__low"))
+    found = substring_matches(lowered, key, "__text", named, "__low").withColumnRenamed("word", "__low")
+    return found.join(named, "__low").select(key, F.col("__word").alias(word))
 
 
 def token_matches(left: DataFrame, key: str, text: str, words: DataFrame, word: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .matching import first_patterns, substring_matches
+from .steps import stored
+
 # States that count, kinds of feedback, what follows from each, and the sections of an indicator file.
 REJECTED, CONFIRMED, UNREVIEWED = "Analyst Rejected", "Analyst Confirmed", "Unreviewed"
 FEEDBACK = ("true_positive", "false_positive", "false_negative")
@@ -180,14 +183,14 @@ def pattern_matches(evidence: DataFrame, key: str, patterns: DataFrame, most: in
     """Of each profile the first ``most`` attack patterns whose name or description holds one of its keywords.
 
     ``evidence`` has (key, keyword), ``patterns`` (pattern_id, name, description). Keywords of three letters or fewer
-    match nothing. A profile without a match gets the fallback patterns that exist. Distinct keywords are compared with
-    patterns once, however many profiles hold them.
+    match nothing. First is by id. A profile without a match gets the fallback patterns that exist. Patterns are read
+    once for all different keywords, however many profiles hold them.
     """
     words = evidence.filter(F.length("keyword") > 3).select(F.lower("keyword").alias("word")).distinct()
     text = patterns.select("pattern_id", F.lower(F.concat_ws("\n", "name", "description")).alias("text"))
-    held = words.join(text, F.contains("text", "word")).select("word", "pattern_id")
-    found = evidence.select(key, F.lower("keyword").alias("word")).join(held, "word").select(key, "pattern_id").distinct()
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pattern_id"))).filter(F.col("rank") <= most)
+    held = stored(substring_matches(text, "pattern_id", "text", words, "word"), "held")
+    asked = evidence.filter(F.length("keyword") > 3).select(key, F.lower("keyword").alias("word"))
+    found = ranked = stored(first_patterns(asked, key, held, most), "patterns")
     general = patterns.filter(F.col("pattern_id").isin(*fallback)).select("pattern_id", F.row_number().over(Window.orderBy("pattern_id")).alias("rank"))
     rest = evidence.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(general))
     return ranked.unionByName(rest.select(key, "pattern_id", "rank"))

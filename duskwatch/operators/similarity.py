@@ -122,12 +122,15 @@ def at_least(rows: DataFrame, queries: DataFrame, key: str, vector: str, similar
 
 
 def best_signature(rows: DataFrame, signatures: DataFrame, key: str, vector: str, name: str, above: float) -> DataFrame:
-    """Best signature of each row if its similarity is above the limit; ties by name."""
-    s = _small(signatures.select(name, F.col(vector).alias("__s")))
-    scored = rows.select(key, vector).crossJoin(s).select(key, name, V.bsf(V.doubles(F.col(vector)), V.doubles(F.col("__s")), V.BSF_SLICES_64).alias("similarity"))
-    scored = scored.filter(F.col("similarity") > above)
-    best = scored.groupBy(key).agg(F.max(F.struct("similarity", F.expr(f"-{name}").alias("__neg"))).alias("b"))
-    return best.select(key, (-F.col("b.__neg")).alias(name), "b.similarity")
+    """(key, name, similarity): best signature of each row if its behavioural similarity is above the limit; ties by name.
+
+    Signatures are the queries: they go to every task in blocks, whatever the type of their name.
+    """
+    named = signatures.filter(F.col(vector).isNotNull()).select(F.xxhash64(F.lit("signature"), F.col(name).cast("string")).alias(key), F.col(name), F.col(vector))
+    pairs = _compared(rows, named, key, vector, "behavioural", lambda far: far < 1 - above)
+    scored = pairs.withColumn("similarity", 1 - F.col("distance")).join(_small(named.select(F.col(key).alias("query"), name)), "query")
+    w = Window.partitionBy(key).orderBy(F.round("distance", 12), name)
+    return scored.withColumn("__rn", F.row_number().over(w)).filter((F.col("__rn") == 1) & (F.col("similarity") > above)).select(key, name, "similarity")
 
 
 def centroid(rows: DataFrame, by: str, vector: str) -> DataFrame:
@@ -147,32 +150,3 @@ def local_outlier_factor(points: np.ndarray, k: int) -> np.ndarray:
     reach = np.maximum(np.take_along_axis(d, order, 1), reach_of[order])
     density = 1 / np.maximum(reach.mean(1), 1e-12)
     return density[order].mean(1) / density
-
-
-def dbscan(rows: DataFrame, key: str, vector: str, eps: float, min_points: int, cell: DataFrame | None = None) -> DataFrame:
-    """Density clusters by cosine distance: (key, cluster); noise has a null cluster.
-
-    Neighbours are found within each row's blocks, which ``cell`` (key, block) gives; without it, rows are
-    compared with all, in a size-checked set.
-    """
-    if cell is None:
-        pairs = distances(rows, rows, key, vector).filter(F.col("distance") <= eps).select("query", key)
-    else:
-        a = rows.join(cell, key).select("block", F.col(key).alias("query"), F.col(vector).alias("__q"))
-        b = rows.join(cell, key).select("block", key, vector)
-        near = MEASURES["cosine"](V.doubles(F.col("__q")), V.doubles(F.col(vector))) <= eps
-        pairs = a.join(b, "block").filter((F.col(key) != F.col("query")) & near).select("query", key).distinct()
-    core = pairs.groupBy("query").count().filter(F.col("count") + 1 >= min_points).select("query")
-    pairs = pairs.join(core, "query")
-    cores = core.select(F.col("query").alias("node"), F.col("query").alias("cluster"))
-    core_links = pairs.join(core.withColumnRenamed("query", key), key, "left_semi").select("query", F.col(key).alias("other"))
-    while True:
-        offered = core_links.join(cores.withColumnRenamed("node", "query"), "query").groupBy("other").agg(F.min("cluster").alias("offer"))
-        joined = cores.join(offered, cores["node"] == offered["other"], "left")
-        new = joined.select("node", F.least("cluster", F.coalesce("offer", "cluster")).alias("cluster"), "cluster").toDF("node", "cluster", "old").checkpoint()
-        if new.filter("cluster <> old").isEmpty():
-            break
-        cores = new.select("node", "cluster")
-    border = pairs.join(cores.withColumnRenamed("node", "query"), "query").groupBy(key).agg(F.min("cluster").alias("reached"))
-    own = cores.select(F.col("node").alias(key), F.col("cluster").alias("own"))
-    return rows.select(key).join(own, key, "left").join(border, key, "left").select(key, F.coalesce("own", "reached").alias("cluster"))

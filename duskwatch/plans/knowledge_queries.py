@@ -333,8 +333,8 @@ def unlisted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "attack_pattern_matches",
     """
-    WITH e AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' ')[1:6])) AS word FROM documents), k AS (SELECT doc_id, word FROM e WHERE length(word) > 3),
-    p AS (SELECT concat('CAPEC-', p_partkey) AS pattern_id, lower(concat(p_name, chr(10), p_type)) AS t FROM part WHERE p_partkey <= 400),
+    WITH e AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM documents), k AS (SELECT doc_id, word FROM e WHERE length(word) > 3),
+    p AS (SELECT concat('CAPEC-', p_partkey) AS pattern_id, lower(concat(p_name, chr(10), p_type)) AS t FROM part),
     b AS (SELECT concat('CAPEC-x', item_id) AS pattern_id, lower(concat('i', chr(10), text)) AS t FROM benchmark), q AS (SELECT * FROM p UNION ALL SELECT * FROM b),
     w AS (SELECT DISTINCT word FROM k), m AS (SELECT word, pattern_id FROM w JOIN q ON contains(t, word)), f AS (SELECT DISTINCT doc_id, pattern_id FROM k JOIN m USING (word)),
     r AS (SELECT doc_id, pattern_id, row_number() OVER (PARTITION BY doc_id ORDER BY pattern_id) AS rank FROM f),
@@ -343,9 +343,9 @@ def unlisted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def attack_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 6))
+    words = F.array_distinct(F.split(F.lower("text"), " "))
     evidence = _t(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("keyword"))
-    parts = _t(spark, sf_dir, "part").filter("p_partkey <= 400").select(F.concat(F.lit("CAPEC-"), F.col("p_partkey").cast("string")).alias("pattern_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    parts = _t(spark, sf_dir, "part").select(F.concat(F.lit("CAPEC-"), F.col("p_partkey").cast("string")).alias("pattern_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
     items = _t(spark, sf_dir, "benchmark").select(F.concat(F.lit("CAPEC-x"), F.col("item_id").cast("string")).alias("pattern_id"), F.lit("i").alias("name"), F.col("text").alias("description"))
     return K.pattern_matches(evidence, "doc_id", parts.unionByName(items))
 

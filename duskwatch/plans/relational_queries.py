@@ -382,7 +382,7 @@ def ioc_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ioc_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([("idiot",), ("trash",), ("license",)], "word string")
-    return intel.containing(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", words, "word").select("doc_id", "word")
+    return intel.containing(_t(spark, sf_dir, "documents"), "doc_id", "text", words, "word")
 
 
 @register(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions import net, scoring, text
 from duskwatch.functions import vectors as V
 from duskwatch.functions.stats import nearest_rank
-from duskwatch.operators import graphs, learning, similarity, windows
+from duskwatch.operators import clusters, graphs, learning, similarity, windows
 from duskwatch.streaming import streams
 
 
@@ -66,8 +66,7 @@ def test_outlier_factor():
 def test_dbscan(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (np.eye(4)[i // 10] + rng.normal(size=4) * 0.01).tolist()) for i in range(30)] + [(99, [1.0, 1.0, 1.0, 1.0])]
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    got = dict(map(tuple, similarity.dbscan(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.15, 3).collect()))
+    got = dict(map(tuple, clusters.dbscan(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.15, 3).collect()))
     assert [got[i] for i in (0, 9, 10, 19, 20, 29, 99)] == [0, 0, 10, 10, 20, 20, None]
 
 
