@@ -53,7 +53,7 @@ class KatzModel:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers by planes of bytes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
 
 
 def _numbered(words: DataFrame) -> DataFrame:
-    """(word, n, id): numbers from 0 without gaps, frequent words first, by the rows of each sorted range and the ranges before it."""
+    """Stored (word, n, id): numbers from 0 without gaps, frequent words first, by the rows of each sorted range and the ranges before it."""
     ordered = words.repartitionByRange(F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
     parts = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "words")
     part = F.shiftright("at", 33)
@@ -142,7 +142,9 @@ def _numbered(words: DataFrame) -> DataFrame:
     before = np.cumsum([0, *[n for _, n in counts]]).tolist()
     starts = parts.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "part long, before long")
     numbered = parts.withColumn("part", part).join(F.broadcast(starts), "part")
-    return numbered.select("word", "n", (F.col("at") - F.shiftleft("part", 33) + F.col("before")).alias("id"))
+    out = stored(numbered.select("word", "n", (F.col("at") - F.shiftleft("part", 33) + F.col("before")).alias("id")), "vocabulary")
+    drop(parts)
+    return out
 
 
 def _looked_up(chunks: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
@@ -230,7 +232,7 @@ _PAIRS = "chunk long, bucket long, keys binary, counts binary, histogram array<l
 def _fit(chunks: DataFrame, most: int, bucket_tokens: int) -> tuple[KatzModel, DataFrame]:
     """The model of the training pieces of ``chunks``; with it the counts of each chunk's pairs, by bucket."""
     counted = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n")).filter("n > 0")
-    words = stored(_numbered(counted.groupBy("word").agg(F.sum("n").alias("n"))), "vocabulary")
+    words = _numbered(counted.groupBy("word").agg(F.sum("n").alias("n")))
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-n_tokens // bucket_tokens))
     release(chunks.sparkSession)
@@ -279,8 +281,9 @@ def _fit(chunks: DataFrame, most: int, bucket_tokens: int) -> tuple[KatzModel, D
     total = F.col("n") + F.when(F.col("lost") > 0, 0).otherwise(1)
     left = F.when(F.col("lost") > 0, F.col("lost")).otherwise(1) / total
     free = 1 - F.col("seen") / F.lit(float(n_tokens + n_words + 1))
-    words = stored(words.join(sums, "id").select("word", "id", "n", total.cast("long").alias("total"), F.log10(left / free).alias("log_alpha")), "weights")
-    return KatzModel(words, table.select("bucket", "keys", "counts"), n_tokens, n_words, buckets, found), both.filter("chunk is not null").select("chunk", "bucket", "counts")
+    weights = stored(words.join(sums, "id").select("word", "id", "n", total.cast("long").alias("total"), F.log10(left / free).alias("log_alpha")), "weights")
+    drop(words)
+    return KatzModel(weights, table.select("bucket", "keys", "counts"), n_tokens, n_words, buckets, found), both.filter("chunk is not null").select("chunk", "bucket", "counts")
 
 
 def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, most: int = MOST, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> KatzModel:
