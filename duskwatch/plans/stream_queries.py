@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.streaming import streams
+from duskwatch.streaming import keyed, streams
 
 from .registry import register
 
@@ -56,3 +56,39 @@ def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = streams.bucket_counts(_stream(spark, sf_dir), "ts", "1 hour", "3 hours", "1 hour", "event_type")
     rows = streams.run_to_end(counts, "complete")
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.col("n") / 10800.0).alias("rate"))
+
+
+@register(
+    "stream_first_sight",
+    """
+    WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+    k AS (SELECT user_id, min(us) AS us FROM o GROUP BY 1 UNION ALL SELECT o.user_id, min(o.us) FROM k JOIN o ON o.user_id = k.user_id AND o.us >= k.us + 3600000000 GROUP BY o.user_id, k.us)
+    SELECT k.user_id, min(o.event_id) AS event_id FROM k JOIN o ON o.user_id = k.user_id AND o.us = k.us GROUP BY k.user_id, k.us
+    """,
+)
+def stream_first_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are no repeat within the hour after the last one kept of their user."""
+    rows = streams.run_to_end(keyed.first_sights(_stream(spark, sf_dir), "user_id", "ts", "event_id", 3600, "60 days"))
+    return rows.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"))
+
+
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streams.run_to_end(keyed.newest(_stream(spark, sf_dir), "event_type", "ts", "event_id"), "update")
+    return rows.join(rows.groupBy("key").agg(F.max("batch").alias("batch")), ["key", "batch"])
+
+
+@register(
+    "stream_newest",
+    "SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS INTEGER) AS place FROM events WHERE ts IS NOT NULL QUALIFY place <= 100",
+)
+def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred newest events of each type, as the stream holds them at its end."""
+    return _newest(spark, sf_dir).select(F.col("key").alias("event_type"), F.col("id").alias("event_id"), "place")
+
+
+@register("stream_freshness", "SELECT event_type, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) < 900000000 AS fresh FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which event types had an event in the quarter of an hour before the newest of all."""
+    held = _newest(spark, sf_dir)
+    now = held.agg(F.max("at")).first()[0] or 0
+    return keyed.freshness(held, now).select(F.col("key").alias("event_type"), "fresh")

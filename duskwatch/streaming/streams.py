@@ -62,7 +62,8 @@ def split_late(stream: DataFrame, ts: str, late: str, sink: Callable[[DataFrame,
 def run_to_end(query_df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a bounded stream to its end, write what it puts out as Parquet to the shared folder, and read that.
 
-    In complete mode every batch writes the whole result to a folder of its own; the newest is the result.
+    In complete mode every batch writes the whole result to a folder of its own; the newest is the result. In update mode all
+    batches are kept, with their number in ``batch``.
     """
     spark = query_df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -80,5 +81,9 @@ def run_to_end(query_df: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         writer.format("parquet").option("path", f"{path}/result").start().awaitTermination()
         return spark.read.schema(query_df.schema).parquet(f"{path}/result")
+    if mode == "update":
+        add = lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/result/part={number}")
+        writer.foreachBatch(add).start().awaitTermination()
+        return spark.read.schema(query_df.withColumn("batch", F.lit(0).cast("long")).schema).parquet(f"{path}/result").drop("part")
     writer.foreachBatch(write).start().awaitTermination()
     return spark.read.parquet(last["path"]) if last["path"] else spark.createDataFrame([], query_df.schema)
