@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -68,3 +68,68 @@ def retraining_triggers(n_new: Column, accuracy: Column, baseline: Column, growt
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, iterations: int = 20):
     return KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="features").fit(df)
+
+
+def averages(per_class: DataFrame) -> DataFrame:
+    """One row from evaluation(): accuracy, and precision, recall and F1 averaged over classes (macro) and by support (weighted)."""
+    total = F.sum("support")
+    mean = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [F.when(total > 0, F.sum(F.col(c) * F.col("support")) / total).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    return per_class.agg(F.max("accuracy").alias("accuracy"), *mean, *weighted)
+
+
+def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Rows for every pair of true and predicted class that occurs."""
+    return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def fold(key: str, folds: int = 5) -> Column:
+    """A fold from 0 that depends on the key alone, so reruns and any partitioning agree."""
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(key).cast("string")), F.lit(folds)).cast("int")
+
+
+def ensemble(n_features: int, n_classes: int, trees: int = 50, seed: int = 42) -> list:
+    """Random forest, one-against-rest support vectors and a multilayer perceptron, to be fitted on the same rows."""
+    forest = RandomForestClassifier(numTrees=trees, seed=seed)
+    vectors = OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.01), parallelism=2)
+    layers = MultilayerPerceptronClassifier(layers=[n_features, 32, n_classes], seed=seed, maxIter=60)
+    return [forest, vectors, layers]
+
+
+def fit_ensemble(rows: DataFrame, n_features: int, n_classes: int, trees: int = 50, seed: int = 42) -> list:
+    """The fitted models of ensemble() on rows with ``features`` and ``label`` (0 to n_classes - 1)."""
+    return [m.fit(rows) for m in ensemble(n_features, n_classes, trees, seed)]
+
+
+def classify(models: list, rows: DataFrame, key: str, n_classes: int) -> DataFrame:
+    """(key, predicted, probability, votes): the mean of the models' class probabilities, its top class (the lowest of equals), and who votes for it.
+
+    Support vectors give no probabilities; their margins go through a softmax.
+    """
+    out = rows
+    for i, model in enumerate(models):
+        scores = vector_to_array("probability") if "probability" in model.transform(rows).columns else vector_to_array("rawPrediction")
+        scored = model.transform(out).withColumn(f"__s{i}", scores)
+        if "probability" not in scored.columns:
+            top = F.array_max(f"__s{i}")
+            scored = scored.withColumn(f"__s{i}", F.transform(f"__s{i}", lambda x: F.exp(x - top)))
+            whole = F.aggregate(f"__s{i}", F.lit(0.0), lambda a, x: a + x)
+            scored = scored.withColumn(f"__s{i}", F.transform(f"__s{i}", lambda x: x / whole))
+        out = scored.drop("probability", "rawPrediction", "prediction")
+    each = [F.col(f"__s{i}") for i in range(len(models))]
+    mean = F.array(*[sum((F.get(s, F.lit(c)) for s in each), F.lit(0.0)) / len(models) for c in range(n_classes)])
+    out = out.withColumn("probabilities", mean).withColumn("probability", F.array_max("probabilities")).withColumn("predicted", F.array_position("probabilities", F.col("probability")).cast("int") - 1)
+    votes = sum(((F.array_position(s, F.array_max(s)) - 1 == F.col("predicted")).cast("int") for s in each), F.lit(0))
+    return out.select(key, "predicted", "probability", votes.alias("votes"))
+
+
+def cross_validated(rows: DataFrame, key: str, n_features: int, n_classes: int, folds: int = 5, trees: int = 50, seed: int = 42) -> DataFrame:
+    """(fold, key, truth, predicted, probability, votes): every row judged by an ensemble fitted on the other folds."""
+    placed = rows.withColumn("fold", fold(key, folds))
+    out = None
+    for i in range(folds):
+        test = placed.filter(F.col("fold") == i)
+        models = fit_ensemble(placed.filter(F.col("fold") != i), n_features, n_classes, trees, seed)
+        found = classify(models, test, key, n_classes).join(test.select(key, "fold", F.col("label").cast("int").alias("truth")), key)
+        out = found if out is None else out.unionByName(found)
+    return out.select("fold", key, "truth", "predicted", "probability", "votes")

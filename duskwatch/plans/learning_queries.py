@@ -64,3 +64,35 @@ def retraining_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     g = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg((F.col("toxic") == 0).cast("double")).alias("accuracy"))
     return g.select("lang", "n", F.array_join(learning.retraining_triggers(F.col("n"), F.col("accuracy"), F.lit(0.9)), ",").alias("triggers"))
+
+
+_JUDGED = """
+    j AS (SELECT event_id, event_type AS truth, CASE event_id % 7 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE event_type END AS predicted FROM events),
+    c AS (SELECT truth AS class, count(*) AS support, count(*) FILTER (truth = predicted) AS tp FROM j GROUP BY 1), p AS (SELECT predicted AS class, count(*) AS claimed FROM j GROUP BY 1),
+    m AS (SELECT class, support, tp, coalesce(tp / claimed, 0) AS precision, tp / support AS recall FROM c LEFT JOIN p USING (class)),
+    f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM m)
+"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    claimed = F.when(F.col("event_id") % 7 == 0, "view").when(F.col("event_id") % 7 == 1, "click").otherwise(F.col("event_type"))
+    return e.select("event_id", F.col("event_type").alias("truth"), claimed.alias("predicted"))
+
+
+@register(
+    "evaluation_averages",
+    f"""
+    WITH {_JUDGED} SELECT round(sum(tp) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1,
+      round(sum(precision * support) / sum(support), 9) AS weighted_precision, round(sum(recall * support) / sum(support), 9) AS weighted_recall, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM f
+    """,
+)
+def evaluation_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of a judgement of all events."""
+    found = learning.averages(learning.evaluation(_judged(spark, sf_dir), "truth", "predicted"))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+@register("confusion_table", f"WITH {_JUDGED} SELECT truth, predicted, count(*) AS n FROM j GROUP BY ALL")
+def confusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.confusion(_judged(spark, sf_dir), "truth", "predicted")
