@@ -73,13 +73,18 @@ def prune(nodes: DataFrame, edges: DataFrame, by: str, most: int = MAX_NODES, un
 
 
 def _triangle_rows(edges: DataFrame, by: str) -> DataFrame:
-    e = edges.select(by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
+    """(by, a, b, c) of each triangle. Edges are turned from the node with fewer neighbours, ties by node: so a hub, where many end, starts few."""
+    e = edges.select(by, F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).filter("x <> y").distinct()
+    around = e.select(by, F.explode(F.array("x", "y")).alias("node")).groupBy(by, "node").agg(F.count("*").alias("n"))
+    of = lambda side: around.select(by, F.col("node").alias(side), F.struct("n", "node").alias(f"{side}_at"))
+    ranked = e.join(of("x"), [by, "x"]).join(of("y"), [by, "y"])
+    e = ranked.select(by, F.least("x_at", "y_at")["node"].alias("a"), F.greatest("x_at", "y_at")["node"].alias("b"))
     f, g = e.select(by, F.col("a").alias("b"), F.col("b").alias("c")), e.select(by, "a", F.col("b").alias("c"))
     return e.join(f, [by, "b"]).join(g, [by, "a", "c"]).select(by, "a", "b", "c")
 
 
 def triangles(edges: DataFrame, by: str) -> DataFrame:
-    """Triangles of each undirected graph: edges are turned from the smaller to the larger node, then joined twice."""
+    """Triangles of each undirected graph: turned edges are joined twice."""
     return _triangle_rows(edges, by).groupBy(by).agg(F.count("*").alias("triangles"))
 
 

@@ -12,7 +12,7 @@ from .registry import register
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = streams.file_stream(spark, sf_dir, schema, suffix="events.parquet")
+    raw = streams.file_stream(spark, f"{sf_dir}/events.parquet*", schema)  # one file, or a folder of files
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
