@@ -14,7 +14,7 @@ _PLACE = (1 << 33) - 1
 CHUNK, MALICIOUS, BENIGN, SOURCE, CONFIDENCE = 100, "Malware", "Benign", "imported", 0.9
 
 
-def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "number", partitions: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], by: list[str] | None = None, name: str = "number", partitions: int | None = None) -> DataFrame:
     """All rows with their number from 1 in the order, within each group of ``by``.
 
     Rows are sorted in ranges of (by, order), which cut through large groups, and a range starts where the totals of the
@@ -41,6 +41,18 @@ def chunks(df: DataFrame, order: list[str], by: list[str] | None = None, size: i
     return numbered(df, order, by, "chunk").withColumn("chunk", F.floor((F.col("chunk") - 1) / size).cast("long"))
 
 
+def retention(df: DataFrame, order: list[str | Column], protected: Column, most: int) -> DataFrame:
+    """Rows that stay when the lowest rows above ``most`` go; rows that are protected, or for which that is null, always stay.
+
+    Rows that go are told by their number, so of equal rows exactly as many go as must. Without an excess nothing is sorted.
+    """
+    excess = df.count() - most
+    if excess <= 0:
+        return df
+    rest = numbered(df.filter(~protected), order, name="__number").filter(F.col("__number") > excess).drop("__number")
+    return df.filter(F.coalesce(protected, F.lit(True))).unionByName(rest)
+
+
 def chunk_patterns(events: DataFrame, dataset: str, node: str, action: str, ts: str, actor: str, malicious: Column, malicious_class: Column | None = None, size: int = CHUNK) -> DataFrame:
     """One pattern for every ``size`` events of a data set in order of time: class, size of its graph, features and embedding.
 

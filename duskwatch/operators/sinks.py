@@ -34,7 +34,7 @@ def with_status(df: DataFrame, cond: Column, status: str) -> DataFrame:
 
 
 def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Replace a whole table or JSON document; readers see the old or the new one."""
+    """Replace a whole table or JSON document. Readers may find nothing meanwhile; ``tables.publish`` shows them one version or the next."""
     df.write.mode("overwrite").format(kind).save(path)
 
 

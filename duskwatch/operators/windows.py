@@ -105,15 +105,3 @@ def dedupe_within(df: DataFrame, key: list[str], ts: str, order: list[str], seco
     grouped = df.groupBy(*key, "__run").agg(F.aggregate(times, zero, step).alias("w"))
     opened = grouped.select(*key, F.explode("w").alias("w"))
     return opened.select(*key, F.timestamp_micros("w.first").cast("timestamp_ntz").alias("first_ts"), F.col("w.n").alias("repeats"))
-
-
-def retention(df: DataFrame, order: list[Column], protected: Column, most: int) -> DataFrame:
-    """Rows that stay when the lowest rows above ``most`` go, protected rows excepted.
-
-    The excess is counted first, and only that many unprotected rows are sought, so the sort is a top-k.
-    """
-    excess = max(0, df.count() - most)
-    if not excess:
-        return df
-    lowest = df.filter(~protected).orderBy(*order).limit(excess)
-    return df.exceptAll(lowest)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions import scoring, text
 from duskwatch.functions.stats import f1, nearest_rank, ratio
 from duskwatch.functions.vectors import jaccard
-from duskwatch.operators import filters, intel, windows
+from duskwatch.operators import filters, intel, numbering, windows
 
 from .registry import register
 
@@ -439,7 +439,7 @@ def residual_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
-    return windows.retention(rows, [F.col("p_retailprice"), F.col("p_partkey")], F.col("p_size") > 45, 1500).select("p_partkey")
+    return numbering.retention(rows, [F.col("p_retailprice"), F.col("p_partkey")], F.col("p_size") > 45, 1500).select("p_partkey")
 
 
 @register("ranked_recommendations", "SELECT p_partkey, p_brand FROM part ORDER BY p_size, p_retailprice DESC, p_partkey LIMIT 10")

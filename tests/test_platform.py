@@ -31,6 +31,14 @@ def test_numbers_of_an_empty_table_and_equal_rows(spark):
     assert sorted(r.number for r in same.collect()) == list(range(1, 501))
 
 
+def test_retention_counts_equal_rows(spark):
+    rows = [(1, False)] * 6 + [(0, True)] * 3 + [(0, None)] + [(5, False)] * 2
+    df = spark.createDataFrame(rows, "v int, held boolean")
+    got = sorted((tuple(r) for r in numbering.retention(df, ["v"], F.col("held"), 8).collect()), key=repr)
+    assert got == sorted([(1, False)] * 2 + [(0, True)] * 3 + [(0, None)] + [(5, False)] * 2, key=repr)
+    assert numbering.retention(df, ["v"], F.col("held"), 12).count() == 12
+
+
 def test_chunk_patterns(spark):
     rows = [("d", i, "discovery", None if i < 3 else f"2024-01-01 00:{i // 60:02}:{i % 60:02}", i % 4, i == 130) for i in range(250)] + [(None, 0, "x", "2024-01-01 00:00:00", 1, None)]
     events = spark.createDataFrame(rows, "d string, id int, action string, t string, pid int, bad boolean").withColumn("t", F.col("t").cast("timestamp"))
