@@ -164,11 +164,19 @@ def _as_struct(schema: str) -> str:
     return ",".join(fields)
 
 
+def inner_text(xml: Column) -> Column:
+    """Text of an element whose inner elements, as in catalogues, have a prefix (``<xhtml:p>``): their tags go, their text stays.
+
+    The reader has resolved entities before, so signs that were escaped, such as ``<b>``, are text and stay.
+    """
+    return F.regexp_replace(F.regexp_replace(xml, r"</?[A-Za-z_][\w.-]*:[A-Za-z_][^<>]*>", ""), r"^\s+|\s+$", "")
+
+
 def read_capec(spark: SparkSession, path: str) -> DataFrame:
-    """Attack patterns of an XML catalogue, last of an id wins."""
+    """Attack patterns of an XML catalogue, last of an id wins. A description's text counts with that of elements inside it."""
     schema = "_ID string, _Name string, Description string, Typical_Severity string, Likelihood_Of_Attack string"
     df = spark.read.format("xml").option("rowTag", "Attack_Pattern").schema(schema).load(path).withColumn("__seq", F.monotonically_increasing_id())
-    out = df.select(F.concat(F.lit("CAPEC-"), "_ID").alias("capec_id"), F.col("_Name").alias("name"), F.trim("Description").alias("description"),
+    out = df.select(F.concat(F.lit("CAPEC-"), "_ID").alias("capec_id"), F.col("_Name").alias("name"), inner_text(F.col("Description")).alias("description"),
                     F.col("Typical_Severity").alias("severity"), F.col("Likelihood_Of_Attack").alias("likelihood"), "__seq")
     return latest(out, ["capec_id"], [F.desc("__seq")]).drop("__seq")
 
@@ -183,7 +191,7 @@ def vulnerabilities(df: DataFrame) -> DataFrame:
         F.to_date(F.col("dateAdded").try_cast("date")).alias("date_added"),
         F.to_date(F.col("dueDate").try_cast("date")).alias("due_date"),
         (F.lower("knownRansomwareCampaignUse") == "known").alias("ransomware"),
-        F.filter(F.transform(F.split(F.coalesce("cwes", F.lit("")), ","), F.trim), lambda x: x != "").alias("cwes"),
+        F.filter(F.transform(F.split(F.coalesce("cwes", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("cwes"),
         "__seq",
     )
     return latest(out, ["cve_id"], [F.desc("__seq")]).drop("__seq")
@@ -240,6 +248,7 @@ FORMATS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stix": read_stix,
     "capec": read_capec,
     "kev": lambda s, p: vulnerabilities(read_csv(s, p)),
+    "honeypot_array": lambda s, p: honeypot_events(read_json(s, p, HONEYPOT)),
     "honeypot": lambda s, p: honeypot_events(read_jsonl(s, p, HONEYPOT)[0]),
     "capture": lambda s, p: capture_events(read_json(s, p, CAPTURE))[0],
 }
