@@ -140,38 +140,42 @@ def feature_vector(features: DataFrame, by: str, width: int = WIDTH) -> DataFram
     return features.select(by, F.col("node_count").cast("long").alias("n_nodes"), min_max(padded).alias("features"))
 
 
-def spectral_embedding(features: np.ndarray) -> np.ndarray:
-    """Unit vector of 128 numbers: two weighted eigenvectors of a Markov Laplacian over 32 features, and the features.
+def spectral_embeddings(features: np.ndarray) -> np.ndarray:
+    """Unit vectors of 128 numbers, one for each row of features: two weighted eigenvectors of a Markov Laplacian over the
+    first 32 features, and the features. All rows are decomposed together.
 
-    The sign of an eigenvector is fixed by its largest component.
+    The stationary distribution is the left eigenvector of the eigenvalue nearest 1. The sign of an eigenvector is fixed by its
+    largest component; of equal eigenvalues the order is the library's.
     """
-    x = features[:32]
-    p = np.exp(-2 * (x[:, None] - x[None]) ** 2)
-    p /= p.sum(1, keepdims=True)
+    x = features[:, :32]
+    p = np.exp(-2 * (x[:, :, None] - x[:, None]) ** 2)
+    p /= p.sum(2, keepdims=True)
     for _ in range(10):
+        p /= p.sum(2, keepdims=True)
         p /= p.sum(1, keepdims=True)
-        p /= p.sum(0, keepdims=True)
-    values, vectors = np.linalg.eig(p.T)
-    pi = np.abs(np.real(vectors[:, np.argmin(np.abs(values - 1))]))
-    pi /= pi.sum()
-    a = (p + p.T) / 2
-    d = pi + 1e-10
-    laplacian = (np.diag(d) - a) / np.sqrt(d[:, None] * d[None])
-    laplacian = (laplacian + laplacian.T) / 2 + 1e-7 * np.eye(len(x))
+    flipped = p.transpose(0, 2, 1)
+    values, vectors = np.linalg.eig(flipped)
+    nearest = np.abs(values - 1).argmin(1)
+    d = np.abs(np.real(np.take_along_axis(vectors, nearest[:, None, None], 2)[:, :, 0]))
+    d = d / d.sum(1, keepdims=True) + 1e-10
+    laplacian = (d[:, :, None] * np.eye(x.shape[1]) - (p + flipped) / 2) / np.sqrt(d[:, :, None] * d[:, None])
+    laplacian = (laplacian + laplacian.transpose(0, 2, 1)) / 2 + 1e-7 * np.eye(x.shape[1])
     values, vectors = np.linalg.eigh(laplacian)
-    order = np.argsort(np.abs(values), kind="stable")[:2]
-    parts = []
-    for i in order:
-        v = vectors[:, i] * np.sqrt(np.abs(values[i]) + 1e-10)
-        parts.append(v if v[np.argmax(np.abs(v))] >= 0 else -v)
-    whole = np.concatenate([*parts, features])
-    size = np.linalg.norm(whole)
-    return whole / size if size else np.full(len(whole), 1 / np.sqrt(len(whole)))
+    order = np.abs(values).argsort(axis=1, kind="stable")[:, :2]
+    v = np.take_along_axis(vectors, order[:, None], 2) * np.sqrt(np.abs(np.take_along_axis(values, order, 1)) + 1e-10)[:, None]
+    largest = np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1)
+    v = np.where(largest < 0, -v, v)
+    whole = np.concatenate([v[:, :, 0], v[:, :, 1], features], axis=1)
+    size = np.linalg.norm(whole, axis=1, keepdims=True)
+    return np.where(size > 0, whole / np.where(size > 0, size, 1), 1 / np.sqrt(whole.shape[1]))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def spectral(features: pd.Series) -> pd.Series:
-    return pd.Series([spectral_embedding(np.asarray(f)) for f in features])
+    if not len(features):
+        return pd.Series([], dtype=object)
+    rows = np.stack(features.to_numpy())
+    return pd.Series([v for at in range(0, len(rows), 1024) for v in spectral_embeddings(rows[at : at + 1024])])
 
 
 def embed_graphs(events: DataFrame, by: str, node: str, action: str, ts: str, actor: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.stats import f1, ratio
 
+from .numbering import numbered
+
 MIN_CALIBRATION = 5
 # Feedback factors and the range of a weight.
 FACTORS = {"true_positive": 1.02, "false_positive": 0.98, "false_negative": 1.05}
@@ -52,13 +54,26 @@ def evaluation(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return both.select("class", "support", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"), (F.sum("tp").over(total) / F.sum("support").over(total)).alias("accuracy"))
 
 
-def adjusted_weights(feedback: DataFrame, key: str, kind: str, order: list[str]) -> DataFrame:
-    """Weight of each key after its feedback in order: every step multiplies and clamps, so the order counts."""
+def adjusted_weights(feedback: DataFrame, key: str, kind: str, order: list[str], chunk: int = 1000) -> DataFrame:
+    """Weight of each key after its feedback in order: every step multiplies and clamps, so the order counts.
+
+    Steps in a row are one map x -> clamp(x * factor, low, high) again, so ``chunk`` neighbouring ones are folded into one at a
+    time until each key has one; no task gathers more of a key. Keys may be null. Steps that tie on ``order`` come in any order.
+    """
     table = F.create_map(*[F.lit(x) for kv in FACTORS.items() for x in kv])
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(1.0)).alias("factor"))))
     low, high = WEIGHT_RANGE
-    fold = F.aggregate(steps, F.lit(1.0), lambda w, s: F.greatest(F.lit(low), F.least(F.lit(high), w * s["factor"])))
-    return feedback.groupBy(key).agg(fold.alias("weight"))
+    step = F.struct(F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(1.0)).alias("factor"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    rows = numbered(feedback.select(key, *order, step.alias("step")), order, [key]).select(key, "number", "step")
+    clamp = lambda x, s: F.greatest(s["low"], F.least(s["high"], x * s["factor"]))
+    after = lambda a, s: F.struct((a["factor"] * s["factor"]).alias("factor"), clamp(a["low"], s).alias("low"), clamp(a["high"], s).alias("high"))
+    start = F.struct(F.lit(1.0).alias("factor"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    most = rows.agg(F.max("number")).first()[0] or 0
+    while most > 1:
+        steps = F.array_sort(F.collect_list(F.struct("number", "step")))
+        folded = F.aggregate(steps, start, lambda a, r: after(a, r["step"]))
+        rows = rows.groupBy(key, F.floor((F.col("number") - 1) / chunk).alias("at")).agg(folded.alias("step")).select(key, (F.col("at") + 1).alias("number"), "step")
+        most = -(-most // chunk)
+    return rows.select(key, clamp(F.lit(1.0), F.col("step")).alias("weight"))
 
 
 def retraining_triggers(n_new: Column, accuracy: Column, baseline: Column, growth: int = 100, drop: float = 0.05) -> Column:

@@ -503,8 +503,8 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "snapshot_diff",
     """
-    WITH a AS (SELECT user_id, max(event_type) AS t, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1),
-    b AS (SELECT user_id, max(event_type) AS t, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1)
+    WITH a AS (SELECT user_id, max(event_type) AS t, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1),
+    b AS (SELECT user_id, max(event_type) AS t, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
     SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'create' WHEN b.user_id IS NULL THEN 'delete' ELSE 'modify' END AS change
     FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.user_id IS NULL OR b.user_id IS NULL OR a.t <> b.t OR a.n <> b.n
     """,
@@ -512,7 +512,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     state = lambda c: events.filter(c).groupBy("user_id").agg(F.max("event_type").alias("t"), F.count("*").alias("n"))
-    return sets.snapshot_diff(state("ts < timestamp_ntz '2024-01-10 00:00:00'"), state("ts >= timestamp_ntz '2024-01-20 00:00:00'"), "user_id", ["t", "n"])
+    return sets.snapshot_diff(state("ts < timestamp_ntz '2024-01-15 00:00:00'"), state("ts >= timestamp_ntz '2024-01-15 00:00:00'"), "user_id", ["t", "n"])
 
 
 @register(

@@ -13,6 +13,8 @@ from duskwatch.functions.stats import nearest_rank
 from duskwatch.operators import clusters, graphs, learning, similarity, windows
 from duskwatch.streaming import streams
 
+from .plain import spectral_embedding
+
 
 def column(spark, values, expr, kind="string"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
@@ -79,10 +81,34 @@ def test_graph_features(spark):
     for r in graphs.embed_graphs(events, "g", "id", "action", "ts", "pid").collect():
         assert len(r.features) == graphs.WIDTH and min(r.features) == 0 and max(r.features) == 1
         assert len(r.embedding) == 96 + 32 and np.linalg.norm(r.embedding) == pytest.approx(1)
-        assert r.embedding == pytest.approx(graphs.spectral_embedding(np.array(r.features)).tolist())
+        assert r.embedding == pytest.approx(spectral_embedding(np.array(r.features)).tolist())
     assert graphs.embed_graphs(events.limit(0), "g", "id", "action", "ts").count() == 0
 
 
+def test_embeddings_of_many_graphs_at_once():
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([rng.random((40, graphs.WIDTH)), np.zeros((1, graphs.WIDTH)), np.ones((1, graphs.WIDTH))])
+    got = graphs.spectral_embeddings(rows)
+    assert got.shape == (42, 64 + graphs.WIDTH)
+    for i in range(40):
+        assert got[i] == pytest.approx(spectral_embedding(rows[i]), abs=1e-9)
+    assert np.allclose(np.linalg.norm(got, axis=1), 1)
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 1000])
+def test_weights_folded_in_chunks_equal_a_replay(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    kinds = [*learning.FACTORS, None, "other"]
+    rows = [(["a", "a", "a", "b", None][int(k)], i, kinds[int(t)]) for i, (k, t) in enumerate(zip(rng.integers(0, 5, 400), rng.integers(0, 5, 400)))] + [("once", 0, "false_negative")]
+    want: dict = {}
+    for key, _, kind in rows:
+        want[key] = max(0.5, min(2.0, want.get(key, 1.0) * learning.FACTORS.get(kind, 1.0)))
+    df = spark.createDataFrame(rows, "k string, at int, kind string").repartition(5)
+    got = {r.k: r.weight for r in learning.adjusted_weights(df, "k", "kind", ["at"], chunk).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(w, abs=1e-12) for k, w in want.items())
+    assert learning.adjusted_weights(df.limit(0), "k", "kind", ["at"]).count() == 0
+
+
 def test_dedupe_window(spark):
     df = spark.sql("select 'k' as k, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) as ts, id from (select explode(array(0, 2, 4, 6, 20)) as s, 1 as id)")
     got = sorted((r.first_ts.second, r.repeats) for r in windows.dedupe_within(df, ["k"], "ts", ["id"], 5).collect())
