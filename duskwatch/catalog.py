@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.plans import analysis, cluster_queries, forensic_queries, graph_queries, investigation_queries, knowledge_queries, learning_queries, more_queries, novelty_queries, platform_queries, registry, reader_queries, relational_queries, stream_queries, telemetry_queries, vector_queries  # noqa: F401
+from duskwatch.plans import analysis, cluster_queries, forensic_queries, graph_queries, investigation_queries, knowledge_queries, learning_queries, more_queries, novelty_queries, platform_queries, reader_queries, record_queries, registry, relational_queries, stream_queries, telemetry_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
