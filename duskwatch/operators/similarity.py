@@ -34,9 +34,9 @@ def _both_nonzero(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.any(a, axis=1)[:, None] & np.any(b, axis=1)[None]
 
 
-def _behavioural(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _behavioural(a: np.ndarray, b: np.ndarray, slices: dict = V.BSF_SLICES_64) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
-    for name, ranges in V.BSF_SLICES_64.items():
+    for name, ranges in slices.items():
         x, y = (np.concatenate([m[:, i:j] for i, j in ranges], axis=1) for m in (a, b))
         total += V.BSF_WEIGHTS[name] * np.where(_both_nonzero(x, y), (_cosine(x, y) + 1) / 2, 0.0)
     return np.where(_both_nonzero(a, b), np.clip(total, 0, 1), 0.0)
@@ -133,6 +133,42 @@ def best_signature(rows: DataFrame, signatures: DataFrame, key: str, vector: str
     return scored.withColumn("__rn", F.row_number().over(w)).filter((F.col("__rn") == 1) & (F.col("similarity") > above)).select(key, name, "similarity")
 
 
+def best_patterns(rows: DataFrame, patterns: DataFrame, key: str, vector: str, above: float, slices: dict = V.BSF_SLICES) -> DataFrame:
+    """(key, similarity, name, threat, matches, patterns): each row's most similar pattern, how many are above the limit, and of how many.
+
+    Patterns (name, threat, ``vector``) go to every task in blocks, and a task hands on one row for each row and block. Ties on 12
+    decimals go to the largest name, then threat. Rows with a null vector have none, and without patterns no row has one.
+    """
+    known = patterns.filter(F.col(vector).isNotNull()).select("name", "threat", V.doubles(F.col(vector)).alias("v"))
+    base = rows.filter(F.col(vector).isNotNull()).select(F.col(key), V.doubles(F.col(vector)).alias("v"))
+    kinds = {f.name: f.dataType.simpleString() for f in (*rows.select(key).schema, *known.select("name", "threat").schema)}
+    out_type = f"`{key}` {kinds[key]}, similarity double, name {kinds['name']}, threat {kinds['threat']}, matches long, patterns long"
+    found = rows.sparkSession.createDataFrame([], out_type)
+    for block in _blocks(known, "name"):
+        table = block.toArrow().sort_by([("name", "ascending"), ("threat", "ascending")])
+        if not len(table):
+            continue
+        matrix = np.array(table.column("v").to_pylist(), float).reshape(len(table), -1)
+        shared = rows.sparkSession.sparkContext.broadcast((table.select(["name", "threat"]).combine_chunks(), matrix))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
+            step = max(1, _CELLS // len(matrix))
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
+                    near = _behavioural(part.column(1).flatten().to_numpy().reshape(len(part), -1), matrix, slices)
+                    best = len(matrix) - 1 - np.round(near, 12)[:, ::-1].argmax(axis=1)
+                    picked = names.take(pa.array(best))
+                    columns = [part.column(0), pa.array(near[np.arange(len(part)), best]), *[picked.column(c).combine_chunks() for c in ("name", "threat")],
+                               pa.array((near > above).sum(axis=1)), pa.array(np.full(len(part), len(matrix)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "similarity", "name", "threat", "matches", "patterns"])
+
+        found = found.unionByName(base.mapInArrow(compare, out_type))
+    best = F.max(F.struct(F.round("similarity", 12), "name", "threat", "similarity")).alias("b")
+    return found.groupBy(key).agg(best, F.sum("matches").alias("matches"), F.sum("patterns").alias("patterns")).select(key, "b.similarity", "b.name", "b.threat", "matches", "patterns")
+
+
 def centroid(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean vector of each group: element-wise averages, put back in order."""
     parts = rows.select(by, F.posexplode(V.doubles(F.col(vector))).alias("at", "x")).groupBy(by, "at").agg(F.avg("x").alias("mean"))

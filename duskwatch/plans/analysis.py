@@ -6,41 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions import scoring as S
-from duskwatch.functions import vectors as V
 from duskwatch.functions.text import redact
-from duskwatch.operators import graphs
+from duskwatch.operators import graphs, similarity
+from duskwatch.operators.steps import stored
 
 from .registry import register
 from .telemetry import telemetry
 
-#: Up to so many known patterns are broadcast to the graphs.
-MAX_PATTERNS = 2_000
-
-
 def analyse(events: DataFrame, patterns: DataFrame, by: str) -> DataFrame:
     """Redact, build graphs, embed, compare with known patterns (name, threat, embedding), score.
 
-    One row per graph: best pattern, similarity, novelty, confidence, risk and level. The patterns are a
-    table that is broadcast if it is small.
+    One row per graph: best pattern, similarity, novelty, confidence, risk and level.
     """
     clean = events.withColumn("command", redact(F.col("command")))
-    embedded = graphs.embed_graphs(clean, by, "event_id", "event_type", "ts", "pid")
-    known = patterns.select("name", "threat", F.col("embedding").alias("__p"))
-    if known.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS:
-        known = F.broadcast(known)
-    scored = embedded.crossJoin(known).withColumn("sim", V.bsf(F.col("embedding"), F.col("__p")))
-    best = scored.groupBy("graph").agg(
-        F.max("n_nodes").alias("n_nodes"),
-        F.max(F.struct("sim", "name", "threat")).alias("b"),
-        F.count_if(F.col("sim") > 0.7).alias("matches"),
-        F.count("*").alias("patterns"),
-    )
-    s, one = F.col("b.sim"), F.lit(1.0)
+    embedded = stored(graphs.embed_graphs(clean, by, "event_id", "event_type", "ts", "pid"), "embedded")
+    best = similarity.best_patterns(embedded, patterns, "graph", "embedding", 0.7).join(embedded.select("graph", "n_nodes"), "graph")
+    s, one = F.col("similarity"), F.lit(1.0)
     novelty = S.distance_novelty(1 - s, 1 - s)
     rows = best.withColumn("novelty", novelty).withColumn("confidence", S.confidence(s, novelty, F.col("matches"), F.col("patterns"), one))
     no = F.lit(False)
-    rows = rows.withColumn("risk", S.risk(s, F.col("novelty"), F.col("confidence"), F.col("b.threat"), no, no))
-    return rows.select("graph", "n_nodes", F.col("b.name").alias("pattern"), s.alias("similarity"), "novelty", "confidence", "risk", S.risk_level(F.col("risk")).alias("level"))
+    rows = rows.withColumn("risk", S.risk(s, F.col("novelty"), F.col("confidence"), F.col("threat"), no, no))
+    return rows.select("graph", "n_nodes", F.col("name").alias("pattern"), "similarity", "novelty", "confidence", "risk", S.risk_level(F.col("risk")).alias("level"))
 
 
 @register("behaviour_analysis")

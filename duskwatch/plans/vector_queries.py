@@ -193,7 +193,23 @@ def novelty_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy(S.novelty_category(F.col("nov")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@register("local_outliers")
+@register(
+    "local_outliers",
+    f"""
+    WITH {_E}, ids AS (SELECT vec_id AS query, v FROM e WHERE vec_id % 50 = 0),
+    near AS (SELECT ids.query, e.vec_id AS p, 1 - list_cosine_similarity(ids.v, e.v) AS distance, row_number() OVER (PARTITION BY ids.query ORDER BY 1 - list_cosine_similarity(ids.v, e.v), e.vec_id) AS rank
+        FROM ids JOIN e ON e.vec_id <> ids.query QUALIFY rank <= 5),
+    points AS (SELECT query, query AS p FROM ids UNION ALL SELECT query, p FROM near),
+    far AS (SELECT a.query, a.p, b.p AS o, list_distance(x.v, y.v) AS d FROM points a JOIN points b ON a.query = b.query AND a.p <> b.p JOIN e x ON x.vec_id = a.p JOIN e y ON y.vec_id = b.p),
+    kd AS (SELECT query, p, max(d) AS kd FROM far GROUP BY ALL),
+    dense AS (SELECT f.query, f.p, 1 / greatest(avg(greatest(f.d, k.kd)), 1e-12) AS density FROM far f JOIN kd k ON k.query = f.query AND k.p = f.o GROUP BY ALL),
+    lof AS (SELECT f.query, avg(l.density) / any_value(own.density) AS lof FROM far f JOIN dense l ON l.query = f.query AND l.p = f.o JOIN dense own ON own.query = f.query AND own.p = f.p WHERE f.p = f.query GROUP BY 1),
+    facts AS (SELECT query, lof, max(distance) AS last, avg(distance) AS mean FROM near JOIN lof USING (query) GROUP BY ALL),
+    parts AS (SELECT *, least(1e0, 0.6e0 * last + 0.4e0 * mean) AS d, CASE WHEN lof > 1 THEN least((lof - 1) / 2, 1e0) ELSE 0e0 END AS f FROM facts)
+    SELECT query, round(lof, 6) AS lof, round(last, 6) AS last, round(mean, 6) AS mean, round(greatest(0e0, least(1e0, 0.6e0 * sqrt((d * d + f * f + least(1.2e0 * d, 1e0) ** 2 + 0.64e0 * d * d + 0.81e0 * f * f) / 5)
+      + 0.4e0 * (0.3e0 * d + 0.25e0 * f + 0.2e0 * least(1.2e0 * d, 1e0) + 0.15e0 * 0.8e0 * d + 0.1e0 * 0.9e0 * f))), 6) AS novelty FROM parts
+    """,
+)
 def local_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlier factor of each query vector among itself and its five nearest, with the novelty that follows."""
     rows = _e(spark, sf_dir)
@@ -208,7 +224,8 @@ def local_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"query": [frame["query"].iloc[0]], "lof": [float(lof)], "last": [float(d.max(initial=0))], "mean": [float(d.mean()) if len(d) else 0.0]})
 
     out = own.unionByName(vectors).groupBy("query").applyInPandas(factor, "query long, lof double, last double, mean double")
-    return out.withColumn("novelty", S.novelty(S.distance_novelty(F.col("last"), F.col("mean")), F.col("lof")))
+    out = out.withColumn("novelty", S.novelty(S.distance_novelty(F.col("last"), F.col("mean")), F.col("lof")))
+    return out.withColumns({c: F.round(c, 6) for c in ("lof", "last", "mean", "novelty")})
 
 
 @register("graph_embeddings")
