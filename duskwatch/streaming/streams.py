@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskwatch.operators.steps import shared_dir
 from duskwatch.sources.readers import syslog_events
 
 
@@ -43,18 +43,32 @@ def enriched(stream: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return stream.join(table, key, "left")
 
 
-def split_late(stream: DataFrame, ts: str, late: str, sink: Callable[[DataFrame, DataFrame, int], None]):
-    """A foreachBatch function that gives rows on time and late rows apart, against the newest time seen so far."""
-    newest: dict[str, object] = {"ts": None}
+def split_late(stream: DataFrame, ts: str, late: str, sink: Callable[[DataFrame, DataFrame, int], None], state: str | None = None):
+    """A foreachBatch function that gives rows on time and late rows apart, against the newest time of earlier batches.
+
+    The newest time of each batch is kept in the folder ``state``, one row a batch, so a restarted stream goes on where it
+    stopped and a batch that is run again is split the same way. Without a folder it lives in the driver only. Rows without a
+    time are on time.
+    """
+    newest: dict[int, object] = {}
+
+    def before(spark: SparkSession, number: int):
+        if state is None:
+            return max((t for n, t in newest.items() if n < number and t is not None), default=None)
+        spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("newest")).write.mode("overwrite").parquet(f"{state}/batch=-1")
+        return spark.read.schema("newest timestamp_ntz, batch long").parquet(state).filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
 
     def each(batch: DataFrame, number: int) -> None:
-        seen = newest["ts"]
+        seen = before(batch.sparkSession, number)
         limit = F.lit(seen) - F.expr(f"INTERVAL {late}") if seen is not None else None
         on_time = batch if limit is None else batch.filter(F.col(ts).isNull() | (F.col(ts) >= limit))
         tardy = batch.limit(0) if limit is None else batch.filter(F.col(ts) < limit)
         sink(on_time, tardy, number)
-        top = batch.agg(F.max(ts)).first()[0]
-        newest["ts"] = top if seen is None or (top is not None and top > seen) else seen
+        top = batch.agg(F.max(F.col(ts).cast("timestamp_ntz")).alias("newest"))
+        if state is None:
+            newest[number] = top.first()[0]
+        else:
+            top.coalesce(1).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return stream.writeStream.foreachBatch(each)
 
@@ -66,11 +80,7 @@ def run_to_end(query_df: DataFrame, mode: str = "append") -> DataFrame:
     batches are kept, with their number in ``batch``.
     """
     spark = query_df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     last = {"path": None}
 
     def write(batch: DataFrame, number: int) -> None:
