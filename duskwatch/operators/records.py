@@ -98,7 +98,7 @@ def playbooks(events: DataFrame, by: str = "source_mode") -> DataFrame:
     shell = F.contains(F.lower(F.coalesce("command", F.lit(""))), F.lit("powershell")) | F.contains(F.lower(F.coalesce("event_type", F.lit(""))), F.lit("powershell"))
     socket = (F.col("event_type") == "network") | (F.coalesce("dst_ip", F.lit("")) != "")
     counts = events.groupBy(by).agg(F.count_if(shell).alias("shell"), F.count_if(socket).alias("socket"))
-    rows = counts.select(by, F.explode(F.array(F.struct(F.lit("Suspicious PowerShell Containment").alias("playbook"), F.col("shell").alias("events")), F.struct(F.lit("Network Containment").alias("playbook"), F.col("socket").alias("events")))).alias("p"))
+    rows = counts.select(by, F.explode(F.array(F.struct(F.lit("Suspicious PowerShell Containment").alias("playbook"), F.col("shell").alias("events")), F.struct(F.lit("SSH Brute Force & Outbound IP Containment").alias("playbook"), F.col("socket").alias("events")))).alias("p"))
     return rows.select(by, "p.*").filter((F.col("events") > 0) | (F.col(by) == "SCENARIO"))
 
 

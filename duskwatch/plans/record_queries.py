@@ -115,7 +115,7 @@ def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     "recommended_playbooks",
     f"""
     WITH {TELEMETRY}, c AS (SELECT source_mode, count(*) FILTER (WHERE contains(lower(command), 'powershell') OR event_type = 'powershell') AS shell, count(*) FILTER (WHERE event_type = 'network' OR dst_ip <> '') AS socket FROM telemetry WHERE event_id % 2 = 0 GROUP BY 1)
-    SELECT * FROM (SELECT source_mode, 'Suspicious PowerShell Containment' AS playbook, shell AS events FROM c UNION ALL SELECT source_mode, 'Network Containment', socket FROM c) WHERE events > 0 OR source_mode = 'SCENARIO'
+    SELECT * FROM (SELECT source_mode, 'Suspicious PowerShell Containment' AS playbook, shell AS events FROM c UNION ALL SELECT source_mode, 'SSH Brute Force & Outbound IP Containment', socket FROM c) WHERE events > 0 OR source_mode = 'SCENARIO'
     """,
 )
 def recommended_playbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
