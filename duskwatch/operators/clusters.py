@@ -1,8 +1,8 @@
 """Density clusters, seeds far apart, and clusters around seeds, over vectors spread over tasks.
 
-Only seeds go to every task: their number is a parameter. Neighbours within an angle are found in the cells of seeds: a
-vector belongs to its nearest seed, and is also shown to every cell whose seed is no further than that by twice the
-angle; by the triangle inequality no neighbour is lost. Equal vectors count as one with a weight.
+Only seeds go to every task: their number is a parameter. Neighbours within an angle are found by matrix products of pairs of
+blocks of bounded size; angles to seeds tell which rows of them can't be near. A pair of blocks hands on sums by row and
+trees, never its near pairs. Equal vectors count as one with a weight.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from .centrality import components
 from .similarity import centroid
 from .steps import stored
 
+#: Vectors of a block at most, blocks that few vectors are dealt to, and how many rows of one side meet how many runs of the other at once.
+BLOCK, SPREAD, RUN, RUNS = 32_768, 8, 128, 32
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
@@ -81,41 +84,109 @@ def kmeans_from(rows: DataFrame, key: str, vector: str, seeds: list, iterations:
     return centres
 
 
-def cells(rows: DataFrame, key: str, vector: str, seeds: list, angle: float) -> DataFrame:
-    """(key, v, cell, home) for every cell that a row is shown to; angles are those between vectors."""
-    held = np.array(seeds, float)
-    held = held / np.linalg.norm(held, axis=1, keepdims=True)
-    kind = dict(rows.dtypes)[key]
-
-    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x = _matrix(batch.column(1))
-                far = np.arccos(np.clip(x / np.linalg.norm(x, axis=1, keepdims=True) @ held.T, -1, 1))
-                home = far.argmin(1)
-                row, cell = np.nonzero(far <= far.min(1, keepdims=True) + 2 * angle + 1e-9)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], names=[key, "v", "cell", "home"])
-
-    return rows.select(key, vector).mapInArrow(show, f"`{key}` {kind}, v array<double>, cell int, home boolean")
-
+def near_rows(x: np.ndarray, y: np.ndarray, eps: float, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of x, row of y) of all within ``eps`` of each other by cosine distance, some rows of ``x`` at a time; none is zero.
 
-def cosine_pairs(rows: DataFrame, key: str, vector: str, eps: float, seeds: list) -> DataFrame:
-    """(a, b) for rows within ``eps`` of each other by cosine distance, both ways; vectors are not zero."""
-    shown = stored(cells(rows, key, vector, seeds, float(np.arccos(max(-1.0, 1 - eps)))), "cells")
-    left = shown.filter("home").select("cell", F.col(key).alias("a"), F.col("v").alias("x"))
-    met = left.join(shown.select("cell", F.col(key).alias("b"), F.col("v").alias("y")), "cell").filter("a <> b")
-    kind = dict(rows.dtypes)[key]
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
-                cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                at = pa.array(np.flatnonzero(1 - cosine <= eps + 1e-12))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
-
-    return met.select("a", "b", "x", "y").mapInArrow(close, f"a {kind}, b {kind}")
+    Products of short floats find what may be near; what they leave open is settled in doubles. Runs of rows whose angles to
+    a seed differ by more than that of ``eps`` are not compared: by the triangle inequality none of them is near.
+    """
+    a, b, seeds = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y, seeds))
+    angle, least, slack = float(np.arccos(np.clip(1 - eps, -1, 1))) + 1e-6, 1 - eps, 2e-7 * max(64, x.shape[1])
+    far = [np.arccos(np.clip(m @ seeds.T, -1, 1)) for m in (a, b)]
+    order = [np.lexsort((f.min(1), f.argmin(1))) for f in far]
+    cuts = [np.arange(0, len(o), RUN) for o in order]
+    low, high = ([f.reduceat(d[o], c) for d, o, c in zip(far, order, cuts)] for f in (np.minimum, np.maximum))
+    a, b = a.astype(np.float32), b.astype(np.float32)
+    for i, at in enumerate(cuts[0]):
+        mine = order[0][at : at + RUN]
+        met = np.flatnonzero((np.maximum(low[0][i] - high[1], low[1] - high[0][i]) <= angle).all(1))
+        for part in (met[k : k + RUNS] for k in range(0, len(met), RUNS)):
+            theirs = np.concatenate([order[1][cuts[1][j] : cuts[1][j] + RUN] for j in part])
+            likeness = a[mine] @ b[theirs].T
+            i_at, j_at = np.nonzero(likeness >= least - slack)
+            rows, others, held = mine[i_at], theirs[j_at], np.ones(len(i_at), bool)
+            unsure = np.flatnonzero(likeness[i_at, j_at] <= least + slack)
+            for some in (unsure[k : k + 16_384] for k in range(0, len(unsure), 16_384)):
+                p, q = x[rows[some]], y[others[some]]
+                held[some] = 1 - (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)) <= eps + 1e-12
+            yield rows[held], others[held]
+
+
+def _trees(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, of each row the smallest row of its tree, after links a-b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+class _Block:
+    """The rows of one pair of blocks, or of one block with itself."""
+
+    def __init__(self, table: pa.Table):
+        held = {c: table.column(c).combine_chunks() for c in table.column_names}
+        self.node, self.vectors = held["node"], _matrix(held["v"])
+        self.weight, self.side, self.core = (held[c].to_numpy(zero_copy_only=False) if c in held else None for c in ("weight", "side", "core"))
+
+    def near(self, eps: float, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows that are near, any two once."""
+        first, second = np.flatnonzero(self.side < 2), np.flatnonzero(self.side != 1)
+        if len(first) and len(second):
+            for i, j in near_rows(self.vectors[first], self.vectors[second], eps, seeds):
+                once = first[i] < second[j] if self.side[0] == 0 else slice(None)
+                yield first[i][once], second[j][once]
+
+
+def _meeting(rows: DataFrame, n: int):
+    """Rows by pairs of blocks of at most about ``BLOCK`` of ``n`` rows; ``side`` is 0 where a block meets itself, else 1 or 2."""
+    blocks = max(1, min(SPREAD, -(-n // 2048)), -(-n // BLOCK))
+    own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.col("__other")
+    dealt = rows.withColumns({"__own": own, "__other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    side = F.when(F.col("__own") == other, 0).when(F.col("__own") < other, 1).otherwise(2)
+    pair = F.least("__own", other) * F.lit(blocks) + F.greatest("__own", other)
+    return dealt.select(pair.alias("pair"), side.alias("side"), *rows.columns).repartition(min(2000, blocks * (blocks + 1)), "pair").groupBy("pair")
+
+
+def weights_around(rows: DataFrame, n: int, eps: float, seeds: np.ndarray) -> DataFrame:
+    """(node, more): the weight of all other rows within ``eps``, for rows that have such."""
+    def one(table: pa.Table) -> pa.Table:
+        block = _Block(table)
+        more = np.zeros(len(block.node))
+        for i, j in block.near(eps, seeds):
+            more += np.bincount(i, block.weight[j], len(more)) + np.bincount(j, block.weight[i], len(more))
+        at = np.flatnonzero(more)
+        return pa.table({"node": block.node.take(pa.array(at)), "more": pa.array(more[at].astype(np.int64))})
+
+    return _meeting(rows, n).applyInArrow(one, f"node {dict(rows.dtypes)['node']}, more long").groupBy("node").agg(F.sum("more").alias("more"))
+
+
+def core_links(rows: DataFrame, n: int, eps: float, seeds: np.ndarray) -> DataFrame:
+    """(a, b, inner): links with the same components of cores as all pairs within ``eps``, and of others a core of each component near.
+
+    Of each pair of blocks the cores go on as trees, so links grow with the rows of the pairs and not with the near pairs.
+    """
+    def one(table: pa.Table) -> pa.Table:
+        block = _Block(table)
+        n, label, edge = len(block.node), np.arange(len(block.node)), []
+        for i, j in block.near(eps, seeds):
+            both = block.core[i] & block.core[j]
+            label = _trees(label, i[both], j[both])
+            mixed = block.core[i] != block.core[j]
+            i, j = i[mixed], j[mixed]
+            edge.append(np.unique(np.where(block.core[i], j, i) * n + np.where(block.core[i], i, j)))
+        outer, core = np.divmod(np.concatenate([np.zeros(0, np.int64), *edge]), max(n, 1))
+        outer, core = np.divmod(np.unique(outer * n + label[core]), max(n, 1))
+        inner = np.flatnonzero(label != np.arange(n))
+        a, b = np.concatenate([inner, outer]), np.concatenate([label[inner], core])
+        return pa.table({"a": block.node.take(pa.array(a)), "b": block.node.take(pa.array(b)), "inner": pa.array(np.arange(len(a)) < len(inner))})
+
+    kind = dict(rows.dtypes)["node"]
+    return _meeting(rows, n).applyInArrow(one, f"a {kind}, b {kind}, inner boolean")
 
 
 def dbscan(rows: DataFrame, key: str, vector: str, eps: float, min_points: int, n_seeds: int = 32) -> DataFrame:
@@ -126,19 +197,21 @@ def dbscan(rows: DataFrame, key: str, vector: str, eps: float, min_points: int,
     """
     known = rows.select(key, V.doubles(F.col(vector)).alias("v"))
     real = known.filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
-    alike = stored(real.groupBy("v").agg(F.min(key).alias("__rep"), F.count("*").alias("weight")), "alike")
-    seeds = [v for _, v in farthest_first(alike, "__rep", "v", n_seeds)]
-    if not seeds:
+    alike = stored(real.groupBy("v").agg(F.min(key).alias("node"), F.count("*").alias("weight")), "alike")
+    n = alike.count()
+    if not n:
         return known.select(key, F.lit(None).cast(dict(rows.dtypes)[key]).alias("cluster"))
-    pairs = stored(cosine_pairs(alike, "__rep", "v", eps, seeds), "pairs")
-    weight = alike.select(F.col("__rep").alias("node"), "weight")
-    around = pairs.join(weight.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("more"))
-    cores = stored(weight.join(around, "node", "left").filter(F.col("weight") + F.coalesce("more", F.lit(0)) >= min_points).select("node"), "cores")
-    linked = pairs.join(cores.withColumnRenamed("node", "a"), "a", "left_semi").join(cores.withColumnRenamed("node", "b"), "b", "left_semi").filter("a < b")
-    named = components(cores.select(F.lit(0).alias("g"), "node"), linked.select(F.lit(0).alias("g"), F.col("a").alias("src"), F.col("b").alias("dst")), "g").select("node", "component")
-    border = pairs.join(named.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("reached"))
+    seeds = np.array([r.v for r in alike.orderBy(F.xxhash64("node"), "node").limit(n_seeds).collect()], float)
+    weight = alike.select("node", "weight")
+    around = weights_around(alike, n, eps, seeds)
+    known_cores = weight.join(around, "node", "left").select("node", (F.col("weight") + F.coalesce("more", F.lit(0)) >= min_points).alias("core"))
+    held = stored(alike.join(known_cores, "node").select("node", "v", "core"), "cores")
+    links = stored(core_links(held, n, eps, seeds), "links")
+    inner = links.filter("inner").select(F.lit(0).alias("g"), F.col("a").alias("src"), F.col("b").alias("dst"))
+    named = components(held.filter("core").select(F.lit(0).alias("g"), "node"), inner, "g").select("node", "component")
+    border = links.filter("not inner").join(named.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("reached"))
     found = weight.select("node").join(named, "node", "left").join(border, "node", "left").select("node", F.coalesce("component", "reached").alias("cluster"))
-    members = real.join(alike.select("v", F.col("__rep").alias("node")), "v").join(found, "node").select(key, "cluster")
+    members = real.join(alike.select("v", "node"), "v").join(found, "node").select(key, "cluster")
     return known.select(key).join(members, key, "left")
 
 
