@@ -92,3 +92,24 @@ def first_patterns(evidence: DataFrame, key: str, held: DataFrame, most: int) ->
     few = held.withColumn("__rn", F.row_number().over(Window.partitionBy("word").orderBy("pattern_id"))).filter(F.col("__rn") <= most).drop("__rn")
     found = evidence.join(few, "word").select(key, "pattern_id").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pattern_id"))).filter(F.col("rank") <= most)
+
+
+def most_alike(asked: DataFrame, rows: DataFrame, key: str, words: str, above: float, most: int) -> DataFrame:
+    """(key, other, score): of each asked row the ``most`` other rows that share most of all words of both, in percent and over ``above``; ties by key.
+
+    ``words`` holds sorted arrays of different words. Equal arrays are compared once, and of each only the first ``most`` rows
+    and one more, as one may be the asked row itself, can be found. Rows without words are like none.
+    """
+    held = rows.filter(F.size(words) > 0).select(F.col(key).alias("other"), F.col(words).alias("w"))
+    first = stored(held.withColumn("__rn", F.row_number().over(Window.partitionBy("w").orderBy("other"))).filter(F.col("__rn") <= most + 1).drop("__rn"), "first")
+    there = first.groupBy("w").agg(F.min("other").alias("b"))
+    wanted = stored(asked.filter(F.size(words) > 0).select(key, F.col(words).alias("w")), "asked")
+    kinds = wanted.groupBy("w").agg(F.min(key).alias("a"))
+    left = kinds.select("a", F.size("w").alias("m"), F.explode("w").alias("word"))
+    right = there.select("b", F.size("w").alias("n"), F.explode("w").alias("word"))
+    shared = left.join(right, "word").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("m").alias("m"), F.max("n").alias("n"))
+    scored = shared.select("a", "b", (100.0 * F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("score")).filter(F.col("score") > above)
+    met = scored.join(there, "b").select("a", "score", "w").join(first, "w").select("a", "score", "other")
+    near = met.withColumn("__rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "other"))).filter(F.col("__rn") <= most + 1).drop("__rn")
+    found = wanted.join(kinds, "w").select(key, "a").join(near, "a").filter(F.col(key) != F.col("other"))
+    return found.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "other"))).filter(F.col("__rn") <= most).select(key, "other", "score")
