@@ -130,16 +130,17 @@ def critical_path(events: DataFrame, key: str, severe: Column, order: list[str],
 def descendants(edges: DataFrame, most_levels: int = 1000) -> DataFrame:
     """(ancestor, descendants, depth) of a forest of (node, parent) edges, a level at a time; every level is stored once.
 
+    A level holds one count for each ancestor, the sum of those of its children one level up, and no descendant itself.
     Rows with a null end are left out. More than ``most_levels`` levels are an error, as a cycle would never end.
     """
-    edges = edges.select("node", "parent").filter("node is not null and parent is not null").distinct()
-    up = edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
-    level, levels = stored(edges.select("node", F.col("parent").alias("ancestor")), "level-1"), []
+    edges = stored(edges.select("node", "parent").filter("node is not null and parent is not null").distinct(), "parents")
+    level, levels = stored(edges.groupBy(F.col("parent").alias("ancestor")).agg(F.count("*").alias("n")), "level-1"), []
     while not level.isEmpty():
-        levels.append(level.groupBy("ancestor").agg(F.count("*").alias("n")).withColumn("depth", F.lit(len(levels) + 1)))
+        levels.append(level.withColumn("depth", F.lit(len(levels) + 1)))
         if len(levels) > most_levels:
             raise ValueError(f"more than {most_levels} levels, or a cycle")
-        level = stored(level.join(up, "ancestor").select("node", F.col("next").alias("ancestor")), f"level-{len(levels) + 1}")
+        up = level.withColumnRenamed("ancestor", "node").join(edges, "node").groupBy(F.col("parent").alias("ancestor")).agg(F.sum("n").alias("n"))
+        level = stored(up, f"level-{len(levels) + 1}")
     found = reduce(DataFrame.unionByName, levels, edges.limit(0).select(F.col("parent").alias("ancestor"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("depth")))
     return found.groupBy("ancestor").agg(F.sum("n").alias("descendants"), F.max("depth").alias("depth"))
 
