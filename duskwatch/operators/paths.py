@@ -1,7 +1,7 @@
 """Path measures of behaviour graphs: distances, components, centralities, execution chains.
 
 prune() bounds a graph to ``MAX_NODES`` nodes; so one graph is one bounded group, and its searches run from all of its
-nodes at once in arrays. ``centrality`` has the measures that are joins over graphs of any size.
+nodes at once in arrays. Components, diameter and radius have no bound; ``centrality`` has the measures that are joins over graphs of any size.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .centrality import components
 from .graphs import MAX_NODES
+from .steps import stored
 
 # Actions that count as execution.
 EXECUTION_ACTIONS = ("execution", "persistence", "privilege_escalation")
+#: Distances that a task holds at once.
+CELLS = 1 << 20
 MEASURES = (
     "components largest_component diameter radius critical_path execution_chains betweenness_max betweenness_avg closeness_max closeness_avg "
     "pagerank_max pagerank_avg eigenvector_max eigenvector_avg"
@@ -142,3 +146,55 @@ def path_measures(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
 
     schema = f"`{by}` {kind}, " + ", ".join(f"{m} double" for m in MEASURES)
     return points.groupBy(by).cogroup(ends.groupBy("__g")).applyInPandas(one, schema)
+
+
+def farthest(n: int, src: np.ndarray, dst: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each of ``starts`` the distance to the farthest of ``n`` nodes that it reaches; a few starts are searched together."""
+    graph, out = Adjacency(n, src, dst), np.zeros(len(starts), np.int64)
+    step = max(1, CELLS // n)
+    for at in range(0, len(starts), step):
+        node = starts[at : at + step]
+        seen = np.zeros(len(node) * n, bool)
+        own = np.arange(len(node))
+        seen[own * n + node] = True
+        depth = 0
+        while len(node):
+            out[at + own] = depth
+            owner, to = graph.step(node)
+            place = own[owner] * n + to
+            place = np.unique(place[~seen[place]])
+            seen[place] = True
+            own, node = np.divmod(place, n)
+            depth += 1
+    return out
+
+
+def component_measures(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """(by, components, largest_component, diameter, radius) of undirected graphs of any size; the last two are 0 unless a graph hangs together.
+
+    Components are labels that travel along edges of all graphs at once. Only graphs of one component are searched, from
+    ``MAX_NODES`` of their nodes a task; a task holds the edges of the graph and a bounded number of distances.
+    """
+    found = stored(components(nodes, edges, by), "components")
+    sizes = stored(found.groupBy(by, "component").agg(F.count("*").alias("size")), "sizes")
+    counts = sizes.groupBy(by).agg(F.count("*").alias("components"), F.max("size").alias("largest_component"))
+    whole = stored(counts.filter("components = 1").select(by, F.col("largest_component").alias("size")), "whole")
+    parts = F.ceil(F.col("size") / MAX_NODES).cast("int")
+    inner = found.join(whole, by).select(by, "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    ends = edges.filter("src <> dst").select(by, "src", "dst").distinct().join(whole, by)
+    ends = ends.select(by, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "src", "dst")
+    kind = dict(nodes.dtypes)[by]
+
+    def search(starts: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if starts.empty:
+            return pd.DataFrame({by: [], "far": [], "near": []})
+        every, place = np.unique(np.concatenate([links["src"].to_numpy(), links["dst"].to_numpy(), starts["node"].to_numpy()]), return_inverse=True)
+        m = len(links)
+        src, dst = place[:m], place[m : 2 * m]
+        far = farthest(len(every), np.concatenate([src, dst]), np.concatenate([dst, src]), place[2 * m :])
+        return pd.DataFrame({by: [starts[by].iloc[0]], "far": [far.max()], "near": [far.min()]})
+
+    searched = inner.groupBy(by, "part").cogroup(ends.groupBy(by, "part")).applyInPandas(search, f"`{by}` {kind}, far long, near long")
+    ranges = searched.groupBy(by).agg(F.max("far").alias("diameter"), F.min("near").alias("radius"))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    return counts.join(ranges, by, "left").select(by, *map(number, ("components", "largest_component", "diameter", "radius")))
