@@ -38,18 +38,20 @@ def evidence_chains(roots: DataFrame, events: DataFrame, patterns: DataFrame, ca
     campaign and an action; a root without any record has INSUFFICIENT_DATA. Null roots are left out.
     """
     roots = stored(roots.select("root").filter("root is not null").distinct(), "roots")
-    held = campaigns.select("campaign_id", F.explode("evidence_event_ids").alias("event_id")).distinct()
-    used = actions.select("audit_id", F.explode("evidence_event_ids").alias("event_id")).distinct()
+    held = stored(campaigns.select("campaign_id", F.explode("evidence_event_ids").alias("event_id")).distinct(), "held")
+    used = stored(actions.select("audit_id", F.explode("evidence_event_ids").alias("event_id")).distinct(), "used")
     at = lambda df, column, *keep: roots.join(df, F.col("root") == F.col(column)).select("root", *keep)
     several = lambda *parts: reduce(DataFrame.unionByName, parts).distinct()
 
-    direct = several(at(events, "event_id", "event_id", "ts"), at(events, "correlation_id", "event_id", "ts"))
+    # keys of one stage are put together before the join: Spark fails on a union of two joins by root when it splits a skewed one
+    by_key = events.select("event_id", "ts", F.explode(F.array("event_id", "correlation_id")).alias("__key"))
+    direct = at(by_key, "__key", "event_id", "ts").distinct()
     keys = ("pattern_id", "fingerprint", "related_investigation_id", "related_threat_id")
     named = patterns.select("pattern_id", F.explode(F.array_distinct(F.array(*keys))).alias("__key"))
     pattern = at(named, "__key", "pattern_id").groupBy("root").agg(F.min("pattern_id").alias("pattern_id"))
-    own = several(at(campaigns.withColumn("__key", F.col("campaign_id")), "__key", "campaign_id"), at(held, "event_id", "campaign_id"))
-    own = stored(own.groupBy("root").agg(F.min("campaign_id").alias("campaign_id")), "campaigns")
-    taken = stored(several(at(actions.withColumn("__key", F.col("audit_id")), "__key", "audit_id"), at(used, "event_id", "audit_id")), "actions")
+    both = lambda df, parts, c: df.select(F.col(c).alias("__key"), c).unionByName(parts.select(F.col("event_id").alias("__key"), c))
+    own = stored(at(both(campaigns, held, "campaign_id"), "__key", "campaign_id").groupBy("root").agg(F.min("campaign_id").alias("campaign_id")), "campaigns")
+    taken = stored(at(both(actions, used, "audit_id"), "__key", "audit_id").distinct(), "actions")
 
     referred = several(own.join(held, "campaign_id").select("root", "event_id"), taken.join(used, "audit_id").select("root", "event_id"))
     referred = referred.join(direct.select("root").distinct(), "root", "left_anti").join(events.select("event_id", "ts"), "event_id")
