@@ -37,14 +37,34 @@ def _lines(df: DataFrame, line: Column, name: str) -> str:
 def _file_each(df: DataFrame, key: Column, text: Column, name: str) -> str:
     """A file for each key, with one line; keys are unique."""
     path = _folder(df.sparkSession, name)
-    df.select(key.alias("k"), text.alias("value")).repartition("k").write.partitionBy("k").text(path)
+    write_each(df.select(key.alias("k"), text.alias("value")), path)
     return path
 
 
+def write_each(lines: DataFrame, path: str) -> None:
+    """(k, value) as a folder and file for each k, by a fixed number of tasks: small files are few bytes, which Spark would give to one task."""
+    tasks = 4 * lines.sparkSession.sparkContext.defaultParallelism
+    # tasks move their files themselves; the default leaves that to the driver, one file after another
+    lines.repartition(tasks, "k").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("k").text(path)
+
+
 def _arrays(df: DataFrame, key: Column, record: Column, name: str, wrap: str = "%s") -> str:
     """A file for each key with the JSON array of its records; keys name a bounded number of rows."""
     grouped = df.groupBy(key.alias("key")).agg(F.to_json(F.collect_list(record)).alias("body"))
-    return _file_each(grouped, F.col("key"), F.format_string(wrap, "body"), name)
+    return _files(grouped, F.format_string(wrap, "body"), name)
+
+
+def _files(df: DataFrame, text: Column, name: str) -> str:
+    """A file for each row, with one line."""
+    path = _folder(df.sparkSession, name)
+    write_apart(df.select(text.alias("value")), path)
+    return path
+
+
+def write_apart(lines: DataFrame, path: str) -> None:
+    """A file for each (value), all in one folder: listing folders of one file each takes a task for every folder."""
+    tasks = 4 * lines.sparkSession.sparkContext.defaultParallelism
+    lines.repartition(tasks, "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", 1).text(path)
 
 
 @register(
@@ -137,7 +157,7 @@ def reader_stix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bundles = _arrays(_t(spark, sf_dir, "part"), F.floor(k / 500), item, "stix", '{"type": "bundle",\n"objects": %s}')
     single = technique(F.lit("attack-pattern"), F.concat(F.lit("S"), F.col("s_suppkey")), "s_name", F.lit(None).cast("string"), F.lit("execution"))
-    singles = _file_each(_t(spark, sf_dir, "supplier"), F.col("s_suppkey"), F.to_json(single), "stix")
+    singles = _files(_t(spark, sf_dir, "supplier"), F.to_json(single), "stix")
     got = readers.read(spark, "stix", bundles).unionByName(readers.read(spark, "stix", singles))
     return got.withColumns({c: F.array_join(c, ",") for c in ("tactics", "platforms")})
 
@@ -156,7 +176,7 @@ def reader_capec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     catalogues = _t(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 5000).alias("k")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
     text = F.concat(F.lit('<Catalog xmlns:xhtml="http://www.w3.org/1999/xhtml">'), "body", F.lit("</Catalog>"))
-    return readers.read(spark, "capec", _file_each(catalogues, F.col("k"), text, "capec"))
+    return readers.read(spark, "capec", _files(catalogues, text, "capec"))
 
 
 @register(

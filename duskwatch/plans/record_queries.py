@@ -11,6 +11,7 @@ from duskwatch.functions import verdicts
 from duskwatch.operators import knowledge, records
 from duskwatch.operators.steps import shared_dir
 
+from .reader_queries import write_apart
 from .registry import register
 from .telemetry import TELEMETRY, telemetry
 from .vector_queries import _E
@@ -199,6 +200,6 @@ def indicator_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(F.concat(F.lit(" AB"), s), "bad").alias("hashes"), one(F.concat(F.lit("10.0."), F.floor(s / 250), F.lit("."), s % 250), "seen").alias("ips"), one(F.concat(F.lit("cve-"), s), "known").alias("cves"),
     ))
     documents, table = _folder(spark, "indicators"), _folder(spark, "indicators")
-    _t(spark, sf_dir, "supplier").select(s.alias("k"), body.alias("value")).repartition("k").write.partitionBy("k").text(documents)
-    knowledge.save_indicators(knowledge.read_indicators(spark, f"{documents}/*"), table)
+    write_apart(_t(spark, sf_dir, "supplier").select(body.alias("value")), documents)
+    knowledge.save_indicators(knowledge.read_indicators(spark, documents), table)
     return spark.read.parquet(table).select("family", "value", "label")
