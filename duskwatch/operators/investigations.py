@@ -94,11 +94,21 @@ def investigations(chained: DataFrame, signs: DataFrame, key: str) -> DataFrame:
     })
 
 
+def signals(vector: Column, dimensions: dict[str, tuple[int, int]] | None = None) -> dict[str, Column]:
+    """What the parts of a vector say: their mean size, their spread and their peak."""
+    part = {name: V.part(vector, (ends,)) for name, ends in (dimensions or DIMENSIONS).items()}
+    return {"mean": V.mean_abs(part["semantic"]), "spread": V.variance(part["structural"]), "peak": F.array_max(F.transform(part["temporal"], F.abs))}
+
+
 def activations(vector: Column, dimensions: dict[str, tuple[int, int]] | None = None, counts: dict[str, Column] | None = None) -> dict[str, Column]:
     """How strongly each feature shows, null where it doesn't: from the vector's parts and, if given, counts of graph nodes
     (keys ``process``, ``network``, ``file`` and ``all``)."""
-    part = {name: V.part(vector, (ends,)) for name, ends in (dimensions or DIMENSIONS).items()}
-    mean, spread, peak = V.mean_abs(part["semantic"]), V.variance(part["structural"]), F.array_max(F.transform(part["temporal"], F.abs))
+    return shown_by(signals(vector, dimensions), counts)
+
+
+def shown_by(said: dict[str, Column], counts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """``activations`` from ``signals``, which it refers to several times: over many rows they should be columns."""
+    mean, spread, peak = said["mean"], said["spread"], said["peak"]
     when = lambda cond, x: F.when(cond, F.least(F.lit(1.0), x))
     out: dict[str, Column] = {}
     for name, (what, above, whole) in {
@@ -125,17 +135,18 @@ def contributions(found: dict[str, Column], threat_class: Column, novelty: Colum
         dimension, base = FEATURES[name]
         affinity = F.lit(1.0)
         for kind, extra in AFFINITY.items():
-            affinity = F.when(threat_class == kind, extra.get(name, 1.0)).otherwise(affinity)
+            if name in extra:
+                affinity = F.when(threat_class == kind, extra[name]).otherwise(affinity)
         weight = F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.lit(base) * shown * affinity * factor))
-        rows.append(F.when(shown.isNotNull(), _feature(weight, F.lit(place), name.replace("_", " ").title(), dimension)))
-    known = F.array_compact(F.array(*rows))
-    fill = F.array(*[_feature(F.lit(w), F.lit(len(found) + i), name, "semantic") for i, (name, w) in enumerate(FILLERS.items())])
-    every = F.concat(known, F.slice(fill, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.size(known))))
-    return F.transform(F.slice(F.array_sort(every), 1, most), lambda r: F.struct(r["name"].alias("name"), r["weight"].alias("weight"), r["dimension"].alias("dimension")))
+        rows.append(F.struct(F.when(shown.isNotNull(), weight).alias("weight"), F.lit(place).alias("place"), F.lit(name.replace("_", " ").title()).alias("name"), F.lit(dimension).alias("dimension")))
+    known = F.transform(F.filter(F.array(*rows), lambda r: r["weight"].isNotNull()), lambda r: _feature(r["weight"], r["place"], r["name"], r["dimension"]))
+    fill = F.array(*[_feature(F.lit(w), F.lit(len(found) + i), F.lit(name), F.lit("semantic")) for i, (name, w) in enumerate(FILLERS.items())])
+    every = V.bound(known, lambda k: F.concat(k, F.slice(fill, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.size(k)))))
+    return F.transform(F.slice(F.sort_array(every), 1, most), lambda r: F.struct(r["name"].alias("name"), r["weight"].alias("weight"), r["dimension"].alias("dimension")))
 
 
-def _feature(weight: Column, place: Column, name: str, dimension: str) -> Column:
-    return F.struct((-F.round(weight, 12)).alias("rank"), place.alias("place"), F.lit(name).alias("name"), weight.alias("weight"), F.lit(dimension).alias("dimension"))
+def _feature(weight: Column, place: Column, name: Column, dimension: Column) -> Column:
+    return F.struct((-F.round(weight, 12)).alias("rank"), place.alias("place"), name.alias("name"), weight.alias("weight"), dimension.alias("dimension"))
 
 
 def by_dimension(found: Column) -> Column:

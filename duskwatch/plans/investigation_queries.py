@@ -97,14 +97,16 @@ _FACTS = f"""
 
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform(V.doubles(F.col("embedding")), lambda y: y * (2 + F.col("vec_id") % 7)).alias("v"))
-    shown = I.activations(F.col("v"), DIMENSIONS_64, {"all": F.col("vec_id") % 90})
+    rows = rows.select("vec_id", *[c.alias(name) for name, c in I.signals(F.col("v"), DIMENSIONS_64).items()])
+    shown = I.shown_by({name: F.col(name) for name in ("mean", "spread", "peak")}, {"all": F.col("vec_id") % 90})
     return rows.select("vec_id", I.contributions(shown, F.expr(_CLASSES), (F.col("vec_id") % 11) / 10).alias("top"))
 
 
 @register("feature_contributions", f"WITH {_FACTS} SELECT vec_id, rank, name, dimension, round(weight, 9) AS weight FROM top")
 def feature_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five features that weigh most for each vector."""
-    rows = _contributions(spark, sf_dir).select("vec_id", F.posexplode("top").alias("i", "r"))
+    # every vector has features or fillers; without outer, Spark would put a filter on them below and work all out again
+    rows = _contributions(spark, sf_dir).select("vec_id", F.posexplode_outer("top").alias("i", "r"))
     return rows.select("vec_id", (F.col("i") + 1).alias("rank"), "r.name", "r.dimension", F.round("r.weight", 9).alias("weight"))
 
 
@@ -118,7 +120,7 @@ def feature_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def contribution_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which part of the vector each of the five features belongs to; names only, as engines round the shown weights differently."""
-    rows = _contributions(spark, sf_dir).select("vec_id", F.explode(I.by_dimension(F.col("top"))).alias("dimension", "found"))
+    rows = _contributions(spark, sf_dir).select("vec_id", F.explode_outer(I.by_dimension(F.col("top"))).alias("dimension", "found"))
     return rows.select("vec_id", "dimension", F.size("found").alias("n_features"), F.array_join(F.transform("found", lambda t: F.split_part(t, F.lit(" (Weight"), F.lit(1))), "; ").alias("names"))
 
 

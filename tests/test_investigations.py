@@ -84,3 +84,11 @@ def test_records_by_id_keep_order_of_tables(spark):
     first, second = spark.createDataFrame([(1, "x")], "id long, a string"), spark.createDataFrame([(1, "y"), (2, "z")], "id long, a string")
     got = {r.id: (r.origin, r.record) for r in I.by_id(asked, "id", ("one", first), ("two", second)).collect()}
     assert got == {"1": ("one", '{"id":1,"a":"x"}'), "2": ("two", '{"id":2,"a":"z"}'), "3": (None, None), None: (None, None)}
+
+
+@pytest.mark.parametrize("name", ["feature_contributions", "contribution_dimensions"])
+def test_signals_of_a_vector_are_worked_out_once(spark, name):
+    from duskwatch import catalog
+
+    df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 4
