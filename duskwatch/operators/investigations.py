@@ -39,6 +39,8 @@ AFFINITY = {
     "Insider_Threat": {"data_exfiltration": 1.6, "credential_access": 1.4, "privilege_escalation": 1.3},
     "Malware": {"process_injection": 1.4, "persistence_mechanism": 1.3, "defense_evasion": 1.2},
 }
+#: Rows of a table that one task sorts, about.
+ROWS_A_PART = 500_000
 FILLERS = {"Anomalous Behavior": 0.15, "System Interaction": 0.12, "Process Activity": 0.10, "Network Communication": 0.08, "File Operations": 0.06}
 
 
@@ -218,13 +220,19 @@ def engine_status(events: DataFrame, campaigns: DataFrame, by: str = "source_mod
 def by_id(asked: DataFrame, key: str, *tables: tuple[str, DataFrame]) -> DataFrame:
     """The record of each asked id as JSON, from the first of the (name, rows) tables that has it; ids in none have null.
 
-    Every table has ``key``, cast to text. Rows of a table that share an id are all returned.
+    Every table has ``key``, cast to text. Rows of a table that share an id are all returned. Ids and tables are dealt out by id to
+    as many parts as their rows ask for, so that what a task sorts doesn't grow with them.
     """
-    left = asked.select(F.col(key).cast("string").alias(key)).distinct()
-    out = None
-    for name, rows in tables:
-        known = rows.select(F.col(key).cast("string").alias("__id"), F.to_json(F.struct("*")).alias("record"))
-        hit = left.join(known, left[key] == known["__id"]).select(key, F.lit(name).alias("origin"), "record")
-        out = hit if out is None else out.unionByName(hit)
-        left = left.join(rows.select(F.col(key).cast("string").alias("__id")), left[key] == F.col("__id"), "left_anti")
-    return out.unionByName(left.select(key, F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("record")))
+    spark = asked.sparkSession
+    most = max(asked.count(), *[rows.count() for _, rows in tables])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // ROWS_A_PART))
+    out = asked.select(F.col(key).cast("string").alias(key)).repartition(parts, key).distinct()
+    none = F.lit(None).cast("string")
+    origin, record, missing = none, none, F.lit(True)
+    for i, (name, rows) in enumerate(tables):
+        at, held = f"__id{i}", f"__row{i}"
+        known = rows.select(F.col(key).cast("string").alias(at), F.struct("*").alias(held)).filter(F.col(at).isNotNull()).repartition(parts, at)
+        out = out.join(known, (F.col(key) == F.col(at)) & missing, "left")
+        origin, record = F.coalesce(origin, F.when(F.col(held).isNotNull(), name)), F.coalesce(record, F.to_json(held))
+        missing = missing & F.col(held).isNull()
+    return out.select(key, origin.alias("origin"), record.alias("record"))
