@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from duskwatch.operators import investigations as I
+from duskwatch.operators import similarity
 
 
 def test_ids_are_dealt_out_by_their_number(spark, monkeypatch):
@@ -15,3 +18,10 @@ def test_ids_are_dealt_out_by_their_number(spark, monkeypatch):
     rows = sorted((r.id, r.origin, r.record) for r in found.collect() if r.origin)
     assert rows == [("3", "one", '{"id":3,"a":"x"}'), ("3", "one", '{"id":3,"a":"y"}'), ("7", "two", '{"id":7,"a":"z"}'), ("7", "two", '{"id":7,"a":"z"}')]
     assert found.count() == 103
+
+
+def test_pairs_are_handed_on_in_small_batches():
+    kept = np.arange(40).reshape(10, 4) % 3 > 0
+    pieces = list(similarity._kept_pairs(kept, 8))
+    assert len(pieces) == 5 and max(len(i) for i, _ in pieces) <= 8
+    assert [(a, b) for i, j in pieces for a, b in zip(i, j)] == list(zip(*np.nonzero(kept)))
