@@ -10,6 +10,7 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -17,6 +18,8 @@ SCHEMA = "value string, file string, at long"
 #: Bytes of a file that one task reads.
 RANGE_BYTES = 64 << 20
 _BLOCK = 1 << 16
+#: Bytes of lines that a task hands on at once, about.
+_BATCH = 1 << 20
 
 
 @dataclass
@@ -26,11 +29,18 @@ class Range(InputPartition):
     end: int
 
 
+def _system(folder: str):
+    """(file system, path in it) of a folder, which is not listed."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def _files(folder: str):
     """(file system, sizes by path) of the files below a folder or of one file; hidden ones don't count."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    system, path = _system(folder)
     info = system.get_file_info(path)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(folder)
@@ -42,9 +52,14 @@ def _ranges(sizes: dict[str, tuple[int, int]], most: int) -> list[Range]:
     return [Range(f, at, min(at + most, end)) for f, (start, end) in sorted(sizes.items()) for at in range(start, end, most)]
 
 
-def _lines(folder: str, part: Range) -> Iterator[tuple[str, str, int]]:
-    """Lines that begin in the range, blank ones left out; bytes that are no UTF-8 are dropped."""
-    system, _ = _files(folder)
+def _lines(folder: str, part: Range) -> Iterator[pa.RecordBatch]:
+    """Lines that begin in the range, blank ones left out, as Arrow batches; bytes that are no UTF-8 are dropped."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([part.file] * len(texts), pa.string()), pa.array(places, pa.int64())], names=["value", "file", "at"])
+
+    system, _ = _system(folder)
+    texts, places, held = [], [], 0
     with system.open_input_file(part.file) as raw:
         file, at = io.BufferedReader(raw, _BLOCK), part.start
         file.seek(at)
@@ -55,11 +70,18 @@ def _lines(folder: str, part: Range) -> Iterator[tuple[str, str, int]]:
         while at < part.end:
             line = file.readline()
             if not line:
-                return
+                break
             text = line.decode("utf-8", "ignore").rstrip("\r\n")
             if text.strip():
-                yield text, part.file, at
+                texts.append(text)
+                places.append(at)
+                held += len(line)
             at += len(line)
+            if held >= _BATCH:
+                yield batch()
+                texts, places, held = [], [], 0
+    if texts:
+        yield batch()
 
 
 def _whole_lines(system, path: str, start: int, size: int) -> int:
@@ -84,7 +106,7 @@ class _Reader(DataSourceReader):
         _, sizes = _files(self.folder)
         return _ranges({f: (0, n) for f, n in sizes.items()}, self.most)
 
-    def read(self, partition: Range) -> Iterator[tuple[str, str, int]]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return _lines(self.folder, partition)
 
 
@@ -105,7 +127,7 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Range]:
         return _ranges({f: (start.get(f, 0), n) for f, n in end.items() if n > start.get(f, 0)}, self.most)
 
-    def read(self, partition: Range) -> Iterator[tuple[str, str, int]]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return _lines(self.folder, partition)
 
 

@@ -198,27 +198,31 @@ def vulnerabilities(df: DataFrame) -> DataFrame:
 
 
 def honeypot_events(df: DataFrame) -> DataFrame:
+    return df.select(*_honeypot_columns())
+
+
+def _honeypot_columns() -> list[Column]:
     kind = F.coalesce(lookup(HONEYPOT_EVENTS, F.lower("type")), F.lit("network"))
     kind = F.when(nonempty(F.col("input")).isNotNull(), F.lit("process")).when(nonempty(F.col("sha256_hash")).isNotNull(), F.lit("file")).otherwise(kind)
     severity = F.when(nonempty(F.col("sha256_hash")).isNotNull() | F.contains(F.lower(F.coalesce("input", F.lit(""))), F.lit("wget")), "CRITICAL").when(
         F.col("dest_port").isin(22, 23, 445, 3389), "HIGH"
     ).otherwise("MEDIUM")
-    return df.select(
+    return [
         parse_time(F.coalesce("timestamp", "@timestamp")).alias("ts"), kind.alias("event_type"), F.lower("type").alias("sensor"), "src_ip", "src_port", F.col("dest_ip").alias("dst_ip"),
         F.col("dest_port").alias("dst_port"), F.upper("protocol").alias("protocol"), F.col("username").alias("user_name"), F.col("input").alias("command"), F.col("sha256_hash").alias("file_hash"),
         F.substring("input", 1, 100).alias("payload"), severity.alias("severity"), F.lit("TPOT").alias("source_mode"),
-    )
+    ]
 
 
 def syslog_events(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """Syslog lines: the JSON behind an optional header, else the raw line."""
+    """Syslog lines: the JSON behind an optional header, else the raw line. Lines are read once for both."""
     body = F.regexp_extract(text_col, r"(\{.*)", 1)
     parsed = F.from_json(body, HONEYPOT)
     ok = F.try_parse_json(body).isNotNull() & (body != "")
-    rows = lines.select(F.col(text_col).alias("raw"), parsed.alias("r"), ok.alias("ok"))
-    known = honeypot_events(rows.filter("ok").select("r.*"))
-    bare = rows.filter("not ok").select(F.col("raw").alias("command"), F.lit("syslog").alias("event_type"), F.lit("TPOT").alias("source_mode"))
-    return known.unionByName(bare, allowMissingColumns=True)
+    rows = lines.select(F.col(text_col).alias("__raw"), parsed.alias("__r"), ok.alias("__ok")).select("__raw", "__ok", "__r.*")
+    both = rows.select("__raw", "__ok", *_honeypot_columns())
+    bare = {"command": F.col("__raw"), "event_type": F.lit("syslog"), "source_mode": F.lit("TPOT")}
+    return both.select(*[F.when(F.col("__ok"), F.col(c)).otherwise(bare.get(c)).alias(c) for c in both.columns[2:]])
 
 
 def capture_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import numpy as np
 
 from duskwatch.operators import investigations as I
 from duskwatch.operators import similarity
+from duskwatch.sources import plugins
 
 
 def test_ids_are_dealt_out_by_their_number(spark, monkeypatch):
@@ -20,6 +21,26 @@ def test_ids_are_dealt_out_by_their_number(spark, monkeypatch):
     assert found.count() == 103
 
 
+def test_a_range_of_lines_lists_no_folder_and_gives_batches(tmp_path, monkeypatch):
+    text = "".join(f"line {i} é\r\n\n" for i in range(400)).encode() + b"\xff\xfelast"
+    (tmp_path / "a.log").write_bytes(text)
+    ranges = plugins._ranges({str(tmp_path / "a.log"): (0, len(text))}, 777)
+    monkeypatch.setattr(plugins, "_files", None)
+    got = [r for part in ranges for b in plugins._lines(str(tmp_path), part) for r in b.to_pylist()]
+    assert [r["value"] for r in got] == [f"line {i} é" for i in range(400)] + ["last"]
+    assert all(text[r["at"] :].startswith(r["value"][:5].encode()) for r in got[:-1]) and {r["file"] for r in got} == {str(tmp_path / "a.log")}
+
+
+def test_lines_are_read_once(spark):
+    from duskwatch.sources.readers import syslog_events
+
+    lines = spark.createDataFrame([('<1> x: {"type": "Cowrie", "input": "wget http://a", "timestamp": "2024-01-01 00:00:00"}',), ("plain {",), (None,)], "value string")
+    found = syslog_events(lines)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.event_type, r.command, r.severity, r.source_mode, r.sensor) for r in found.filter("command is not null").collect())
+    assert got == [("process", "wget http://a", "CRITICAL", "TPOT", "cowrie"), ("syslog", "plain {", None, "TPOT", None)] and found.count() == 3
+
+
 def test_pairs_are_handed_on_in_small_batches():
     kept = np.arange(40).reshape(10, 4) % 3 > 0
     pieces = list(similarity._kept_pairs(kept, 8))
