@@ -71,9 +71,10 @@ def read_patterns(spark: SparkSession, path: str, size: int = 128) -> tuple[Data
 
 
 def write_patterns(patterns: DataFrame, path: str, per_document: int = 1000) -> None:
-    """Patterns as knowledge documents of about so many records, spread by a hash of their id."""
+    """Patterns as knowledge documents of about so many records, spread by a hash of their id; those without one by all that they hold."""
     documents = F.greatest(F.lit(1), F.ceil(F.lit(patterns.count() / per_document))).cast("int")
-    held = patterns.withColumn("document", F.pmod(F.xxhash64("pattern_id"), documents)).groupBy("document")
+    spread = F.when(F.coalesce("pattern_id", F.lit("")) == "", F.xxhash64(*patterns.columns)).otherwise(F.xxhash64("pattern_id"))
+    held = patterns.withColumn("document", F.pmod(spread, documents)).groupBy("document")
     texts = held.agg(F.collect_list(F.struct(*patterns.columns)).alias("patterns"), F.count("*").alias("n"))
     body = F.to_json(F.struct("patterns", F.struct(F.lit("1.0").alias("version"), F.col("n").alias("pattern_count")).alias("metadata")))
     texts.select("document", body.alias("value")).write.partitionBy("document").text(path)

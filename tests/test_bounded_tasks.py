@@ -46,3 +46,15 @@ def test_pairs_are_handed_on_in_small_batches():
     pieces = list(similarity._kept_pairs(kept, 8))
     assert len(pieces) == 5 and max(len(i) for i, _ in pieces) <= 8
     assert [(a, b) for i, j in pieces for a, b in zip(i, j)] == list(zip(*np.nonzero(kept)))
+
+
+def test_patterns_without_an_id_fill_many_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from duskwatch.sources import documents
+
+    rows = spark.range(200).select(F.lit("").alias("pattern_id"), F.lit("APT").alias("threat_class"), F.array(F.col("id").cast("double")).alias("embedding"))
+    documents.write_patterns(rows, str(tmp_path / "k"), 20)
+    assert len(list((tmp_path / "k").glob("document=*"))) > 5
+    good, bad = documents.read_patterns(spark, str(tmp_path / "k"), 1)
+    assert good.count() == 0 and bad.filter("error = 'no pattern_id'").count() == 200
