@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .matching import first_patterns, substring_matches
+from .matching import first_of_each, first_patterns, possible_words, substring_matches
 from .steps import stored
 
 # States that count, kinds of feedback, what follows from each, and the sections of an indicator file.
@@ -183,13 +183,16 @@ def pattern_matches(evidence: DataFrame, key: str, patterns: DataFrame, most: in
     """Of each profile the first ``most`` attack patterns whose name or description holds one of its keywords.
 
     ``evidence`` has (key, keyword), ``patterns`` (pattern_id, name, description). Keywords of three letters or fewer
-    match nothing. First is by id. A profile without a match gets the fallback patterns that exist. Patterns are read
-    once for all different keywords, however many profiles hold them.
+    match nothing. First is by id. A profile without a match gets the fallback patterns that exist. Equal texts of patterns
+    are read once for all different keywords, however many profiles hold them; of each text only its first ``most`` patterns can count.
     """
-    words = evidence.filter(F.length("keyword") > 3).select(F.lower("keyword").alias("word")).distinct()
     text = patterns.select("pattern_id", F.lower(F.concat_ws("\n", "name", "description")).alias("text"))
-    held = stored(substring_matches(text, "pattern_id", "text", words, "word"), "held")
-    asked = evidence.filter(F.length("keyword") > 3).select(key, F.lower("keyword").alias("word"))
+    first = stored(first_of_each(text, "text", most), "first")
+    texts = stored(first.select("text").distinct().withColumn("id", F.monotonically_increasing_id()), "texts")
+    asked = possible_words(evidence.filter(F.length("keyword") > 3).select(key, F.lower("keyword").alias("word")), "word", texts, "text")
+    asked = stored(asked, "asked")
+    met = substring_matches(texts, "id", "text", asked.select("word").distinct(), "word")
+    held = met.join(texts, "id").join(first, "text").select("word", "pattern_id")
     found = ranked = stored(first_patterns(asked, key, held, most), "patterns")
     general = patterns.filter(F.col("pattern_id").isin(*fallback)).select("pattern_id", F.row_number().over(Window.orderBy("pattern_id")).alias("rank"))
     rest = evidence.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(general))

@@ -18,6 +18,8 @@ from .steps import stored
 #: Characters of words that go to every task at once.
 AUTOMATON_CHARS = 8_000_000
 GRAM = 4
+#: Characters of a word's beginning, and of texts up to which all their beginnings go to every task.
+HEAD, HEAD_CHARS = 8, 200_000
 
 
 def _by_automaton(texts: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
@@ -76,6 +78,20 @@ def substring_matches(texts: DataFrame, key: str, text: str, words: DataFrame, w
     return out
 
 
+def possible_words(words: DataFrame, word: str, texts: DataFrame, text: str, most_chars: int = HEAD_CHARS) -> DataFrame:
+    """Rows of ``words`` whose first ``HEAD`` characters, or all if fewer, occur in one of the texts; all rows beyond ``most_chars`` of texts.
+
+    No word that occurs in a text is lost. Rows are told apart where they are read, before they are shuffled.
+    """
+    chars = texts.agg(F.sum(F.char_length(text))).first()[0] or 0
+    if chars > most_chars:
+        return words
+    runs = texts.select(text, F.explode(F.sequence(F.lit(1), F.lit(HEAD))).alias("n")).filter(F.char_length(text) >= F.col("n"))
+    at = F.sequence(F.lit(1), F.char_length(text) - F.col("n") + 1)
+    heads = runs.select(F.explode(F.transform(at, lambda i: F.substring(F.col(text), i, F.col("n")))).alias("__head")).distinct()
+    return words.join(F.broadcast(heads), F.substring(word, 1, HEAD) == F.col("__head"), "left_semi")
+
+
 def either_contains(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b): different values of both sides of which one occurs in the other."""
     x, y = (stored(df.select(F.col(c).alias(c)).filter(F.length(c) > 0).distinct(), "values") for df, c in ((left, a), (right, b)))
@@ -84,12 +100,19 @@ def either_contains(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFr
     return inside.unionByName(around).distinct()
 
 
+def first_of_each(held: DataFrame, by: str, most: int) -> DataFrame:
+    """(by, pattern_id): of each value the first ``most`` different patterns by id."""
+    ranked = held.select(by, "pattern_id").withColumn("__rn", F.dense_rank().over(Window.partitionBy(by).orderBy("pattern_id")))
+    return ranked.filter(F.col("__rn") <= most).select(by, "pattern_id").distinct()
+
+
 def first_patterns(evidence: DataFrame, key: str, held: DataFrame, most: int) -> DataFrame:
     """(key, pattern_id, rank): of each key the first ``most`` patterns, by id, that hold one of its words.
 
-    ``evidence`` has (key, word), ``held`` (word, pattern_id). Of a word only its first ``most`` patterns can count.
+    ``evidence`` has (key, word), ``held`` (word, pattern_id). Of a word only its first ``most`` patterns can count; they are
+    stored, so that few of them go to the evidence and it is not shuffled by word.
     """
-    few = held.withColumn("__rn", F.row_number().over(Window.partitionBy("word").orderBy("pattern_id"))).filter(F.col("__rn") <= most).drop("__rn")
+    few = stored(first_of_each(held, "word", most), "few")
     found = evidence.join(few, "word").select(key, "pattern_id").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("pattern_id"))).filter(F.col("rank") <= most)
 

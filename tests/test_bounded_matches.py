@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from duskwatch.operators import forensics, matching
+from duskwatch.operators import forensics, knowledge, matching
 from duskwatch.plans import more_queries
 
 
@@ -54,3 +54,32 @@ def test_levels_of_descendants_shrink(spark, monkeypatch):
     got = {r.ancestor: (r.descendants, r.depth) for r in forensics.descendants(edges).collect()}
     assert got[1] == (2998, 11) and got[1499] == (2, 1) and 1500 not in got
     assert sum(df.count() for name, df in kept if name.startswith("level")) <= 3000  # pairs of node and ancestor are ten times as many
+
+
+def test_equal_patterns_and_impossible_words_are_not_looked_for(spark, monkeypatch):
+    rng = random.Random(5)
+    names = ["large ring", "Hot bolt", "old plate", "", "boltring"]
+    patterns = [(f"P{i:03}", rng.choice(names), rng.choice(["SMALL", "Hot", None])) for i in range(200)] + [("P000", "blue", "ring"), ("P000", "blue", "ring")]
+    vocabulary = ["ring", "RING", "bolt", "plate", "large rin", "large ring\n", "large ringer", "boltring", "boltrings", "smal", "old", "hot bolt\nsmall", "xyzzy", "blue", "", None]
+    evidence = [(i, rng.choice(vocabulary)) for i in range(60) for _ in range(rng.randint(1, 3))]
+    seen = {}
+    plain = matching.substring_matches
+
+    def looked_for(texts, key, text, words, word, *more):
+        seen.update(texts=texts.count(), words={r[0] for r in words.collect()})
+        return plain(texts, key, text, words, word, *more)
+
+    monkeypatch.setattr(knowledge, "substring_matches", looked_for)
+    table = spark.createDataFrame(patterns, "pattern_id string, name string, description string")
+    rows = spark.createDataFrame(evidence, "id long, keyword string")
+    texts = [(p, "\n".join(x for x in (n, d) if x is not None).lower()) for p, n, d in patterns]
+    want = []
+    for k in {i for i, _ in evidence}:
+        words = [w.lower() for i, w in evidence if i == k and w and len(w) > 3]
+        found = sorted({p for p, t in texts if any(w in t for w in words)})[:5] or ["P002", "P010"]
+        want += [(k, p, r) for r, p in enumerate(found, 1)]
+    for most_chars in (matching.HEAD_CHARS, 0):
+        monkeypatch.setattr(knowledge, "possible_words", lambda *a, n=most_chars: matching.possible_words(*a, n))
+        assert sorted(map(tuple, knowledge.pattern_matches(rows, "id", table, fallback=("P002", "P010")).collect())) == sorted(want)
+        assert seen["texts"] == len({t for _, t in texts})
+        assert ("xyzzy" in seen["words"]) == (most_chars == 0)
