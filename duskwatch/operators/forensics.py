@@ -129,6 +129,13 @@ def critical_path(events: DataFrame, key: str, severe: Column, order: list[str],
     return top.join(enough, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
+def opening_path(events: DataFrame, key: str, severe: Column, order: list[str], opening: int = 3, most: int = 10) -> DataFrame:
+    """Of each key the first ``opening`` events in order and the severe ones after them, ``most`` in all; ``order`` names one event."""
+    by = [F.col(c) for c in order]
+    both = first_n(events, [key], by, opening).unionByName(first_n(events.filter(severe), [key], by, most))
+    return first_n(both.dropDuplicates([key, *order]), [key], by, most)
+
+
 def descendants(edges: DataFrame, most_levels: int = 1000) -> DataFrame:
     """(ancestor, descendants, depth) of a forest of (node, parent) edges, a level at a time; every level is stored once.
 
