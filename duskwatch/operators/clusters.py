@@ -142,7 +142,7 @@ class _Block:
                 yield first[i][once], second[j][once]
 
 
-def _meeting(rows: DataFrame, n: int):
+def meeting(rows: DataFrame, n: int):
     """Rows by pairs of blocks of at most about ``BLOCK`` of ``n`` rows; ``side`` is 0 where a block meets itself, else 1 or 2."""
     blocks = max(1, min(SPREAD, -(-n // 2048)), -(-n // BLOCK))
     own, other = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.col("__other")
@@ -162,7 +162,7 @@ def weights_around(rows: DataFrame, n: int, eps: float, seeds: np.ndarray) -> Da
         at = np.flatnonzero(more)
         return pa.table({"node": block.node.take(pa.array(at)), "more": pa.array(more[at].astype(np.int64))})
 
-    return _meeting(rows, n).applyInArrow(one, f"node {dict(rows.dtypes)['node']}, more long").groupBy("node").agg(F.sum("more").alias("more"))
+    return meeting(rows, n).applyInArrow(one, f"node {dict(rows.dtypes)['node']}, more long").groupBy("node").agg(F.sum("more").alias("more"))
 
 
 def core_links(rows: DataFrame, n: int, eps: float, seeds: np.ndarray) -> DataFrame:
@@ -186,7 +186,7 @@ def core_links(rows: DataFrame, n: int, eps: float, seeds: np.ndarray) -> DataFr
         return pa.table({"a": block.node.take(pa.array(a)), "b": block.node.take(pa.array(b)), "inner": pa.array(np.arange(len(a)) < len(inner))})
 
     kind = dict(rows.dtypes)["node"]
-    return _meeting(rows, n).applyInArrow(one, f"a {kind}, b {kind}, inner boolean")
+    return meeting(rows, n).applyInArrow(one, f"a {kind}, b {kind}, inner boolean")
 
 
 def dbscan(rows: DataFrame, key: str, vector: str, eps: float, min_points: int, n_seeds: int = 32) -> DataFrame:
